@@ -58,7 +58,13 @@ SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, event_id, website_i
   concat('cat_', CAST(event_id % 5 AS STRING)) AS category,
   concat('R-', CAST(event_id % 13 AS STRING)) AS rule_id,
   CAST(40 + event_id % 56 AS DOUBLE) / 100 AS confidence
-FROM web_events WHERE event_id % 9 = 0 OR event_id % 10 = 1""",
+FROM web_events WHERE event_type IN ('login_failure', 'login_success', 'waf_alert')""",
+    "fx_cited": """
+SELECT f.finding_id, f.website_id, f.incident_id, f.event_id AS cited_id FROM fx_findings f
+UNION ALL
+SELECT f.finding_id, f.website_id, f.incident_id, p.prev_id AS cited_id FROM fx_findings f JOIN (
+  SELECT website_id, event_id, lag(event_id) OVER (PARTITION BY website_id, user_id ORDER BY timestamp, event_id) AS prev_id
+  FROM web_events) p ON f.website_id = p.website_id AND f.event_id = p.event_id WHERE p.prev_id IS NOT NULL""",
     "fx_links": """
 SELECT website_id, incident_id, event_id, related_event_id, relationship_type, strength FROM (
   SELECT website_id, user_id AS incident_id, event_id,

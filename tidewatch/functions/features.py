@@ -67,12 +67,16 @@ def special_char_count(query: Column) -> Column:
     return F.length(query) - F.length(F.translate(query, SPECIAL_CHARACTERS, ""))
 
 
-def target_features(p: Detection = Detection(), endpoint="endpoint", event_type="event_type", status="status_code",
+def target_parts(endpoint: Column) -> Column:
+    """STRUCT(path, query): the target's path and decoded query."""
+    ep = F.when(endpoint != "", endpoint)
+    return F.struct(url_path(ep).alias("path"), F.coalesce(unquote_plus(url_query(ep)), F.lit("")).alias("query"))
+
+
+def target_features(path: Column, query: Column, p: Detection = Detection(), event_type="event_type", status="status_code",
                     user_agent="user_agent", timestamp="timestamp") -> list[Column]:
     """Features that need only plain columns (no attributes)."""
-    ep, kind, code = F.col(endpoint), F.col(event_type), F.col(status)
-    ep = F.when(ep != "", ep)
-    path, query = url_path(ep), F.coalesce(unquote_plus(url_query(ep)), F.lit(""))
+    kind, code = F.col(event_type), F.col(status)
     return [
         F.lit(FEATURE_VERSION).alias("v"),
         path.alias("path"),
@@ -111,7 +115,9 @@ def extract_features(events: DataFrame, p: Detection = Detection()) -> DataFrame
     else:
         have = {"webdriver": "boolean", "interaction_total": "bigint", "page_seq": "bigint", "load_ms": "bigint"}
         extra = [(F.col(c) if c in events.columns else F.lit(None)).cast(t).alias(c) for c, t in have.items()]
-    return events.withColumn("features", F.struct(*target_features(p), *extra))
+    d = events.select("*", F.explode(F.array(target_parts(F.col("endpoint")))).alias("_target"))
+    parts = target_features(F.col("_target.path"), F.col("_target.query"), p)
+    return d.withColumn("features", F.struct(*parts, *extra)).drop("_target")
 
 
 def event_micros(c: Column) -> Column:

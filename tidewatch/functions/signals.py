@@ -64,6 +64,12 @@ def match_signals(text: Column, bank: dict[str, str]) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("(?i)" + rx), F.lit(name)) for name, rx in bank.items()]))
 
 
+def query_part(target: Column) -> Column:
+    """Text after the first question mark of a decoded target."""
+    at = F.instr(target, "?")
+    return F.when(at > 0, F.substr(target, at + 1)).otherwise(F.lit(""))
+
+
 def find_cves(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(CVE), F.lit(0)), F.upper)
 
@@ -93,16 +99,17 @@ def _public_v4(c: Column) -> Column:
     return F.when(value.isNotNull(), ~inside | c.isin(*PUBLIC_IN_RESERVED))
 
 
-@F.pandas_udf("string")
-def _v6_scope(s: pd.Series) -> pd.Series:
-    import ipaddress
+def _v6_scope(c: Column) -> Column:
+    def apply(s: pd.Series) -> pd.Series:
+        import ipaddress
 
-    def one(ip):
-        try:
-            return None if ip is None else ("public" if ipaddress.IPv6Address(ip.strip()).is_global else "not_public")
-        except ValueError:
-            return None
-    return s.map(one)
+        def one(ip):
+            try:
+                return None if ip is None else ("public" if ipaddress.IPv6Address(ip.strip()).is_global else "not_public")
+            except ValueError:
+                return None
+        return s.map(one)
+    return F.pandas_udf(apply, "string")(c)
 
 
 def ip_scope(c: Column, with_v6: bool = True) -> Column:

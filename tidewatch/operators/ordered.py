@@ -15,6 +15,12 @@ MICROS = 1_000_000
 BUCKET_S = 3600
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row: a one-element explode, which Catalyst does not inline into the
+    filters and expressions that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def bucket_width(limit_s: float, least_s: float = BUCKET_S) -> int:
     """Bucket width in microseconds: at most one eighth of the rows fall in the halo."""
     return int(max(least_s, 8 * limit_s) * MICROS)

@@ -12,7 +12,7 @@ def local_session(name: str = "tidewatch", cpus: str | None = None) -> SparkSess
     """A local session for tests and the benchmark; on a cluster the session comes from the submitter."""
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
-             .config("spark.ui.enabled", "false")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "12g")
              .config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.session.timeZone", "UTC")
@@ -38,3 +38,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder (shared storage on a cluster)."""
+    import uuid
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        base = tempfile.mkdtemp(prefix="tidewatch-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
