@@ -53,9 +53,12 @@ FROM events""",
     "fx_findings": """
 SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, event_id, website_id, user_id AS incident_id,
   CASE WHEN event_id % 7 = 0 THEN 'anomaly_model' ELSE 'rule_engine' END AS agent_name,
-  CASE WHEN event_id % 7 = 0 THEN 'ml_anomaly' WHEN event_id % 3 = 0 THEN 'auth_anomaly'
-       WHEN event_id % 3 = 1 THEN 'behavior_anomaly' ELSE 'attack_indicator' END AS finding_type,
-  concat('cat_', CAST(event_id % 5 AS STRING)) AS category,
+  CASE WHEN event_type = 'waf_alert' THEN 'attack_indicator' WHEN event_id % 7 = 0 THEN 'ml_anomaly' WHEN event_id % 4 = 3 THEN 'behavior_anomaly'
+       ELSE 'auth_anomaly' END AS finding_type,
+  CASE WHEN event_type = 'waf_alert' AND event_id % 2 = 0 THEN 'sql_injection_indicator' WHEN event_type = 'waf_alert' THEN 'xss_indicator'
+       WHEN event_id % 4 = 0 THEN 'brute_force_indicator' WHEN event_id % 4 = 1 THEN 'multi_account_auth_failures'
+       WHEN event_id % 4 = 2 THEN 'login_success_after_failure_burst' ELSE 'automation_indicator' END AS category,
+  concat('Title ', CAST(event_id % 13 AS STRING)) AS title,
   concat('R-', CAST(event_id % 13 AS STRING)) AS rule_id,
   CAST(40 + event_id % 56 AS DOUBLE) / 100 AS confidence
 FROM web_events WHERE event_type IN ('login_failure', 'login_success', 'waf_alert')""",
@@ -95,7 +98,6 @@ def _needed(text: str, names) -> list[str]:
 
 def with_ctes(body: str, views: dict[str, str]) -> str:
     """``WITH`` clause holding the views that ``body`` uses, directly or through other views, in order."""
-    import re
     used, todo = set(), [body]
     while todo:
         text = todo.pop()
@@ -104,17 +106,17 @@ def with_ctes(body: str, views: dict[str, str]) -> str:
                 used.add(n)
                 todo.append(views[n])
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in views if n in used)
-    if re.match(r"\s*WITH\s+RECURSIVE\b", body):
-        return re.sub(r"^\s*WITH\s+RECURSIVE\b", f"WITH RECURSIVE {ctes},", body, count=1) if ctes else body
-    return f"WITH {ctes}\n{body}" if ctes else body
+    recursive = any(_needed(views[n], [n]) for n in used)
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}" if ctes else body
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] = VIEWS) -> DataFrame:
-    """A named view over the parquet tables of ``sf_dir``."""
+def view(spark: SparkSession, sf_dir: str, name: str, views: dict[str, str] = VIEWS, stored: dict[str, str] | None = None) -> DataFrame:
+    """A named view over the parquet tables of ``sf_dir``; ``stored`` gives the folders of views already written."""
     import re
-    text = with_ctes(f"SELECT * FROM {name}", views)
-    for t in _needed(text, TABLES):
-        text = re.sub(rf"\bFROM {t}\b", f"FROM parquet.`{sf_dir}/{t}.parquet`", text)
+    stored = stored or {}
+    text = with_ctes(f"SELECT * FROM {name}", {k: v for k, v in views.items() if k not in stored})
+    for t, path in {**{t: f"{sf_dir}/{t}.parquet" for t in TABLES}, **stored}.items():
+        text = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 parquet.`{path}`", text)
     return spark.sql(text)
 
 

@@ -53,15 +53,17 @@ def near_prev(df: DataFrame, keys, limit_s: float, carry, us: str = "ts_us", ord
 
 
 def split_runs(df: DataFrame, keys, gap_s: float, us: str = "ts_us", order=("ts_us", "event_id"),
-               same=(), id_col: str = "event_id") -> DataFrame:
+               same=(), id_col: str = "event_id", limit_us: Column | None = None) -> DataFrame:
     """Gaps and islands.  Adds ``run_us`` and ``run_event``: time and id of the first row of the run.
 
     Successive rows of a key stay in one run while the gap is at most ``gap_s`` and all ``same`` columns are equal
-    (null-safe).  Runs may span any number of buckets: bucket-local pieces are numbered first, and only one row per
+    (null-safe); ``limit_us`` may narrow the gap per row.  Runs may span any number of buckets: bucket-local pieces are numbered first, and only one row per
     piece takes part in the carry over bucket borders.
     """
     d = near_prev(df, keys, gap_s, list(same), us, order, keep_bucket=True)
     joined = F.col("prev").isNotNull()
+    if limit_us is not None:
+        joined = joined & (F.col(us) - F.col("prev._us") <= limit_us)
     for c in same:
         joined = joined & F.col(c).eqNullSafe(F.col(f"prev.{c}"))
     w = Window.partitionBy(*keys, "_bucket").orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
@@ -113,6 +115,14 @@ def top_k(df: DataFrame, keys, order, k: int, spread: str, out: str = "rank", sp
     return d.withColumn(out, F.row_number().over(final)).where(F.col(out) <= k)
 
 
+def spread_join(big: DataFrame, small: DataFrame, keys, how: str = "inner", spread: str = "event_id", n: int = 16) -> DataFrame:
+    """Join on keys that may be hot on the ``big`` side: its rows are spread over ``n`` slices of the key and the small
+    side (few rows per key) is repeated in every slice."""
+    left = big.withColumn("_slice", F.pmod(F.xxhash64(spread), F.lit(n)))
+    right = small.withColumn("_slice", F.explode(F.sequence(F.expr("0L"), F.expr(f"{n - 1}L"))))
+    return left.join(right, [*keys, "_slice"], how).drop("_slice")
+
+
 def first_ids(df: DataFrame, keys, k: int, order=("ts_us", "event_id"), id_col: str = "event_id",
               out: str = "event_ids") -> DataFrame:
     """One row per key with the first ``k`` ids in order; the list never holds more than ``k`` items."""

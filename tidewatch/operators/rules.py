@@ -18,6 +18,7 @@ from tidewatch.operators.ordered import MICROS, first_ids, once, with_halo
 from tidewatch.operators.sessions import (SESSION, entity_runs, median_gap, request_peak, with_entity,
                                           with_session_key)
 from tidewatch.params import MAX_CITED, RULE_AGENT, RULES, Detection
+from tidewatch.session import checkpointed
 from tidewatch.sources.store import load_events_for_entities, replace_findings
 
 ENTITY = ["website_id", "entity"]
@@ -367,6 +368,6 @@ def touched_events(new_events: DataFrame, store: DataFrame, hours: float = 24) -
 def detect_incremental(new_events: DataFrame, store: DataFrame, findings: DataFrame | None = None,
                        p: Detection = Detection()) -> DataFrame:
     """Findings after a freshly stored batch: rules re-run over the touched entities, results replaced idempotently."""
-    rows = touched_events(new_events, store, p.lookback_hours)
+    rows = checkpointed(touched_events(new_events, store, p.lookback_hours))     # read by every rule
     fresh = evaluate_rules(rows, p)
     return fresh if findings is None else replace_findings(findings, fresh, rows, RULE_AGENT).drop("change")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("ingest", "sessions", "rules")
+FAMILIES = ("ingest", "sessions", "rules", "correlate")
 
 
 def _merged(attr: str) -> dict:

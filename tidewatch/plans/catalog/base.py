@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch import adapter
+from tidewatch.session import scratch_path
 
 ORACLE_VIEWS = dict(adapter.VIEWS)
 ORACLE_VIEWS["ev"] = """
@@ -41,11 +42,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-events = adapter.web_events
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A derived table, written once per session as the ingest and detection jobs would, then read back."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_path(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored adapter events with ``ts_us`` and ``features``."""
+    return stored(spark, sf_dir, "events", lambda: adapter.web_events(spark, sf_dir))
 
 
 def fx(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return adapter.view(spark, sf_dir, name)
+    events(spark, sf_dir)
+    return adapter.view(spark, sf_dir, name, stored={"web_events": _STORED[(spark.sparkContext.applicationId, sf_dir, "events")]})
 
 
 def joined(c: Column | str, sep: str = ",") -> Column:
