@@ -51,7 +51,7 @@ SELECT CAST(event_id AS BIGINT) AS event_id,
   CASE WHEN event_type = 'click' THEN CAST(event_id % 5 AS INT) END AS interaction_total
 FROM events""",
     "fx_findings": """
-SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, event_id, website_id, user_id AS incident_id,
+SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, event_id, website_id, user_id AS incident_id, event_type AS event_type_of,
   CASE WHEN event_id % 7 = 0 THEN 'anomaly_model' ELSE 'rule_engine' END AS agent_name,
   CASE WHEN event_type = 'waf_alert' THEN 'attack_indicator' WHEN event_id % 7 = 0 THEN 'ml_anomaly' WHEN event_id % 4 = 3 THEN 'behavior_anomaly'
        ELSE 'auth_anomaly' END AS finding_type,
@@ -60,6 +60,8 @@ SELECT concat('f-', CAST(event_id AS STRING)) AS finding_id, event_id, website_i
        WHEN event_id % 4 = 2 THEN 'login_success_after_failure_burst' ELSE 'automation_indicator' END AS category,
   concat('Title ', CAST(event_id % 13 AS STRING)) AS title,
   concat('R-', CAST(event_id % 13 AS STRING)) AS rule_id,
+  CASE WHEN event_type <> 'waf_alert' AND event_id % 7 = 0 THEN CAST(45 + event_id % 50 AS DOUBLE) / 100 END AS anomaly_score,
+  CASE WHEN event_type = 'waf_alert' THEN 'T1190' WHEN event_id % 4 < 2 THEN 'T1110' WHEN event_id % 4 = 2 THEN 'T1078' END AS technique_id,
   CAST(40 + event_id % 56 AS DOUBLE) / 100 AS confidence
 FROM web_events WHERE event_type IN ('login_failure', 'login_success', 'waf_alert')""",
     "fx_cited": """
@@ -75,6 +77,28 @@ SELECT website_id, incident_id, event_id, related_event_id, relationship_type, s
     CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'same_ip' WHEN 1 THEN 'same_session' WHEN 2 THEN 'same_user' ELSE 'attack_sequence' END AS relationship_type,
     CAST(30 + event_id % 61 AS DOUBLE) / 100 AS strength
   FROM web_events) x WHERE related_event_id IS NOT NULL""",
+    "fx_incidents": """
+SELECT website_id, incident_id, event_count, created_seq, concat('Incident of ', incident_id) AS title,
+  CASE created_seq % 8 WHEN 0 THEN 'DETECTED' WHEN 1 THEN 'INVESTIGATING' WHEN 2 THEN 'CONFIRMED' WHEN 3 THEN 'FALSE_POSITIVE'
+    WHEN 4 THEN 'NEEDS_INVESTIGATION' WHEN 5 THEN 'RESPONSE_RECOMMENDED' WHEN 6 THEN 'ACTION_TAKEN' ELSE 'RESOLVED' END AS status,
+  CASE WHEN created_seq % 9 = 0 THEN NULL ELSE CAST(created_seq % 1000 AS DOUBLE) / 10 END AS risk_score,
+  CASE WHEN created_seq % 9 = 0 THEN NULL WHEN created_seq % 1000 >= 850 THEN 'CRITICAL' WHEN created_seq % 1000 >= 650 THEN 'HIGH'
+    WHEN created_seq % 1000 >= 400 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level,
+  CAST(created_seq % 100 AS DOUBLE) / 100 AS confidence
+FROM (SELECT website_id, user_id AS incident_id, count(*) AS event_count, max(event_id) AS created_seq FROM web_events GROUP BY website_id, user_id) x""",
+    "fx_intel": """
+SELECT DISTINCT website_id, user_id AS incident_id, 'ip' AS indicator_type, source_ip AS indicator,
+  CASE WHEN source_ip LIKE '%5' OR source_ip LIKE '%7' THEN 'evidence_found' ELSE 'no_evidence' END AS status, source_ip LIKE '%5' AS synthetic
+FROM web_events WHERE source_ip IS NOT NULL AND event_type = 'waf_alert'
+UNION ALL SELECT DISTINCT website_id, user_id, 'cve', 'CVE-2021-44228', 'evidence_found', FALSE FROM web_events
+WHERE endpoint LIKE '%CVE-%' AND event_type = 'sensitive_endpoint_access'
+UNION ALL SELECT DISTINCT website_id, incident_id, 'attack_technique', technique_id, 'evidence_found', FALSE FROM fx_findings
+WHERE technique_id IS NOT NULL AND event_type_of = 'waf_alert'""",
+    "fx_stages": """
+SELECT website_id, user_id AS incident_id, event_id, timestamp, stage FROM (SELECT *, CASE WHEN event_type = 'waf_alert' THEN 'attack_indicator'
+  WHEN event_type = 'sensitive_endpoint_access' THEN 'sensitive_access' WHEN event_type = 'session_created' THEN 'new_session'
+  WHEN event_type = 'login_success' THEN 'authentication_success' WHEN event_type = 'login_failure' THEN 'credential_attack' END AS stage FROM web_events) x
+WHERE stage IS NOT NULL""",
     "fx_transitions": """
 SELECT conv_id AS incident_id, turn AS seq,
   CASE CAST((conv_id * 7 + turn * 3) % 8 AS INT) WHEN 0 THEN 'DETECTED' WHEN 1 THEN 'INVESTIGATING' WHEN 2 THEN 'CONFIRMED'

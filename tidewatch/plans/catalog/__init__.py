@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("ingest", "sessions", "rules", "correlate")
+FAMILIES = ("ingest", "sessions", "rules", "correlate", "risk")
 
 
 def _merged(attr: str) -> dict:
