@@ -94,9 +94,11 @@ def prev_row(df: DataFrame, keys, carry, us: str = "ts_us", order=("ts_us", "eve
 
 
 def number_rows(df: DataFrame, keys, us: str = "ts_us", order=("ts_us", "event_id"), out: str = "rn",
-                bucket_s: float = BUCKET_S) -> DataFrame:
-    """``row_number`` over the key in time order: bucket-local numbers plus the count of all earlier buckets."""
-    d = df.withColumn("_bucket", F.floor(F.col(us) / F.lit(int(bucket_s * MICROS))).cast("bigint"))
+                bucket_s: float = BUCKET_S, bucket: Column | None = None) -> DataFrame:
+    """``row_number`` over the key in time order: bucket-local numbers plus the count of all earlier buckets.
+    ``bucket`` may give another bucketing that is monotone in ``order``."""
+    at = F.floor(F.col(us) / F.lit(int(bucket_s * MICROS))).cast("bigint") if bucket is None else bucket
+    d = df.withColumn("_bucket", at)
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = d.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("ingest", "sessions", "rules", "correlate", "risk")
+FAMILIES = ("ingest", "sessions", "rules", "correlate", "risk", "timeline")
 
 
 def _merged(attr: str) -> dict:
