@@ -20,7 +20,6 @@ from tidewatch.sources import store as ST
 SALT = "pepper"
 SINCE = 1705276800000000          # 2024-01-15
 NOW = 1714521600000000            # 2024-05-01
-BAD_STATUS = F.when(F.col("status_code") == 500, 700).otherwise(F.col("status_code"))
 
 
 def raw_events(spark, sf):
@@ -29,7 +28,7 @@ def raw_events(spark, sf):
     raw = F.to_json(F.struct(
         "event_type", F.lit("sdk").alias("source"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         "session_id", "user_id", "source_ip", "user_agent", F.lit("get").alias("method"), "endpoint",
-        BAD_STATUS.alias("status_code"), F.struct(F.col("event_id").alias("page_seq")).alias("attributes"),
+        F.when(F.col("status_code") == 500, 700).otherwise(F.col("status_code")).alias("status_code"), F.struct(F.col("event_id").alias("page_seq")).alias("attributes"),
         "interaction_total"))
     return e.select("website_id", "event_id", raw.alias("raw"))
 
@@ -319,14 +318,15 @@ def normalize_domain(spark, sf):
     return table(spark, sf, "pages").select("page_id", SG.normalize_domain(host).alias("domain"), SG.normalize_domain(F.col("url")).alias("none"))
 
 
-IP = F.concat_ws(".", (F.col("user_id") % 224).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("0"), F.lit("9"))
+def address():
+    return F.concat_ws(".", (F.col("user_id") % 224).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("0"), F.lit("9"))
 
 
 @query
 def ip_scope(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", SG.ip_scope(IP, with_v6=False).alias("scope"),
-                    SG.ip_scope(F.concat(IP, F.lit("/24")), with_v6=False).alias("masked"))
+    return e.select("event_id", SG.ip_scope(address(), with_v6=False).alias("scope"),
+                    SG.ip_scope(F.concat(address(), F.lit("/24")), with_v6=False).alias("masked"))
 
 
 QUERIES = {f.__name__: f for f in (
