@@ -1,9 +1,8 @@
 """Evidence sets of incidents and checks of model output against them.  No model is called here."""
 
-from __future__ import annotations
-
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,7 +150,7 @@ def grounding_report(grounded: DataFrame, hypotheses: DataFrame | None = None, i
 
 def cap_confidence(model: Column, evidence: Column) -> tuple[Column, Column]:
     """(confidence, basis): the model's value clamped to [0, 1] and capped by the evidence confidence."""
-    m = F.least(F.greatest(model, F.lit(0.0)), F.lit(1.0))
+    m = F.when(model.isNotNull(), F.least(F.greatest(model, F.lit(0.0)), F.lit(1.0)))
     capped = F.coalesce(m > evidence, F.lit(False))
     value = F.when(m.isNull() | capped, evidence).otherwise(m)
     basis = (F.when(m.isNull(), "model gave no confidence; deterministic evidence confidence shown; not a probability")
@@ -184,8 +183,6 @@ def overconfident_phrases(text: Column, p: Evidence = Evidence()) -> Column:
 def parse_model_output(df: DataFrame, column: str = "output") -> DataFrame:
     """Adds ``parsed`` (JSON text of the first object in the output) and ``parse_status``; fences and prose around the
     object are tolerated.  A scan for the object's end is not expressible as a regular expression, so it runs in Arrow batches."""
-    import pandas as pd
-
     def first_object(s: pd.Series) -> pd.Series:
         import json
         decoder = json.JSONDecoder()

@@ -21,7 +21,8 @@ FAILED_RUNS = ("not_run", "disabled", "error")
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """``c`` cut to [0, 1]; NULL stays NULL (``least`` and ``greatest`` alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 # ------------------------------------------------------------------------------------------------ inputs

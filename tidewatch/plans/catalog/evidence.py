@@ -431,7 +431,7 @@ SELECT *, CASE WHEN hypothesis_grounded AND claims_kept > 0 THEN 'ok' ELSE 'reje
     "cap_confidence": """
 SELECT website_id, incident_id, round(CASE WHEN m IS NULL OR m > confidence THEN confidence ELSE m END, 4) AS value,
   CASE WHEN m IS NULL THEN 'model gave no confid' ELSE 'AI self-assessment c' END AS basis0, CASE WHEN m IS NULL THEN 'model gave no confid' WHEN m > confidence THEN 'AI self-assessment c'
-  ELSE 'AI self-assessment; ' END AS basis FROM (SELECT *, CASE WHEN created_seq % 5 > 0 THEN least(created_seq % 150 / 100.0, 1) END AS m FROM fx_incidents) x""".replace(
+  ELSE 'AI self-assessment; ' END AS basis FROM (SELECT *, CASE WHEN created_seq % 5 > 0 THEN least(created_seq % 150 / CAST(100 AS DOUBLE), CAST(1 AS DOUBLE)) END AS m FROM fx_incidents) x""".replace(
         "CASE WHEN m IS NULL THEN 'model gave no confid' ELSE 'AI self-assessment c' END AS basis0, ", ""),
     "ground_recommendations": """
 SELECT incident_id, rec_no, action, CAST(priority AS INTEGER) AS priority, CAST(position AS INTEGER) AS position, TRUE AS requires_human_approval, FALSE AS executed, 'proposed' AS status FROM rec2""",

@@ -189,8 +189,8 @@ def _status(cond: str) -> str:
 
 _F = {
     "behavior": ("COALESCE(behavior_max, 0)", _status("behavior_max IS NOT NULL")),
-    "anomaly": ("COALESCE(greatest(0, least(1, (anomaly_max - 0.5) / 0.5)), 0)", _status("anomaly_max IS NOT NULL")),
-    "attack_indicators": ("COALESCE(greatest(0, least(1, attack_max + CAST(0.1 AS DOUBLE) * (attack_categories - 1))), 0)", _status("attack_max IS NOT NULL")),
+    "anomaly": ("CASE WHEN anomaly_max IS NULL THEN 0 ELSE greatest(0, least(1, (anomaly_max - 0.5) / 0.5)) END", _status("anomaly_max IS NOT NULL")),
+    "attack_indicators": ("CASE WHEN attack_max IS NULL THEN 0 ELSE greatest(0, least(1, attack_max + CAST(0.1 AS DOUBLE) * (attack_categories - 1))) END", _status("attack_max IS NOT NULL")),
     "authentication": ("COALESCE(auth_max, 0)", _status("auth_max IS NOT NULL")),
     "sensitive_endpoint": ("CASE WHEN sensitive > 0 AND logins > 0 THEN 1.0 WHEN sensitive > 0 THEN 0.7 ELSE 0 END", _status("sensitive > 0")),
     "correlation": ("CAST(0.4 AS DOUBLE) * COALESCE(n_stages, 0) / 6 + CAST(0.3 AS DOUBLE) * least(1, ln(1 + event_count) / ln(101)) + CAST(0.3 AS DOUBLE) * COALESCE(mean_strength, 0)", _status("event_count > 0")),
