@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("ingest", "sessions", "rules", "correlate", "risk", "timeline", "views", "evidence")
+FAMILIES = ("ingest", "sessions", "rules", "correlate", "risk", "timeline", "views", "evidence", "anomaly")
 
 
 def _merged(attr: str) -> dict:
