@@ -25,18 +25,18 @@ def _with_min(edges: DataFrame, n_edges: int) -> DataFrame:
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
 
 
-def _mark(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return int(r["n"]), int(r["h"] or 0)
+def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """Edges written and read back, with their number and a checksum observed during the write."""
+    out, seen = checkpointed(edges, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    return out, (int(seen["n"] or 0), int(seen["h"] or 0))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
-    Each round ends in a reliable checkpoint; only an edge count and a checksum come to the driver."""
+    Each round ends in a written table; only an edge count and a checksum come to the driver."""
     a, b = F.col(src), F.col(dst)
-    e = checkpointed(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    mark = _mark(e)
+    e, mark = _cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = _with_min(both, 2 * mark[0]).withColumn("m", F.least("u", "m"))
@@ -44,8 +44,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         down = _with_min(large, mark[0])
         small = (down.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        e = checkpointed(small)
-        new = _mark(e)
+        e, new = _cut(small)
         if new == mark:
             roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

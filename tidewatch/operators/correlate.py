@@ -101,7 +101,7 @@ def clusters(events: DataFrame, findings: DataFrame, p: Correlation = Correlatio
 
     Components are found on runs, not on events: runs sharing an event are joined by an edge, so the graph is far
     smaller than the event table."""
-    seeds = seed_events(findings, events).withColumn("is_seed", F.lit(True))
+    seeds = checkpointed(seed_events(findings, events)).withColumn("is_seed", F.lit(True))
     groups = entity_groups(events, seeds)
     in_run = checkpointed(event_runs(groups, p))              # read for edges and for membership
     per = in_run.groupBy("website_id", "event_id").agg(F.collect_set("node").alias("nodes"))     # at most three nodes

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(name: str = "tidewatch", cpus: str | None = None) -> SparkSession:
@@ -24,20 +24,19 @@ def local_session(name: str = "tidewatch", cpus: str | None = None) -> SparkSess
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, so that lineage ends there and executor loss costs nothing.
+def checkpointed(df: DataFrame, *metrics: Column):
+    """``df`` written once to the shared checkpoint folder and read back: lineage ends there, executor loss costs nothing,
+    and readers still prune columns.  With ``metrics`` (aggregates) their values, taken during the write, come back too.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session gets one of its own."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "cut")
+    if not metrics:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, *metrics).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
