@@ -107,7 +107,7 @@ SELECT conv_id AS incident_id, turn AS seq,
   role AS actor, text AS comment
 FROM conversations""",
     "fx_claims": """
-SELECT conv_id AS incident_id, turn AS claim_no, substring(text, 1, 60) AS claim,
+SELECT conv_id AS incident_id, turn AS claim_no, text AS claim,
   concat('F', CAST(turn % 9 AS STRING), ',T', CAST(conv_id % 15 AS STRING)) AS refs
 FROM conversations""",
 }

@@ -244,7 +244,7 @@ def clean_comment(spark, sf):
 
 def feedback(spark, sf):
     return fx(spark, sf, "fx_transitions").select(F.lit("web_a").alias("website_id"), I, F.concat(F.lit("fb-"), F.col("seq")).alias("feedback_id"),
-                                                  F.col("new_state").alias("decision"), F.substring("comment", 1, 20).alias("comment"), (F.col("seq") % 3).alias("created_us"))
+                                                  F.col("new_state").alias("decision"), "comment", (F.col("seq") % 3).alias("created_us"))
 
 
 @query
@@ -358,7 +358,7 @@ V["rec2"] = "SELECT * FROM rec1 WHERE position <= 3"
 V["dec0"] = """
 SELECT incident_id, action, CASE rec_no % 3 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'needs_investigation' END AS decision, rec_no AS decided_us FROM rec0"""
 V["fb"] = """
-SELECT 'web_a' AS website_id, incident_id, concat('fb-', seq) AS feedback_id, new_state AS decision, substring(comment, 1, 20) AS comment, seq % 3 AS created_us FROM fx_transitions"""
+SELECT 'web_a' AS website_id, incident_id, concat('fb-', seq) AS feedback_id, new_state AS decision, comment, seq % 3 AS created_us FROM fx_transitions"""
 _PAIRS = ", ".join(f"'{a}>{b}'" for a, n in TRANSITIONS.items() for b in n)
 _PH = ", ".join(f"CASE WHEN contains(t, '{p}') THEN '{p}' END" for p in sorted(OVERCONFIDENT))
 V["rpl"] = f"""
