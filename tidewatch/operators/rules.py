@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.signals import QUERY_ONLY, SIGNALS, decode_target, match_signals, query_part
-from tidewatch.operators.ordered import MICROS, first_ids, once, with_halo
+from tidewatch.operators.ordered import MICROS, first_ids, once, spread_join, with_halo
 from tidewatch.operators.sessions import (SESSION, entity_runs, median_gap, request_peak, with_entity,
                                           with_session_key)
 from tidewatch.params import MAX_CITED, RULE_AGENT, RULES, Detection
@@ -76,7 +76,7 @@ def bursts(runs: DataFrame, min_failures: int) -> DataFrame:
 
 
 def _burst_members(runs: DataFrame, found: DataFrame) -> DataFrame:
-    return runs.join(found.select(*ENTITY, "run_event"), [*ENTITY, "run_event"], "left_semi")
+    return spread_join(runs, found.select(*ENTITY, "run_event"), [*ENTITY, "run_event"], "left_semi")
 
 
 def auth_burst(events: DataFrame, p: Detection = Detection(), runs: DataFrame | None = None) -> Rule:
@@ -140,7 +140,7 @@ def request_rate(events: DataFrame, p: Detection = Detection()) -> Rule:
     rows = keyed.where("features.is_request_event").select(*SESSION, "event_id", "ts_us")
     peaks = request_peak(keyed, p.rate_window_s).where(F.col("peak") >= p.rate_min)
     low = F.col("peak_us") - F.lit(int(p.rate_window_s * MICROS))
-    near = rows.join(peaks, SESSION)
+    near = spread_join(rows, peaks, SESSION)
     start = F.min(F.when(F.col("ts_us").between(low, F.col("peak_us")), F.col("ts_us")))
     per = (near.groupBy(*SESSION, "peak", "peak_us", "peak_event")
            .agg(F.count(F.lit(1)).alias("total"), start.alias("start_us")))
@@ -181,13 +181,13 @@ def non_human_navigation(events: DataFrame, p: Detection = Detection()) -> Rule:
         F.count_if(view).alias("views"), F.coalesce(F.sum(used), F.lit(0)).alias("used"),
         F.max_by(F.when(view, F.col("event_id")), F.when(view, F.struct("ts_us", "event_id"))).alias("anchor"))
     quiet = g.where((F.col("views") >= p.nav_views) & (F.col("used") == 0))
-    views = keyed.where(view).join(quiet.select(*SESSION), SESSION, "left_semi")
+    views = spread_join(keyed.where(view), quiet.select(*SESSION), SESSION, "left_semi")
     gap = median_gap(views).withColumn("gap_s", F.col("median_gap_us") / 1e6).where(F.col("gap_s") <= p.nav_gap_s)
     found = quiet.join(gap, SESSION)
     hits = _hits(found, "R-BEH-003", "session_key", F.col("session_key"), "anchor", p.nav_confidence,
                  _observed(session=F.col("session_key"), page_views=F.col("views"), interaction_signals_recorded=F.col("used")),
                  _derived(median_seconds_between_page_views=F.round(F.col("gap_s"), 3)), "views")
-    return hits, _cites(views.join(found.select(*SESSION), SESSION, "left_semi"), "R-BEH-003", F.col("session_key"))
+    return hits, _cites(spread_join(views, found.select(*SESSION), SESSION, "left_semi"), "R-BEH-003", F.col("session_key"))
 
 
 def probe_of(path: Column, probes) -> Column:
@@ -206,7 +206,7 @@ def recon_paths(events: DataFrame, p: Detection = Detection()) -> Rule:
     hits = _hits(g, "R-BEH-004", "session_key", F.col("session_key"), "anchor", p.recon_confidence,
                  _observed(session=F.col("session_key"), probe_paths_requested=F.array_join("probes", ","), requests=F.col("n")),
                  _derived(distinct_probe_paths=F.size("probes")), "n")
-    return hits, _cites(rows.join(g.select(*SESSION), SESSION, "left_semi"), "R-BEH-004", F.col("session_key"))
+    return hits, _cites(spread_join(rows, g.select(*SESSION), SESSION, "left_semi"), "R-BEH-004", F.col("session_key"))
 
 
 # ------------------------------------------------------------------------------------------------ attack indicators
@@ -257,7 +257,7 @@ def multi_vector(events: DataFrame, p: Detection = Detection(), attacks: DataFra
             .select(*ENTITY, (-F.col("b.nk")).alias("k"), F.col("b.us").alias("hi_us"), F.col("b.id").alias("hi_id")))
     inside = (F.col("ts_us") >= F.col("hi_us") - F.lit(width)) & (
         F.struct("ts_us", "event_id") <= F.struct("hi_us", "hi_id"))
-    window = rows.join(best, ENTITY).where(inside)
+    window = spread_join(rows, best, ENTITY).where(inside)
     counts = [F.count_if(F.col(f"`{r}`")).alias(r) for r in rules]
     per = window.groupBy(*ENTITY, "k", "hi_us", "hi_id").agg(F.count(F.lit(1)).alias("n"), F.min("ts_us").alias("lo_us"), *counts)
     cats = F.array_join(F.array_sort(F.array_compact(F.array(*[
@@ -362,7 +362,7 @@ def touched_events(new_events: DataFrame, store: DataFrame, hours: float = 24) -
     """Stored events of the addresses and sessions of a batch, back to ``hours`` before the batch's newest event."""
     newest = new_events.groupBy("website_id").agg((F.max("ts_us") - F.lit(int(hours * 3600 * MICROS))).alias("_since"))
     rows = load_events_for_entities(store, new_events, new_events)
-    return rows.join(newest, "website_id").where(F.col("ts_us") >= F.col("_since")).select(*store.columns)
+    return spread_join(rows, newest, ["website_id"]).where(F.col("ts_us") >= F.col("_since")).select(*store.columns)
 
 
 def detect_incremental(new_events: DataFrame, store: DataFrame, findings: DataFrame | None = None,

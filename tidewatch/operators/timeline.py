@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import plural
-from tidewatch.operators.ordered import first_ids, number_rows, top_k
+from tidewatch.operators.ordered import first_ids, number_rows, spread_join, top_k
 from tidewatch.operators.sessions import group_events
 from tidewatch.params import STAGES, Correlation
 
@@ -165,7 +165,7 @@ def group_stages(rows: DataFrame, stages: DataFrame) -> DataFrame:
 def best_relationship(groups: DataFrame, rows: DataFrame, links: DataFrame) -> DataFrame:
     """(incident, group_no, relationship, strength) between each group and the next: the link of best type, then
     strength, among the last and first 25 events of the two groups."""
-    numbered = rows.join(groups.select(*GROUP, "group_no"), GROUP).select(*INCIDENT, "group_no", "event_id", "ts_us")
+    numbered = spread_join(rows, groups.select(*GROUP, "group_no"), GROUP).select(*INCIDENT, "group_no", "event_id", "ts_us")
     key = [*INCIDENT, "group_no"]
     tail = top_k(numbered, key, [F.desc("ts_us"), F.desc("event_id")], BORDER, "event_id").select(*key, "event_id")
     head = top_k(numbered, key, [F.asc("ts_us"), F.asc("event_id")], BORDER, "event_id").select(
