@@ -35,11 +35,11 @@ def discard(df: DataFrame) -> None:
 
 
 def spread_lookup(rows: DataFrame, by_key: DataFrame, keys: list[str], weight: str, deal: Column, how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of ``by_key``, which has one row per key and in ``weight`` the number of rows that will meet it.
+    """``rows`` joined to the smaller ``by_key``, which holds in ``weight`` the number of ``rows`` that its key will meet.
 
     The keys of most weight (at most HOT_KEYS, so the broadcast list is bounded) are dealt over SLICES partitions by ``deal``,
     a column that differs between rows of a key; every other key has at most a thousandth of all rows."""
-    top = F.broadcast(by_key.where(F.col(weight) > HOT_ROWS).select(*keys, F.col(weight).alias("_w")).orderBy(F.desc("_w")).limit(HOT_KEYS)
+    top = F.broadcast(by_key.where(F.col(weight) > HOT_ROWS).groupBy(*keys).agg(F.max(weight).alias("_w")).orderBy(F.desc("_w")).limit(HOT_KEYS)
                       .select(*keys, F.lit(True).alias("_hot")))
     left = (rows.join(top, keys, "left")
             .withColumn("_slice", F.when(F.col("_hot"), F.pmod(F.xxhash64(deal), F.lit(SLICES)).cast("int")).otherwise(F.lit(0))).drop("_hot"))
