@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_automaton, chat, decontaminate, exact_dedup, jaccard_join, token_store
+from tidewatch.llm import bpe_automaton, chat, decontaminate, exact_dedup, jaccard_join, quality, token_store
 from tidewatch.llm.common import cut, table
 
 
@@ -29,6 +30,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chats)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no URL: their source stands for the host and their language for the path."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.fit_text_model(docs, table(spark, sf_dir, "labels")), F.col("source"), F.col("lang"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +44,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op5_bpe_automaton, op6_chat_format, op8_decontaminate, op9_exact_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op5_bpe_automaton, op6_chat_format, op7_quality, op8_decontaminate, op9_exact_dedup, op10_jaccard_join)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
