@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_automaton, chat, decontaminate, exact_dedup, extract, jaccard_join, quality, token_store
+from tidewatch.llm import bpe_automaton, chat, ctw, decontaminate, exact_dedup, extract, jaccard_join, quality, token_store
 from tidewatch.llm.common import cut, table
 
 
@@ -22,6 +22,11 @@ def op3_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ctw.scores(docs, ctw.held_out_ids(F.col("doc_id")))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +53,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_store, op3_extract, op5_bpe_automaton, op6_chat_format, op7_quality, op8_decontaminate, op9_exact_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op2_token_store, op3_extract, op4_ctw, op5_bpe_automaton, op6_chat_format, op7_quality, op8_decontaminate, op9_exact_dedup, op10_jaccard_join)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
