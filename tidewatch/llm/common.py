@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,3 +53,9 @@ def spread_lookup(rows: DataFrame, by_key: DataFrame, keys: list[str], weight: s
 def bytes_of(column: pa.Array) -> list[bytes]:
     """Values of a string or binary Arrow column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
