@@ -2,7 +2,6 @@
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,23 +180,14 @@ def overconfident_phrases(text: Column, p: Evidence = Evidence()) -> Column:
 
 
 def parse_model_output(df: DataFrame, column: str = "output") -> DataFrame:
-    """Adds ``parsed`` (JSON text of the first object in the output) and ``parse_status``; fences and prose around the
-    object are tolerated.  A scan for the object's end is not expressible as a regular expression, so it runs in Arrow batches."""
-    def first_object(s: pd.Series) -> pd.Series:
-        import json
-        decoder = json.JSONDecoder()
-
-        def one(text):
-            start = (text or "").find("{")
-            if start < 0:
-                return None
-            try:
-                obj, _ = decoder.raw_decode(text[start:])
-                return json.dumps(obj, sort_keys=True, ensure_ascii=False)
-            except ValueError:
-                return None
-        return s.map(one)
-    d = df.withColumn("parsed", F.pandas_udf(first_object, "string")(F.col(column)))
+    """Adds ``parsed`` (JSON text of the first object in the output) and ``parse_status``; fences and prose around the object are tolerated.
+
+    The object ends at the first closing brace up to which the text from the first opening brace on is JSON."""
+    pieces = F.split(F.substr(F.col(column), F.instr(column, "{")), "\\}", -1)
+    upto = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.concat(F.array_join(F.slice(pieces, 1, n), "}"), F.lit("}")))
+    first = F.aggregate(upto, F.lit(None).cast("string"), lambda found, text: F.coalesce(found, F.when(F.try_parse_json(text).isNotNull(), text)))
+    found = F.when((F.instr(column, "{") > 0) & (F.size(pieces) > 1), first)
+    d = df.withColumn("parsed", F.to_json(F.try_parse_json(found)))
     return d.withColumn("parse_status", F.when(F.col("parsed").isNull(), "invalid_output").otherwise("ok"))
 
 

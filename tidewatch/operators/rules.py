@@ -19,7 +19,7 @@ from tidewatch.operators.sessions import (SESSION, entity_runs, median_gap, requ
                                           with_session_key)
 from tidewatch.params import MAX_CITED, RULE_AGENT, RULES, Detection
 from tidewatch.session import checkpointed
-from tidewatch.sources.store import load_events_for_entities, replace_findings
+from tidewatch.sources.store import replace_findings
 
 ENTITY = ["website_id", "entity"]
 KEY = ["website_id", "rule_id", "group_key"]
@@ -358,16 +358,44 @@ def rule_catalogue(spark: SparkSession, p: Detection = Detection()) -> DataFrame
                                        "technique_name STRING, enabled BOOLEAN, thresholds MAP<STRING,DOUBLE>")
 
 
-def touched_events(new_events: DataFrame, store: DataFrame, hours: float = 24) -> DataFrame:
-    """Stored events of the addresses and sessions of a batch, back to ``hours`` before the batch's newest event."""
-    newest = new_events.groupBy("website_id").agg((F.max("ts_us") - F.lit(int(hours * 3600 * MICROS))).alias("_since"))
-    rows = load_events_for_entities(store, new_events, new_events)
-    return spread_join(rows, newest, ["website_id"]).where(F.col("ts_us") >= F.col("_since")).select(*store.columns)
+def _who(events: DataFrame) -> list[Column]:
+    """By whom an event is found again: its address, its session, or, with neither, the nameless session of its tenant."""
+    ip, sid = F.when(F.col("source_ip") != "", F.col("source_ip")), F.when(F.col("session_id") != "", F.col("session_id"))
+    return [ip, sid, F.when(ip.isNull() & sid.isNull(), F.lit("unknown"))]
+
+
+def touched_events(new_events: DataFrame, store: DataFrame, hours: float | None = 24) -> DataFrame:
+    """Stored events of the addresses and sessions of a batch, each once.
+
+    An address or session is read back to ``hours`` before its own oldest new event, so that every new event is analysed however long
+    the batch is; with None its whole history is read."""
+    rows, reach = store, []
+    since = F.min("ts_us") - F.lit(int(hours * 3600 * MICROS)) if hours is not None else F.min(F.lit(-(2**62)))
+    for n, key in enumerate(_who(new_events)):
+        first = new_events.groupBy(F.col("website_id").alias(f"_w{n}"), key.alias(f"_k{n}")).agg(since.alias(f"_since{n}")).where(F.col(f"_k{n}").isNotNull())
+        rows = rows.join(first, (F.col("website_id") == F.col(f"_w{n}")) & (key == F.col(f"_k{n}")), "left")
+        reach.append(F.coalesce(F.col("ts_us") >= F.col(f"_since{n}"), F.lit(False)))
+    return rows.where(reduce(lambda x, y: x | y, reach)).select(*store.columns)
+
+
+def touched_subjects(new_events: DataFrame) -> DataFrame:
+    """(website_id, subject): the addresses and sessions of a batch, as findings name them.  Of these all events are read again."""
+    ip, sid, nobody = _who(new_events)
+    names = F.explode(F.array(ip, F.concat(F.lit("ip:"), ip), sid, F.concat(F.lit("sid:"), sid), nobody))
+    return new_events.select("website_id", names.alias("subject")).where("subject IS NOT NULL").distinct()
+
+
+def settled(findings: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Findings that a re-run over touched entities can vouch for: those of a touched address or session, and those of single events.
+
+    Events come along with a touched session that belong to an address read only in part; what the rules say of that address is left out."""
+    own = F.col("subject") == F.col("event_id").cast("string")
+    return findings.where(own).unionByName(findings.where(~own).join(subjects, ["website_id", "subject"], "left_semi").select(*findings.columns))
 
 
 def detect_incremental(new_events: DataFrame, store: DataFrame, findings: DataFrame | None = None,
                        p: Detection = Detection()) -> DataFrame:
     """Findings after a freshly stored batch: rules re-run over the touched entities, results replaced idempotently."""
     rows = checkpointed(touched_events(new_events, store, p.lookback_hours))     # read by every rule
-    fresh = evaluate_rules(rows, p)
+    fresh = settled(evaluate_rules(rows, p), touched_subjects(new_events))
     return fresh if findings is None else replace_findings(findings, fresh, rows, RULE_AGENT).drop("change")

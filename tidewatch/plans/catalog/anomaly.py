@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import anomaly as A
 from tidewatch.operators import sessions as S
-from tidewatch.params import ANOMALY_FEATURES, Anomaly
+from tidewatch.params import ANOMALY_FEATURES, Anomaly, Detection
 from tidewatch.plans.catalog import ingest as IC
 from tidewatch.plans.catalog.base import ORACLE_VIEWS, events, query, stored
 from tidewatch.session import scratch_path
@@ -102,11 +102,12 @@ def ingest_stream(spark, sf):
 
 @query
 def detect_stream(spark, sf):
+    """Six files of shuffled events, two a micro-batch: what is current after the last batch is what one run over all events finds."""
     from tidewatch.plans.catalog.rules import P as RP
     src, found, seen, ck = (scratch_path(spark, n) for n in ("detect-in", "detect-findings", "detect-analysed", "detect-state"))
     e = events(spark, sf)
-    e.write.parquet(f"{src}/batch=0")
-    J.detect_stream(spark, src, e.schema, found, seen, ck, RP, once=True).awaitTermination()
+    e.repartition(6, F.xxhash64("event_id")).write.parquet(f"{src}/batch=0")
+    J.detect_stream(spark, src, e.schema, found, seen, ck, Detection(**{**RP.__dict__, "lookback_hours": None}), once=True, per_trigger=2).awaitTermination()
     return J.current_findings(spark, found, seen).select("website_id", "rule_id", "subject", "event_id", "confidence")
 
 
@@ -149,6 +150,7 @@ V["sz"] = """
 SELECT l.website_id, l.session_key, l.feature, greatest(0, (COALESCE(value, median) - median) / scale * CASE WHEN feature IN ('median_page_gap_s', 'interaction_per_page')
   THEN -1 ELSE 1 END) AS z FROM slong l JOIN sbase USING (website_id, feature)"""
 ORACLES = {
+    "detect_stream": "SELECT website_id, rule_id, subject, event_id, confidence FROM allf",
     "session_matrix": "SELECT website_id, session_key, " + ", ".join(ANOMALY_FEATURES) + " FROM smat",
     "robust_baseline": "SELECT website_id, feature, round(median, 5) AS median, round(scale, 5) AS scale FROM sbase",
     "directional_z": "SELECT website_id, session_key, " + ", ".join(f"round(max(z) FILTER (feature = '{f}'), 7) AS z_{f}" for f in ANOMALY_FEATURES) + " FROM sz GROUP BY 1, 2",

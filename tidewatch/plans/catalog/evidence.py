@@ -391,6 +391,8 @@ FROM fx_incidents i LEFT JOIN (SELECT website_id, incident_id, count(DISTINCT st
 LEFT JOIN (SELECT website_id, incident_id, count(*) AS n, count(*) FILTER (status = 'evidence_found') AS e FROM fx_intel GROUP BY 1, 2) t USING (website_id, incident_id)"""
 
 ORACLES = {
+    "parse_model_output": """
+SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role END AS role, CASE WHEN turn % 3 < 2 THEN 'ok' ELSE 'invalid_output' END AS parse_status FROM conversations""",
     "evidence_refs": """
 SELECT website_id, incident_id, 'C:correlation' AS label, 'correlation' AS kind, array_to_string(list_slice(list(event_id ORDER BY us, event_id), 1, 10), ',') AS event_ids, '' AS finding_ids
 FROM ie GROUP BY 1, 2

@@ -434,6 +434,9 @@ SELECT event_id, event_type, CASE WHEN event_type = 'waf_alert' THEN {NOW} ELSE
 SELECT event_id, CASE WHEN event_type = 'login_failure' THEN 'auth' ELSE 'sdk' END AS source,
   CASE WHEN event_type <> 'login_failure' AND source_ip IS NULL THEN '198.51.100.1' ELSE source_ip END AS source_ip FROM ev""",
     "mask_text": f"SELECT doc_id, {_mask_sql('text')} AS text FROM documents",
+    "mask_value": f"""
+SELECT doc_id, CAST(to_json({{'inner': {{'api_key': '[REDACTED]', 'list': [{_mask_sql('lang')}, {_mask_sql('source')}]}}, 'text': {_mask_sql('text')}}}) AS VARCHAR) AS masked
+FROM documents""",
     "mask_map": f"SELECT doc_id, '[REDACTED]' AS api_key, {_mask_sql('text')} AS text FROM documents",
     "redact_secret_keys": "SELECT doc_id, '[REDACTED]' AS api_key, text FROM documents",
     "is_sensitive_key": f"SELECT doc_id, regexp_matches(lower(text), '{_KEYS}') AS sensitive FROM documents",
