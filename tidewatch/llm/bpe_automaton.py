@@ -6,6 +6,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -108,18 +109,21 @@ class Automaton:
         return path
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+
+
 class WordCache(dict):
     """Ids of words as little-endian bytes; the words of two generations are kept."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, room: int = CACHE_WORDS):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.room, self.old = encode, room, {}
 
     def __missing__(self, word):
         ids = self.old.get(word)
         if ids is None:
-            ids = np.asarray(self.encode(word), "<u4").tobytes()
-        if len(self) >= CACHE_WORDS:
+            ids = _PACK[n](*found) if (n := len(found := self.encode(word))) < 16 else struct.pack(f"<{n}I", *found)
+        if len(self) >= self.room:
             self.old = dict(self)
             self.clear()
         self[word] = ids

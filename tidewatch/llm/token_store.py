@@ -19,6 +19,7 @@ from tidewatch.llm.bpe_automaton import WordCache, byte_letters
 from tidewatch.session import scratch_path
 
 SHARD_TOKENS = 1 << 22
+CACHE_WORDS = 400_000      # words remembered by a worker, twice over
 BLOCK = 512                # bits between two entries of a rank directory
 # In texts of these characters lower-casing and the split into words do not depend on the Unicode version; others go to the library whole.
 # The word pattern of the vocabulary, with the letters and digits of this range spelled out.
@@ -34,7 +35,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.special = [a["content"] for a in json.loads(self.library.to_str())["added_tokens"]]
         letter = {b: c for c, b in byte_letters().items()}
-        self.ids_of = WordCache(lambda w: [t.id for t in self.library.model.tokenize("".join(letter[b] for b in w.encode()))])
+        tokenize = self.library.model.tokenize
+        self.ids_of = WordCache(lambda w: [t.id for t in tokenize(w if w.isascii() else "".join(letter[b] for b in w.encode()))], CACHE_WORDS)
 
     def encode(self, text: str) -> np.ndarray:
         if not SIMPLE.fullmatch(text) or any(s in text for s in self.special):
