@@ -1,4 +1,5 @@
 """Risk, lifecycle, anomaly model and streaming."""
+import math
 import random
 
 import numpy as np
@@ -11,7 +12,7 @@ from tidewatch.operators import lifecycle as L
 from tidewatch.operators import risk as R
 from tidewatch.operators import sessions as S
 from tidewatch.operators.forest import mean_path
-from tidewatch.params import STATES, TRANSITIONS, Anomaly
+from tidewatch.params import STAGES, STATES, TRANSITIONS, Anomaly
 from tidewatch.streaming import jobs as J
 
 FIND = "website_id STRING, incident_id STRING, finding_id STRING, agent_name STRING, finding_type STRING, category STRING, rule_id STRING, confidence DOUBLE, anomaly_score DOUBLE"
@@ -28,32 +29,48 @@ def scored(spark, findings=(), stages=(), events=144, strength=0.75, paths=("/ap
     return r, {x["factor"]: (x["value"], x["status"]) for x in r.factors}
 
 
-HERO = [("rule_engine", "auth_anomaly", "login_success_after_failure_burst", 0.9, None), ("rule_engine", "attack_indicator", "sql_injection_indicator", 0.85, None),
-        ("rule_engine", "behavior_anomaly", "non_human_navigation", 0.7, None), ("anomaly_model", "ml_anomaly", "ml_session_anomaly", 0.8, 0.8)]
-ALL = ("abnormal_navigation", "credential_attack", "authentication_success", "new_session", "sensitive_access", "attack_indicator")
-
-
-def test_risk_of_a_full_chain_and_of_nothing(spark):
-    r, f = scored(spark, HERO, ALL)
-    # 10*.7 + 10*.6 + 20*.85 + 20*1 + 10*1 + 15*(.4+.3+.3*.75) + 10*1
-    assert r.risk_score == pytest.approx(83.9, abs=0.05) and r.risk_level == "HIGH" and f["anomaly"][0] == pytest.approx(0.6)
-    assert r.confidence == pytest.approx(round(0.4 + 0.35 * (0.9 + 0.85 + 0.8) / 3 + 0.25 * 0.75, 2))
-    assert r.evidence_gaps == ["threat_intel_not_run", "no_asset_context"]
-    r, f = scored(spark, events=0, strength=None, paths=())
-    assert r.risk_score == 0 and r.risk_level == "LOW" and r.confidence == 0 and f["anomaly"] == (0.0, "not_observed") and f["asset_impact"][1] == "not_observed"
-
-
-def test_intel_assets_and_truncation(spark):
-    none, real, synth = [("ip", "no_evidence", False)], [("ip", "evidence_found", False), ("cve", "evidence_found", False)], [("ip", "evidence_found", True)]
-    assert scored(spark, HERO, ALL, intel=none)[1]["threat_intel"] == (0.0, "no_evidence")
-    assert scored(spark, HERO, ALL, intel=real)[1]["threat_intel"] == (pytest.approx(0.85), "observed")
-    assert scored(spark, HERO, ALL, intel=synth)[1]["threat_intel"] == (0.0, "excluded")
-    assert scored(spark, HERO, ALL, intel=[("attack_technique", "evidence_found", False)])[1]["threat_intel"][1] == "no_evidence"
-    cut = scored(spark, HERO, ALL, truncated=True)[0]
-    assert cut.confidence == pytest.approx(scored(spark, HERO, ALL)[0].confidence - 0.1, abs=0.011) and "truncated_evidence" in cut.evidence_gaps
-    cases = {"/api/admin/users": 1.0, "/api/account/profile": 0.7, "/api/search": 0.4, "/api/account/payment-methods/1": 1.0, "/products": 0.2, "/administrator": 0.2, "/api/admin?x=1": 1.0}
-    d = spark.createDataFrame([(k,) for k in cases], "p STRING").select("p", R.asset_value(F.col("p")).alias("v"))
-    assert {r.p: r.v for r in d.collect()} == cases
+def plain_risk(findings, stages, events, strength, paths, intel, p):
+    """The eight factors of an incident, written out."""
+    by = lambda kind: [f for f in findings if f[1] == kind]
+    clamp = lambda v: max(0.0, min(1.0, v))
+    attack = by("attack_indicator")
+    real = [x for x in intel or [] if x[1] == "evidence_found" and x[0] in ("ip", "domain", "cve") and not x[2]]
+    asset = [max([v for k, v in p.asset_values.items() if (x.lower() + "/").startswith(k.lower().rstrip("/") + "/")], default=p.asset_default,
+                 key=lambda v: max(len(k) for k, w in p.asset_values.items() if w == v)) for x in paths]
+    login, sensitive = "authentication_success" in stages, "sensitive_access" in stages
+    value = {
+        "behavior": max([f[3] for f in by("behavior_anomaly")], default=0.0),
+        "anomaly": clamp((max([f[4] for f in by("ml_anomaly")], default=0.0) - p.score_floor) / (1 - p.score_floor)),
+        "attack_indicators": clamp(max([f[3] for f in attack], default=0.0) + p.breadth_bonus * (len({f[2] for f in attack}) - 1)) if attack else 0.0,
+        "authentication": max([p.auth_values.get(f[2], p.auth_default) for f in by("auth_anomaly")], default=0.0),
+        "sensitive_endpoint": (p.sensitive_login_value if login else p.sensitive_value) if sensitive else 0.0,
+        "correlation": (p.stage_weight * len(set(stages)) / len(STAGES) + p.size_weight * clamp(math.log1p(events) / math.log1p(p.size_saturation)) + p.strength_weight * (strength or 0))
+        / (p.stage_weight + p.size_weight + p.strength_weight),
+        "asset_impact": max(asset, default=0.0),
+        "threat_intel": clamp(p.intel_first + p.intel_each * (len(real) - 1)) if real else 0.0,
+    }
+    return value, round(100 * sum(p.weights[k] * v for k, v in value.items()) / sum(p.weights[k] for k in value), 1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_risk_of_generated_incidents(spark, seed):
+    rng = random.Random(seed)
+    kinds = [("rule_engine", "auth_anomaly"), ("rule_engine", "attack_indicator"), ("rule_engine", "behavior_anomaly"), ("anomaly_model", "ml_anomaly")]
+    findings = []
+    for _ in range(rng.randint(0, 7)):
+        agent, kind = rng.choice(kinds)
+        findings.append((agent, kind, rng.choice([*R.Risk().auth_values, "x1", "x2"]), round(rng.uniform(0.3, 0.95), 2), round(rng.uniform(0.4, 0.95), 2) if kind == "ml_anomaly" else None))
+    stages = rng.sample(STAGES, rng.randint(0, len(STAGES)))
+    paths = rng.sample(["/zz", "/api/admin/q", "/api/account/payment-methods", "/api/search/x"], rng.randint(0, 3))
+    intel = rng.choice([None, [("cve", "evidence_found", False)] * rng.randint(1, 3), [("ip", "evidence_found", True)], [("domain", "no_evidence", False)]])
+    events, strength = rng.randint(1, 400), rng.choice([None, round(rng.random(), 2)])
+    r, f = scored(spark, findings, stages, events, strength, paths, intel)
+    value, score = plain_risk(findings, stages, events, strength, paths, intel, R.Risk())
+    assert {k: v for k, (v, _) in f.items()} == pytest.approx(value, abs=1e-3)
+    assert r.risk_score == pytest.approx(score, abs=0.11) and 0 <= r.confidence <= 1
+    assert ("threat_intel_not_run" in r.evidence_gaps) == (intel is None)
+    cut = scored(spark, findings, stages, events, strength, paths, intel, truncated=True)[0]
+    assert cut.confidence <= r.confidence and "truncated_evidence" in cut.evidence_gaps
 
 
 def test_replay_of_many_moves_equals_a_fold(spark, monkeypatch):
