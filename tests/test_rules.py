@@ -204,3 +204,16 @@ def test_session_summary_like_plain_counts(mk, parts):
         assert (r.event_count, r.page_views, r.login_failures, r.inferred) == (len(events), len(views), sum(e[KIND] == "login_failure" for e in events), events[0][SID] is None)
         assert r.distinct_failed_users == len({e[UID] for e in events if e[KIND] == "login_failure" and e[UID]})
         assert r.median_page_gap_s == (pytest.approx(statistics.median((b - a) / 1e6 for a, b in zip(views, views[1:]))) if len(views) > 1 else None)
+
+
+def test_later_steps_read_every_citation(mk, spark):
+    from tidewatch.operators import correlate as C
+    from tidewatch.plans.analyse import detect_with_citations
+    rows = mk.failures(620, step=0.05, ip="192.0.2.77", users=["a"], sid="long")
+    events = mk.frame(rows)
+    findings, cited = detect_with_citations(events, model=None)
+    f = findings.collect()
+    assert [(len(x.event_ids), x.cited_events, x.event_ids_truncated) for x in f] == [(500, 620, True)]
+    assert R.suspicious_events(findings, cited).count() == C.seed_events(findings, events, cited).count() == 620
+    assert {r.n for r in R.detection_counters(events, findings, cited).where("metric = 'suspicious_events'").collect()} == {620}
+    assert C.clusters(events, findings, cited=cited).where("is_seed").count() == 620

@@ -43,18 +43,21 @@ def link_strength(rel: Column, gap_us: Column, p: Correlation) -> Column:
 
 
 # ------------------------------------------------------------------------------------------------ seeds and chains
-def cited_pairs(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """(website, finding, event) for anchors and cited events, both only if loaded; a finding counts if its anchor is."""
+def cited_pairs(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """(website, finding, event) for anchors and cited events, both only if loaded; a finding counts if its anchor is.
+
+    ``cited`` holds all citations in long form; without it the ids listed with the findings are taken."""
     kind = events.schema["event_id"].dataType
     keys = events.select("website_id", "event_id")
     live = findings.join(keys, ["website_id", "event_id"], "left_semi")
-    pairs = live.select("website_id", "finding_id", "event_id").unionByName(
-        live.select("website_id", "finding_id", F.explode(F.col("event_ids").cast(T.ArrayType(kind))).alias("event_id")))
+    others = (live.select("website_id", "finding_id", F.explode(F.col("event_ids").cast(T.ArrayType(kind))).alias("event_id")) if cited is None
+              else cited.join(live.select("website_id", "finding_id"), ["website_id", "finding_id"], "left_semi").select("website_id", "finding_id", "event_id"))
+    pairs = live.select("website_id", "finding_id", "event_id").unionByName(others)
     return pairs.join(keys, ["website_id", "event_id"], "left_semi").distinct()
 
 
-def seed_events(findings: DataFrame, events: DataFrame) -> DataFrame:
-    return cited_pairs(findings, events).select("website_id", "event_id").distinct()
+def seed_events(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    return cited_pairs(findings, events, cited).select("website_id", "event_id").distinct()
 
 
 def _entities(events: DataFrame) -> DataFrame:
@@ -96,12 +99,12 @@ def event_runs(groups: DataFrame, p: Correlation = Correlation()) -> DataFrame:
     return runs.select("website_id", "event_id", "ts_us", node.alias("node"))
 
 
-def clusters(events: DataFrame, findings: DataFrame, p: Correlation = Correlation()) -> DataFrame:
+def clusters(events: DataFrame, findings: DataFrame, p: Correlation = Correlation(), cited: DataFrame | None = None) -> DataFrame:
     """Members of all clusters: (website_id, cluster_event, cluster_id, event_id, ts_us, is_seed).
 
     Components are found on runs, not on events: runs sharing an event are joined by an edge, so the graph is far
     smaller than the event table."""
-    seeds = checkpointed(seed_events(findings, events)).withColumn("is_seed", F.lit(True))
+    seeds = checkpointed(seed_events(findings, events, cited)).withColumn("is_seed", F.lit(True))
     groups = entity_groups(events, seeds)
     in_run = checkpointed(event_runs(groups, p))              # read for edges and for membership
     per = in_run.groupBy("website_id", "event_id").agg(F.collect_set("node").alias("nodes"))     # at most three nodes
@@ -121,7 +124,7 @@ def clusters(events: DataFrame, findings: DataFrame, p: Correlation = Correlatio
         F.bool_or("is_seed").alias("_live"),
         F.min(F.struct("ts_us", "event_id"))["event_id"].alias("cluster_event")).where("_live").drop("_live")
     out = spread_join(placed.drop("node"), heads, ["component"]).drop("component")
-    cid = F.concat(F.lit("clu_"), F.left(F.sha2(F.col("cluster_event").cast("string"), 256), F.lit(12)))
+    cid = F.concat(F.lit("clu_"), F.left(F.sha2(F.col("cluster_event").cast("string"), 256), F.lit(32)))
     return out.select(*CLUSTER, cid.alias("cluster_id"), "event_id", "ts_us", "is_seed")
 
 
@@ -139,11 +142,11 @@ def cluster_findings(members: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ stages
-def cited_categories(findings: DataFrame, events: DataFrame) -> DataFrame:
+def cited_categories(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """Per event the set of finding categories citing it, with a mark for attack indicators."""
     cats = findings.select("website_id", "finding_id", F.array_compact(F.array(
         F.col("category"), F.when(F.col("finding_type") == "attack_indicator", F.lit(ATTACK_MARK)))).alias("c"))
-    pairs = cited_pairs(findings, events).join(cats, ["website_id", "finding_id"])
+    pairs = cited_pairs(findings, events, cited).join(cats, ["website_id", "finding_id"])
     return (pairs.select("website_id", "event_id", F.explode("c").alias("c")).groupBy("website_id", "event_id")
             .agg(F.sort_array(F.collect_set("c")).alias("categories")))
 
@@ -164,7 +167,7 @@ def stage_order(stage: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage).cast("int")
 
 
-def detect_stages(members: DataFrame, findings: DataFrame, keys=CLUSTER) -> DataFrame:
+def detect_stages(members: DataFrame, findings: DataFrame, keys=CLUSTER, cited: DataFrame | None = None) -> DataFrame:
     """Events of each cluster that carry a stage.  Clusters without a credential attack, abnormal navigation or attack
     indicator have no stages at all.  Only findings anchored in the same cluster count."""
     own = members.select(*keys, "event_id")
@@ -172,10 +175,14 @@ def detect_stages(members: DataFrame, findings: DataFrame, keys=CLUSTER) -> Data
     cats = F.array_compact(F.array(F.col("category"), F.when(F.col("finding_type") == "attack_indicator", F.lit(ATTACK_MARK))))
     inside = findings.join(own, ["website_id", "event_id"])
     ids = F.array_union(F.array(F.col("event_id").cast("string")), F.coalesce("event_ids", F.array().cast("array<string>")))
-    cited = (inside.select(*keys, F.explode(ids.cast(T.ArrayType(kind))).alias("event_id"), cats.alias("c"))
-             .select(*keys, "event_id", F.explode("c").alias("c")).groupBy(*keys, "event_id")
+    if cited is None:
+        long = inside.select(*keys, F.explode(ids.cast(T.ArrayType(kind))).alias("event_id"), cats.alias("c"))
+    else:
+        own_event = inside.select(*keys, "event_id", cats.alias("c"))
+        long = own_event.unionByName(cited.join(inside.select(*keys, "finding_id", cats.alias("c")), ["website_id", "finding_id"]).select(*keys, "event_id", "c"))
+    marks = (long.select(*keys, "event_id", F.explode("c").alias("c")).groupBy(*keys, "event_id")
              .agg(F.collect_set("c").alias("categories")))
-    rows = (members.join(cited, [*keys, "event_id"], "left").withColumn("stage", stage_of()).drop("categories")
+    rows = (members.join(marks, [*keys, "event_id"], "left").withColumn("stage", stage_of()).drop("categories")
             .where(F.col("stage").isNotNull()))
     live = rows.where(F.col("stage").isin(*ANCHORING)).select(*keys).distinct()
     return spread_join(rows, live, keys, "left_semi").withColumn("stage_no", stage_order(F.col("stage")))
@@ -341,7 +348,9 @@ def cluster_summary(members: DataFrame, findings: DataFrame, links: DataFrame, s
 
 
 def list_cluster_summaries(summaries: DataFrame, top: int = 50) -> DataFrame:
-    return summaries.orderBy(F.desc("max_confidence"), "first_us", "cluster_id").limit(top)
+    """The first clusters of each tenant."""
+    order = [F.desc("max_confidence"), F.asc("first_us"), F.asc("cluster_id")]
+    return top_k(summaries, ["website_id"], order, top, "cluster_id", "rank").orderBy("website_id", "rank").drop("rank")
 
 
 def incident_details(summaries: DataFrame, members: DataFrame, stages: DataFrame, p: Correlation = Correlation()) -> DataFrame:
@@ -397,11 +406,11 @@ def reconcile_incidents(candidates: DataFrame, matched: DataFrame, existing: Dat
 
     An unmatched incident is removed only while DETECTED, without feedback, and made by correlation."""
     new = candidates.join(matched, CLUSTER, "left")
-    judged = feedback.select("incident_id").distinct().withColumn("judged", F.lit(True))
+    judged = feedback.select("website_id", "incident_id").distinct().withColumn("judged", F.lit(True))
     made = new.select("website_id", F.col("cluster_event").cast("string").alias("cluster_event"), "title", "incident_id",
                       F.when(F.col("incident_id").isNull(), "created").otherwise("updated").alias("action"))
     rest = (existing.join(matched.select("website_id", "incident_id"), ["website_id", "incident_id"], "left_anti")
-            .join(judged, "incident_id", "left"))
+            .join(judged, ["website_id", "incident_id"], "left"))
     untouched = (F.col("status") == "DETECTED") & F.col("judged").isNull() & (F.col("basis") == "deterministic_correlation")
     action = F.when(untouched, "removed").when(F.coalesce("stale", F.lit(False)), "kept_stale").otherwise("stale")
     gone = rest.select("website_id", F.lit(None).cast("string").alias("cluster_event"), F.lit(None).cast("string").alias("title"),

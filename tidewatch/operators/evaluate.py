@@ -23,41 +23,42 @@ def scores(counts: DataFrame) -> DataFrame:
     return (counts.withColumn("precision", F.round(prec, 4)).withColumn("recall", F.round(rec, 4)).withColumn("f1", F.round(f1, 4)))
 
 
-def flagged_events(findings: DataFrame) -> DataFrame:
+def flagged_events(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """Distinct events carrying or cited by a finding; ``anchor`` marks the carriers."""
-    own = findings.select(F.col("event_id").cast("string").alias("event_id"), F.lit(True).alias("anchor"))
-    cited = findings.select(F.explode("event_ids").alias("event_id"), F.lit(False).alias("anchor"))
-    return own.unionByName(cited).groupBy("event_id").agg(F.bool_or("anchor").alias("anchor"))
+    own = findings.select("website_id", F.col("event_id").cast("string").alias("event_id"), F.lit(True).alias("anchor"))
+    others = findings.select("website_id", F.explode("event_ids").alias("event_id")) if cited is None else cited.select("website_id", F.col("event_id").cast("string").alias("event_id"))
+    return own.unionByName(others.withColumn("anchor", F.lit(False))).groupBy("website_id", "event_id").agg(F.bool_or("anchor").alias("anchor"))
 
 
-def _judged(findings: DataFrame, labels: DataFrame) -> DataFrame:
+def _judged(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     lab = labels.withColumn("event_id", F.col("event_id").cast("string"))
-    d = lab.join(flagged_events(findings), "event_id", "left")
+    d = lab.join(flagged_events(findings, cited), ["website_id", "event_id"], "left")
     return d.withColumn("flagged", F.col("anchor").isNotNull()).withColumn("malicious", F.col("label") == "malicious")
 
 
-def evaluate_events(findings: DataFrame, labels: DataFrame) -> DataFrame:
-    return scores(_judged(findings, labels).agg(*confusion()))
+def evaluate_events(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    return scores(_judged(findings, labels, cited).agg(*confusion()))
 
 
-def scenario_report(findings: DataFrame, labels: DataFrame) -> DataFrame:
+def scenario_report(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """Per scenario: events, flagged events, whether any event carries a finding."""
-    return _judged(findings, labels).groupBy("scenario").agg(
+    return _judged(findings, labels, cited).groupBy("scenario").agg(
         F.count(F.lit(1)).alias("events"), F.count_if("flagged").alias("flagged"),
         F.bool_or(F.coalesce("anchor", F.lit(False))).alias("has_finding"))
 
 
-def false_positive_examples(findings: DataFrame, labels: DataFrame, k: int = 5) -> DataFrame:
+def false_positive_examples(findings: DataFrame, labels: DataFrame, k: int = 5, cited: DataFrame | None = None) -> DataFrame:
     """First ``k`` benign flagged events by id, with the rules anchored on them."""
-    wrong = _judged(findings, labels).where(F.col("flagged") & ~F.col("malicious")).select("event_id").orderBy("event_id").limit(k)
-    rules = findings.select(F.col("event_id").cast("string").alias("event_id"), "rule_id")
-    return (wrong.join(rules, "event_id", "left").groupBy("event_id").agg(F.sort_array(F.collect_set("rule_id")).alias("rules"))
-            .orderBy("event_id"))
+    wrong = (_judged(findings, labels, cited).where(F.col("flagged") & ~F.col("malicious")).select("website_id", "event_id")
+             .orderBy("event_id", "website_id").limit(k))
+    rules = findings.select("website_id", F.col("event_id").cast("string").alias("event_id"), "rule_id")
+    return (wrong.join(rules, ["website_id", "event_id"], "left").groupBy("website_id", "event_id")
+            .agg(F.sort_array(F.collect_set("rule_id")).alias("rules")).orderBy("event_id", "website_id"))
 
 
 def session_truth(keyed: DataFrame, labels: DataFrame) -> DataFrame:
     """Label of each session: malicious if any event is; the scenario is that of the deciding event."""
-    d = keyed.join(labels, "event_id")
+    d = keyed.join(labels, ["website_id", "event_id"])
     first = F.struct((F.col("label") != "malicious").alias("o"), "ts_us", "event_id")
     return (d.groupBy("website_id", "session_key").agg(F.min_by(F.struct("label", "scenario"), first).alias("t"))
             .select("website_id", "session_key", "t.label", "t.scenario"))

@@ -284,17 +284,29 @@ def _lookup(column: Column, values: dict) -> Column:
     return F.coalesce(*[F.when(column == k, F.lit(v)) for k, v in values.items() if v is not None])
 
 
+def _finding_id() -> Column:
+    text = F.concat_ws("|", "website_id", "rule_id", F.col("event_id").cast("string"), "subject", "group_key")
+    return F.concat(F.lit("fnd_"), F.left(F.sha2(text, 256), F.lit(32)))
+
+
+def citations(rule: Rule) -> DataFrame:
+    """(website_id, finding_id, event_id): every event that a finding cites, however many.  Later steps read this, not the short list."""
+    hits, cites = rule
+    return spread_join(cites.select(*KEY, "event_id"), hits.select(*KEY, _finding_id().alias("finding_id")), KEY).select("website_id", "finding_id", "event_id")
+
+
 def finding_envelope(rule: Rule, p: Detection = Detection()) -> DataFrame:
-    """Findings in the common shape, with stable ids so that a re-run gives equal rows."""
+    """Findings in the common shape, with stable ids so that a re-run gives equal rows.
+
+    ``event_ids`` lists the first MAX_CITED events for show, ``cited_events`` counts them all; ``citations`` has the whole."""
     hits, cites = rule
     ids = first_ids(cites, KEY, MAX_CITED)
     out = hits.join(ids, KEY, "left")
-    text = F.concat_ws("|", "website_id", "rule_id", F.col("event_id").cast("string"), "subject", "group_key")
     limits = F.coalesce(*[F.when(F.col("rule_id") == r, F.create_map(
         *[x for k, v in p.thresholds(r).items() for x in (F.lit(k), F.lit(float(v)))])) for r in RULES])
     col = F.col("rule_id")
     return out.select(
-        F.concat(F.lit("fnd_"), F.left(F.sha2(text, 256), F.lit(32))).alias("finding_id"), "website_id",
+        _finding_id().alias("finding_id"), "website_id",
         F.lit(RULE_AGENT).alias("agent_name"), "rule_id", _lookup(col, {r: v[0] for r, v in RULES.items()}).alias("title"),
         _lookup(col, {r: v[1] for r, v in RULES.items()}).alias("finding_type"),
         _lookup(col, {r: v[2] for r, v in RULES.items()}).alias("category"),
@@ -304,7 +316,12 @@ def finding_envelope(rule: Rule, p: Detection = Detection()) -> DataFrame:
 
 
 def evaluate_rules(events: DataFrame, p: Detection = Detection()) -> DataFrame:
-    """Findings of every enabled rule.  Failure runs and attack matches are built once per distinct parameter and shared."""
+    """Findings of every enabled rule."""
+    return finding_envelope(all_rules(events, p), p)
+
+
+def all_rules(events: DataFrame, p: Detection = Detection()) -> Rule:
+    """Hits and cites of every enabled rule; rules that read the same failure runs or attack matches share their plans."""
     first = failure_runs(events, p.burst_gap_s)
     second = first if p.multi_gap_s == p.burst_gap_s else failure_runs(events, p.multi_gap_s)
     attacks = attack_events(events, p)
@@ -326,16 +343,18 @@ def evaluate_rules(events: DataFrame, p: Detection = Detection()) -> DataFrame:
         raise ValueError("no rule is enabled")
     hits = reduce(DataFrame.unionByName, [h for h, _ in parts])
     cites = reduce(DataFrame.unionByName, [c for _, c in parts])
-    return finding_envelope((hits, cites), p)
+    return hits, cites
 
 
-def suspicious_events(findings: DataFrame) -> DataFrame:
-    """Distinct events that carry a finding or are cited by one."""
+def suspicious_events(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    """Distinct events that carry a finding or are cited by one; without ``cited`` (see ``citations``) those listed with it."""
     anchor = findings.select("website_id", F.col("event_id").cast("string").alias("event_id"))
-    return anchor.unionByName(findings.select("website_id", F.explode("event_ids").alias("event_id"))).distinct()
+    others = (findings.select("website_id", F.explode("event_ids").alias("event_id")) if cited is None
+              else cited.select("website_id", F.col("event_id").cast("string").alias("event_id")))
+    return anchor.unionByName(others).distinct()
 
 
-def detection_counters(events: DataFrame, findings: DataFrame) -> DataFrame:
+def detection_counters(events: DataFrame, findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """Long table (website_id, metric, key, n): events, findings by rule / type / total, anchors, suspicious events."""
     sets = [[F.col("website_id"), F.col("rule_id")], [F.col("website_id"), F.col("finding_type")], [F.col("website_id")]]
     by = (findings.groupingSets(sets, F.col("website_id"), F.col("rule_id"), F.col("finding_type"))
@@ -348,7 +367,7 @@ def detection_counters(events: DataFrame, findings: DataFrame) -> DataFrame:
             "website_id", F.lit(name).alias("metric"), F.lit("all").alias("key"), "n")
     return (by.unionByName(total(events, "events_analyzed"))
             .unionByName(total(findings.select("website_id", "event_id").distinct(), "anchor_events"))
-            .unionByName(total(suspicious_events(findings), "suspicious_events")))
+            .unionByName(total(suspicious_events(findings, cited), "suspicious_events")))
 
 
 def rule_catalogue(spark: SparkSession, p: Detection = Detection()) -> DataFrame:

@@ -68,16 +68,16 @@ def count_findings(findings: DataFrame, events: DataFrame) -> DataFrame:
     return findings.join(keys, ["website_id", "event_id"], "left_semi").groupBy("website_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
-def suspicious_event_count(findings: DataFrame) -> DataFrame:
-    return suspicious_events(findings).groupBy("website_id").agg(F.count(F.lit(1)).alias("suspicious_events"))
+def suspicious_event_count(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+    return suspicious_events(findings, cited).groupBy("website_id").agg(F.count(F.lit(1)).alias("suspicious_events"))
 
 
-def kpis(events: DataFrame, findings: DataFrame, incidents: DataFrame, alerts: DataFrame) -> DataFrame:
+def kpis(events: DataFrame, findings: DataFrame, incidents: DataFrame, alerts: DataFrame, cited: DataFrame | None = None) -> DataFrame:
     """Key figures per tenant."""
     active = ~F.coalesce("status", F.lit("DETECTED")).isin(*CLOSED_STATES)
     high = F.coalesce(F.col("risk_level").isin("HIGH", "CRITICAL"), F.lit(False))
     parts = [
-        events.groupBy("website_id").agg(F.count(F.lit(1)).alias("total_events")), suspicious_event_count(findings),
+        events.groupBy("website_id").agg(F.count(F.lit(1)).alias("total_events")), suspicious_event_count(findings, cited),
         incidents.groupBy("website_id").agg(F.count_if(active).alias("active_incidents"), F.count_if(active & high).alias("high_risk_incidents")),
         alerts.groupBy("website_id").agg(F.count_if(F.coalesce("status", F.lit("open")) == "open").alias("open_alerts"))]
     d = reduce(lambda a, b: a.join(b, "website_id", "full"), parts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import correlate as C
 from tidewatch.operators import risk as R
 from tidewatch.operators.anomaly import anomaly_findings
-from tidewatch.operators.rules import evaluate_rules
+from tidewatch.operators.rules import all_rules, citations, finding_envelope
 from tidewatch.operators.sessions import session_summary
 from tidewatch.params import Anomaly, Correlation, Detection, Risk
 from tidewatch.session import checkpointed
@@ -28,16 +28,25 @@ class Correlated:
 
 def detect(events: DataFrame, p: Detection = Detection(), model: Anomaly | None = Anomaly()) -> DataFrame:
     """Findings of the rules and, unless ``model`` is None, of the session anomaly model."""
-    found = checkpointed(evaluate_rules(events, p))
+    return detect_with_citations(events, p, model)[0]
+
+
+def detect_with_citations(events: DataFrame, p: Detection = Detection(), model: Anomaly | None = Anomaly()) -> tuple[DataFrame, DataFrame]:
+    """Findings, and all events that they cite in long form."""
+    hits, cites = all_rules(events, p)
+    rules = checkpointed(hits), checkpointed(cites)
+    found, cited = checkpointed(finding_envelope(rules, p)), checkpointed(citations(rules))
     if model is None:
-        return found
-    return found.unionByName(checkpointed(anomaly_findings(events, checkpointed(session_summary(events)), model)))
+        return found, cited
+    more = checkpointed(anomaly_findings(events, checkpointed(session_summary(events)), model))
+    listed = more.select("website_id", "finding_id", F.explode("event_ids").cast(events.schema["event_id"].dataType).alias("event_id"))
+    return found.unionByName(more), cited.unionByName(listed)
 
 
-def correlate(events: DataFrame, findings: DataFrame, p: Correlation = Correlation()) -> Correlated:
-    members = checkpointed(C.cluster_events(C.clusters(events, findings, p), events))
-    stages = checkpointed(C.detect_stages(members, findings))
-    chain = C.chain_links(C.entity_groups(events, C.seed_events(findings, events)), p)
+def correlate(events: DataFrame, findings: DataFrame, p: Correlation = Correlation(), cited: DataFrame | None = None) -> Correlated:
+    members = checkpointed(C.cluster_events(C.clusters(events, findings, p, cited), events))
+    stages = checkpointed(C.detect_stages(members, findings, cited=cited))
+    chain = C.chain_links(C.entity_groups(events, C.seed_events(findings, events, cited)), p)
     links = checkpointed(C.cluster_links(members, findings, chain, stages, p))
     return Correlated(members, stages, links, checkpointed(C.cluster_summary(members, findings, links, stages, p)))
 
@@ -51,7 +60,7 @@ def score(c: Correlated, findings: DataFrame, events: DataFrame, intel: DataFram
     found = findings.join(keys, ["website_id", "event_id"])
     if "anomaly_score" not in findings.columns:
         found = found.withColumn("anomaly_score", F.try_element_at("derived", F.lit("anomaly_score")))
-    links = C.cap_links(c.links, p.max_links).join(name, C.CLUSTER)
+    links = c.links.join(name, C.CLUSTER)
     stages = c.stages.join(name, C.CLUSTER)
     made = events.join(keys, ["website_id", "event_id"]).select("website_id", "incident_id", F.coalesce(
         F.col("is_synthetic") if "is_synthetic" in events.columns else F.lit(False), F.lit(False)).alias("is_synthetic"))

@@ -17,8 +17,13 @@ def findings(spark, sf):
     return fx(spark, sf, "fx_findings").join(cited, "finding_id")
 
 
+def cited(spark, sf):
+    """The same citations in long form."""
+    return fx(spark, sf, "fx_cited").select("website_id", "finding_id", F.col("cited_id").alias("event_id"))
+
+
 def seeds(spark, sf):
-    return C.seed_events(findings(spark, sf), events(spark, sf))
+    return C.seed_events(findings(spark, sf), events(spark, sf), cited(spark, sf))
 
 
 def groups(spark, sf):
@@ -26,11 +31,11 @@ def groups(spark, sf):
 
 
 def members(spark, sf):
-    return stored(spark, sf, "members", lambda: C.cluster_events(C.clusters(events(spark, sf), findings(spark, sf), P), events(spark, sf)))
+    return stored(spark, sf, "members", lambda: C.cluster_events(C.clusters(events(spark, sf), findings(spark, sf), P, cited(spark, sf)), events(spark, sf)))
 
 
 def stages(spark, sf):
-    return stored(spark, sf, "stages", lambda: C.detect_stages(members(spark, sf), findings(spark, sf)))
+    return stored(spark, sf, "stages", lambda: C.detect_stages(members(spark, sf), findings(spark, sf), cited=cited(spark, sf)))
 
 
 def links(spark, sf):
@@ -65,12 +70,12 @@ def clusters(spark, sf):
 
 @query
 def cited_categories(spark, sf):
-    return C.cited_categories(findings(spark, sf), events(spark, sf)).select("website_id", "event_id", joined("categories").alias("categories"))
+    return C.cited_categories(findings(spark, sf), events(spark, sf), cited(spark, sf)).select("website_id", "event_id", joined("categories").alias("categories"))
 
 
 @query
 def stage_of(spark, sf):
-    cats = C.cited_categories(findings(spark, sf), events(spark, sf))
+    cats = C.cited_categories(findings(spark, sf), events(spark, sf), cited(spark, sf))
     e = events(spark, sf).withColumn("is_sensitive", F.col("features.is_sensitive_endpoint"))
     return e.join(cats, ["website_id", "event_id"], "left").select("event_id", C.stage_of().alias("stage"))
 
@@ -166,7 +171,7 @@ def reconciled(spark, sf):
     first = members(spark, sf).where(F.col("event_id") == F.col("cluster_event")).select(*C.CLUSTER, F.col("session_id").alias("incident_id"))
     matched = cand.join(first, C.CLUSTER).where(F.col("incident_id").isNotNull()).select(*C.CLUSTER, "incident_id")
     matched = matched.groupBy("website_id", "incident_id").agg(F.min("cluster_event").alias("cluster_event")).select(*C.CLUSTER, "incident_id")
-    judged = old.where(F.col("e") % 4 == 0).select("incident_id")
+    judged = old.where(F.col("e") % 4 == 0).select("website_id", "incident_id")
     return C.reconcile_incidents(cand, matched, old.drop("e"), judged)
 
 
@@ -221,7 +226,7 @@ SELECT e.*, h.cluster_event, h.live FROM (SELECT c.comp, ev.*, s.event_id IS NOT
   LEFT JOIN seeds s USING (event_id)) e JOIN (
   SELECT comp, arg_min(c.event_id, (us, c.event_id)) AS cluster_event, bool_or(s.event_id IS NOT NULL) AS live FROM comp c JOIN ev USING (event_id)
   LEFT JOIN seeds s USING (event_id) GROUP BY 1) h USING (comp) WHERE h.live"""
-_CID = "concat('clu_', substr(sha256(CAST(cluster_event AS VARCHAR)), 1, 12))"
+_CID = "concat('clu_', substr(sha256(CAST(cluster_event AS VARCHAR)), 1, 32))"
 V["cats"] = """
 SELECT DISTINCT c.cited_id AS event_id, unnest(CASE WHEN f.finding_type = 'attack_indicator' THEN [f.category, 'attack_indicator_cat'] ELSE [f.category] END) AS cat
 FROM fx_cited c JOIN fx_findings f USING (finding_id)"""
@@ -345,5 +350,6 @@ SELECT website_id, action, count(*) AS n FROM (
     "list_links": """
 SELECT l.*, us AS ts_us FROM fx_links l JOIN ev e ON e.event_id = l.event_id WHERE relationship_type = 'same_ip'""",
     "list_cluster_summaries": """
-SELECT website_id, cluster_event, cluster_id, max_confidence, first_us FROM csum ORDER BY max_confidence DESC, first_us, cluster_id LIMIT 100""",
+SELECT website_id, cluster_event, cluster_id, max_confidence, first_us FROM csum
+QUALIFY row_number() OVER (PARTITION BY website_id ORDER BY max_confidence DESC, first_us, cluster_id) <= 100""",
 }

@@ -105,7 +105,7 @@ def factor_points(spark, sf):
 
 # ------------------------------------------------------------------------------------------------ evaluation
 def _labels(spark, sf):
-    return events(spark, sf).select("event_id", F.col("event_type").alias("scenario"),
+    return events(spark, sf).select("website_id", "event_id", F.col("event_type").alias("scenario"),
                                     F.when(F.col("status_code") >= 400, "malicious").otherwise("benign").alias("label"))
 
 
