@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,5 +58,7 @@ def bytes_of(column: pa.Array) -> list[bytes]:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):          # the first lets go of plans, the second of what only they held
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, discard, spread_lookup
+from tidewatch.llm.common import cut, discard
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    """Adds to each edge (u, v) the least neighbour ``m`` of u; nodes with very many edges are dealt over several tasks."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree"))
-    return spread_lookup(edges, least, ["u"], "degree", F.col("v")).drop("degree")
+    """Adds to each edge (u, v) the least neighbour ``m`` of u.
+
+    Each node's minimum is repeated for two slices of its edges: both sides of the join are then shuffled for it, so that Spark may
+    divide the edges of a node that has very many of them over several tasks."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("slice", F.explode(F.array(F.lit(0), F.lit(1))))
+    return edges.withColumn("slice", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int")).join(least, ["u", "slice"]).drop("slice")
 
 
 def _mark(df: DataFrame) -> tuple:

@@ -7,52 +7,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import bytes_of, cut, discard, spread_lookup
+from tidewatch.llm.common import bytes_of, cut, discard, release, spread_lookup
 from tidewatch.llm.components import components
-from tidewatch.llm.wordhash import mix, shingle_sets
+from tidewatch.llm.wordhash import mix, shingle_sets, slices
 
 SKETCH_BITS = 20        # n-gram frequencies are kept in 2^20 counters, 8 MB at any input size
 SKETCH_BLOCKS = 64
 PARTS = 64              # hash ranges of the suffix filter
 
 
-def _digest(grams: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit digests of a sorted set of shingles."""
-    with np.errstate(over="ignore"):
-        n = np.uint64(len(grams))
-        a = int(mix(np.atleast_1d(mix(grams).sum(dtype=np.uint64) + n))[0])
-        b = int(mix(np.atleast_1d(np.bitwise_xor.reduce(mix(grams * np.uint64(0xDA942042E4DD58B5) + np.uint64(7))) ^ n))[0]) if len(grams) else 0
-    return a, b
+class Sets:
+    """Shingle sets of a slice of texts, one after the other, with sizes and two digests that do not depend on the order of a set."""
 
+    def __init__(self, texts: list[bytes], words: int):
+        self.each = shingle_sets(texts, words)
+        self.n = np.fromiter(map(len, self.each), np.int64, len(self.each))
+        self.grams = np.concatenate(self.each) if self.each else np.zeros(0, np.uint64)
+        self.node, self.check = np.zeros(len(self.n), np.int64), np.zeros(len(self.n), np.int64)
+        full = np.flatnonzero(self.n)
+        if len(full):
+            starts = (np.cumsum(self.n) - self.n)[full]
+            size = self.n[full].astype(np.uint64)
+            self.mixed = mix(self.grams)
+            self.node[full] = mix(np.add.reduceat(self.mixed, starts) + size).view(np.int64)
+            self.check[full] = mix(np.bitwise_xor.reduceat(self.mixed * np.uint64(0xDA942042E4DD58B5), starts) ^ size).view(np.int64)
 
-def _signed(x: int) -> int:
-    return x - 2**64 if x >= 2**63 else x
+    def histograms(self) -> list[bytes]:
+        """How many shingles of each set lie in each of PARTS hash ranges, as unsigned shorts."""
+        if not len(self.grams):
+            return [b"\0" * 2 * PARTS] * len(self.n)
+        cell = np.repeat(np.arange(len(self.n)), self.n) * PARTS + (self.mixed >> np.uint64(58)).astype(np.int64)
+        counts = np.minimum(np.bincount(cell, minlength=len(self.n) * PARTS), 65535).astype("<u2").reshape(-1, PARTS)
+        return [row.tobytes() for row in counts]
+
+
+def _slot(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
 def _describe(rows: DataFrame, words: int) -> DataFrame:
     """One pass over all texts: a row per text (set size, digests, hash-range histogram), and the tasks' n-gram counters in blocks."""
+    names = ["doc_id", "n", "node", "check", "hist", "block", "counts"]
+
     def scan(batches):
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            sets = shingle_sets(bytes_of(batch["text"]), words)
-            marks = [_digest(s) for s in sets]
-            if sets:
-                every = np.concatenate(sets)
-                counts += np.bincount((every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
-            hist = [np.minimum(np.bincount((mix(s) >> np.uint64(58)).astype(np.int64), minlength=PARTS), 65535).astype("<u2").tobytes() for s in sets]
-            full = [len(s) > 0 for s in sets]
-            none = pa.nulls(len(sets))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int32()),
-                                              pa.array([_signed(a) if f else None for (a, _), f in zip(marks, full, strict=True)], pa.int64()),
-                                              pa.array([_signed(b) if f else None for (_, b), f in zip(marks, full, strict=True)], pa.int64()),
-                                              pa.array(hist, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())],
-                                             ["doc_id", "n", "node", "check", "hist", "block", "counts"])
+            texts = bytes_of(batch["text"])
+            for lo, hi in slices(texts):
+                s = Sets(texts[lo:hi], words)
+                counts += np.bincount(_slot(s.grams), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                none, empty = pa.nulls(hi - lo), s.n == 0
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi].cast(pa.int64()), pa.array(s.n.astype(np.int32)), pa.array(s.node, mask=empty), pa.array(s.check, mask=empty),
+                                                  pa.array(s.histograms(), pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names)
         if counts.any():
-            parts = counts.astype("<u4").reshape(SKETCH_BLOCKS, -1)
-            empty = pa.nulls(SKETCH_BLOCKS)
-            yield pa.RecordBatch.from_arrays([empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.int64()), empty.cast(pa.int64()), empty.cast(pa.binary()),
-                                              pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                                             ["doc_id", "n", "node", "check", "hist", "block", "counts"])
+            none = pa.nulls(SKETCH_BLOCKS)
+            yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()),
+                                              pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array([p.tobytes() for p in counts.reshape(SKETCH_BLOCKS, -1)], pa.binary())], names)
     return rows.mapInArrow(scan, "doc_id BIGINT, n INT, node BIGINT, check BIGINT, hist BINARY, block INT, counts BINARY")
 
 
@@ -80,23 +90,25 @@ def _prefixes(rows: DataFrame, freq, words: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         table = freq.value
         for batch in batches:
-            grams, nodes, places = [], [], []
-            for s in shingle_sets(bytes_of(batch["text"]), words):
-                n = len(s)
-                node = _signed(_digest(s)[0])
-                if not n or node in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
-                keep = n - (percent * n + 99) // 100 + 1
-                often = table[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                order = np.argsort(often, kind="stable")[:keep]      # ties stand in the order of the n-grams themselves
-                grams.append(s[order])
-                nodes.append(np.full(len(order), node, np.int64))
-                places.append(np.arange(len(order), dtype=np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))],
-                                                 ["gram", "node", "pos"])
+            texts = bytes_of(batch["text"])
+            for lo, hi in slices(texts):
+                s = Sets(texts[lo:hi], words)
+                often = table[_slot(s.grams)]
+                starts = np.cumsum(s.n) - s.n
+                keep = s.n - (percent * s.n + 99) // 100 + 1
+                grams, nodes, places = [], [], []
+                for i, node in enumerate(s.node.tolist()):
+                    if not s.n[i] or node in seen:
+                        continue
+                    if len(seen) < 1_000_000:                      # past that, copies go to the shuffle as they are
+                        seen.add(node)
+                    order = np.argsort(often[starts[i]:starts[i] + s.n[i]], kind="stable")[:keep[i]]      # ties stand in the order of the n-grams
+                    grams.append(s.each[i][order])
+                    nodes.append(np.full(len(order), node))
+                    places.append(np.arange(len(order), dtype=np.int32))
+                if grams:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(places))],
+                                                     ["gram", "node", "pos"])
     return rows.mapInArrow(scan, "gram BIGINT, node BIGINT, pos INT")
 
 
@@ -104,42 +116,54 @@ def _with_node(rows: DataFrame, words: int) -> DataFrame:
     """(node, text) of texts fetched by id."""
     def scan(batches):
         for batch in batches:
-            nodes = [_signed(_digest(s)[0]) for s in shingle_sets(bytes_of(batch["text"]), words)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch["text"]], ["node", "text"])
+            texts = bytes_of(batch["text"])
+            for lo, hi in slices(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(Sets(texts[lo:hi], words).node), batch["text"][lo:hi]], ["node", "text"])
     return rows.select("text").mapInArrow(scan, "node BIGINT, text STRING")
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length filter, then positional filter: what is left behind the shared n-gram must be able to reach the overlap."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    need = F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
-    rest = F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos"))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (rest >= need)
+def _need(na: Column, nb: Column, percent: int) -> Column:
+    """Shared n-grams without which two sets of these sizes do not link."""
+    return F.ceil(F.lit(percent) * (na + nb) / F.lit(100 + percent))
+
 
+def _may_link(na: Column, nb: Column, pa: Column, pb: Column, percent: int) -> Column:
+    """Length filter, and positional filter: what lies behind the first shared n-gram must be able to reach the overlap.
 
-def _suffix_filter(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Drops pairs whose sets, divided by hash range, cannot overlap enough: at most the lesser count of each range is shared."""
+    For a later shared n-gram the second may be false for sets that link, but then it holds for their first one."""
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (F.least(na - pa, nb - pb) >= _need(na, nb, percent))
+
+
+def _filtered(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link, each once, from shared n-grams ``a, b, pa, pb`` with their places in both prefixes.
+
+    Length filter: sizes must not differ too much.  Positional filter: what lies behind the first shared n-gram must be able to reach the
+    overlap.  Suffix filter: divided by hash range, two sets share at most the lesser count of each range."""
     def bound(batches):
         for batch in batches:
             x = np.frombuffer(b"".join(batch["ha"].to_pylist()), "<u2").reshape(-1, PARTS)
             y = np.frombuffer(b"".join(batch["hb"].to_pylist()), "<u2").reshape(-1, PARTS)
-            na, nb = (batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("na", "nb"))
+            need = batch["need"].to_numpy(zero_copy_only=False)
             full = (x == 65535).any(1) | (y == 65535).any(1)         # counters at their end bound nothing
-            ok = full | ((100 + percent) * np.minimum(x, y).astype(np.int64).sum(1) >= percent * (na + nb))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], ["a", "b"])
-    one = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("hist").alias(f"h{s}"))
-    return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "na", "nb", "ha", "hb").mapInArrow(bound, "a BIGINT, b BIGINT")
+            ok = pa.array(full | (np.minimum(x, y).sum(1, dtype=np.int64) >= need))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], ["a", "b"])
+
+    def one(s):
+        return sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("hist").alias(f"h{s}"))
+    pairs = found.groupBy("a", "b").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    pairs = pairs.join(one("b"), "b").join(one("a"), "a").withColumn("need", _need(F.col("na"), F.col("nb"), percent))
+    return pairs.where(_may_link(F.col("na"), F.col("nb"), F.col("pa"), F.col("pb"), percent)).select("a", "b", "need", "ha", "hb").mapInArrow(bound, "a BIGINT, b BIGINT")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs that link: the whole sets of both texts are built and compared."""
     def compare(batches):
         for batch in batches:
-            left, right = (shingle_sets(bytes_of(batch[c]), words) for c in ("ta", "tb"))
-            ok = []
-            for x, y in zip(left, right, strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            left, right, ok = bytes_of(batch["ta"]), bytes_of(batch["tb"]), []
+            for lo, hi in slices(left):
+                for x, y in zip(shingle_sets(left[lo:hi], words), shingle_sets(right[lo:hi], words), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok, pa.bool_())), batch["b"].filter(pa.array(ok, pa.bool_()))], ["a", "b"])
     one = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a BIGINT, b BIGINT")
@@ -148,9 +172,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 def _links(docs: DataFrame, described: DataFrame, words: int, percent: int) -> DataFrame:
     """Enough verified links between sets (by node) that every component of the whole link relation is one of theirs.
 
-    A pair needs no look once both of its sets are in one component.  So the sets of an n-gram are first held against one of them,
-    the one whose n-grams are shared most (its rarest come latest); what that links is contracted, and then only pairs across
-    components are candidates, all of them.  A large group of near copies thus costs about one pair a member."""
+    A pair needs no look once both of its sets are in one component.  So the sets of an n-gram are first held against one of them, in
+    whose prefix it comes first, that is, which has fewest rare n-grams of its own.  What that links is contracted, and then only
+    pairs across components are candidates, all of them.  A large group of near copies thus costs about one pair a member."""
     spark = docs.sparkSession
     freq = spark.sparkContext.broadcast(_frequencies(described))
     sets = cut(described.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("doc_id").alias("doc_id"),
@@ -158,37 +182,33 @@ def _links(docs: DataFrame, described: DataFrame, words: int, percent: int) -> D
     if not sets.where("clash").isEmpty():
         raise ValueError("two different sets share a 64-bit digest; choose another multiplier")
     prefix = _prefixes(docs, freq, words, percent)
-    shared = prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).where(F.col("many") > 1)
-    rows = cut(spread_lookup(prefix, shared, ["gram"], "many", F.col("node")).join(sets.select("node", "n"), "node"), "prefixes")
-    wanted = rows.select("node").distinct().join(sets.select("node", "doc_id"), "node")
-    texts = cut(_with_node(docs.join(wanted.select("doc_id").distinct(), "doc_id"), words), "texts")
-    links = None
-    root = rows.select("node").distinct().withColumn("root", F.col("node"))
-    for turn in range(3):
-        marked = rows.join(root, "node") if turn == 0 else rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if turn < 2:
-            outer = marked
-            if turn:
-                top = marked.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("rows"))
-                outer = spread_lookup(marked, top.where("k > 1").select("gram", "t.root", "rows").withColumnRenamed("root", "main"), ["gram"], "rows", F.col("node")).where("root != main")
-            middle = (outer.groupBy("gram").agg(F.min(F.struct("pos", "node", "n", "root")).alias("p"), F.count(F.lit(1)).alias("rows"))
-                      .where("rows > 1").select("gram", "rows", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.pos").alias("ppos"), F.col("p.root").alias("proot")))
-            met = spread_lookup(marked.drop("many"), middle, ["gram"], "rows", F.col("node")).where("root != proot" if turn else "node != pnode")
-            found = (met.select(F.struct("node", "n", "pos").alias("x"), F.struct(F.col("pnode").alias("node"), F.col("pn").alias("n"), F.col("ppos").alias("pos")).alias("y")))
-        else:
-            top = marked.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("gram").agg(F.max(F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("rows"))
-            mixed = cut(spread_lookup(marked.drop("many"), top.where("k > 1").select("gram", "rows", F.col("t.root").alias("main")), ["gram"], "rows", F.col("node")), "mixed")
-            here = mixed.select("gram", "root", "main", F.struct("node", "n", "pos").alias("x"))
-            there = mixed.where("root != main").select("gram", "rows", F.col("root").alias("root2"), F.struct("node", "n", "pos").alias("y"))
-            found = (spread_lookup(here, there, ["gram"], "rows", F.col("x.node"))
-                     .where((F.col("root") != F.col("root2")) & ((F.col("root") == F.col("main")) | (F.col("x.node") < F.col("y.node")))))
-        pairs = (found.where(_may_link("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-        new = cut(_verified(_suffix_filter(pairs, sets, percent), texts, words, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        root = cut(components(links), "roots")
-    for old in (rows, texts, sets):
+    shared = cut(prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.min_by("node", "pos").alias("pivot"), F.min("pos").alias("at"))
+                 .where(F.col("many") > 1).drop("many"), "shared")
+    rows = cut(prefix.join(shared, "gram"), "prefixes")      # both sides are shuffled for the join, so Spark may divide a hot n-gram
+    wanted = rows.select("node").distinct().join(sets.select("node", "doc_id"), "node").select("doc_id").distinct()
+    texts = cut(_with_node(docs.join(wanted, "doc_id"), words), "texts")
+    release(spark)
+
+    def verified(found):
+        a_first = F.col("x") < F.col("y")
+        pairs = found.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(a_first, F.col("px")).otherwise(F.col("py")).alias("pa"),
+                                                             F.when(a_first, F.col("py")).otherwise(F.col("px")).alias("pb"))
+        return cut(_verified(_filtered(pairs, sets, percent), texts, words, percent), "links")
+    near = verified(rows.select(F.col("node").alias("x"), F.col("pos").alias("px"), F.col("pivot").alias("y"), F.col("at").alias("py")))
+    root = cut(components(near), "roots")
+    rooted = rows.select("gram", "node", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = (rooted.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by("root", "pos").alias("main"))
+             .where(F.col("lo") != F.col("hi")).select("gram", "main"))
+    mixed = cut(rooted.join(cut(split, "split"), "gram").join(sets.select("node", "n"), "node"), "mixed")
+    here = mixed.select("gram", F.col("root").alias("rx"), "main", F.col("node").alias("x"), F.col("pos").alias("px"), F.col("n").alias("nx"))
+    there = mixed.where(F.col("root") != F.col("main")).select("gram", F.col("root").alias("ry"), F.col("node").alias("y"), F.col("pos").alias("py"), F.col("n").alias("ny"))
+    once = (F.col("rx") != F.col("ry")) & ((F.col("rx") == F.col("main")) | (F.col("x") < F.col("y")))
+    across = here.join(there, "gram").where(once & _may_link(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), percent))
+    far = verified(across)
+    out = root if far.isEmpty() else cut(components(near.unionByName(far)), "roots")
+    for old in (shared, rows, texts, sets, mixed):
         discard(old)
-    return root
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -82,12 +82,11 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_sets(texts: list[bytes], n: int = 5) -> list[np.ndarray]:
     """The sorted distinct ``n``-word shingles of each text; a text of fewer words, but not none, has its whole sequence as one."""
     out = []
-    for lo, hi in slices(texts):
-        hashes, offs = words(texts[lo:hi], NOT_BLANK)
-        all_grams = grams(hashes, n)
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-            if b - a >= n:
-                out.append(np.unique(all_grams[a:b - n + 1]))
-            else:
-                out.append(grams(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    hashes, offs = words(texts, NOT_BLANK)
+    all_grams = grams(hashes, n)
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        if b - a >= n:
+            out.append(np.unique(all_grams[a:b - n + 1]))
+        else:
+            out.append(grams(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out
