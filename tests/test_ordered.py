@@ -122,16 +122,13 @@ def brute_components(edges):
     return {x: find(x) for x in list(p)}
 
 
-def test_components_with_chains_and_hubs(spark, monkeypatch):
+def test_components_with_chains_and_hubs(spark):
     rng = random.Random(9)
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)]                        # a long chain
     edges += [("hub", f"s{i:03d}") for i in range(60)] + [(f"s{rng.randrange(60):03d}", f"q{i}") for i in range(20)]
     d = spark.createDataFrame(edges, "src STRING, dst STRING")
     want = brute_components(edges)
     assert {r.node: r.component for r in components.connected_components(d).collect()} == want
-    monkeypatch.setattr(components, "HUB_EDGES", 0)
-    monkeypatch.setattr(components, "HUB_SHARE", 10)                                   # force the split of hubs
-    assert {r.node: r.component for r in components.connected_components(d).collect()} == want
 
 
 def test_match_incidents_equals_sequential_greedy(spark):

@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import checkpointed
+from tidewatch.session import checkpointed, drop_checkpoint
 
-HUB_EDGES = 5_000_000          # below this many edges a plain shuffle join is fine, whatever the degrees
-HUB_SHARE = 1000
 
-
-def _with_min(edges: DataFrame, n_edges: int) -> DataFrame:
+def _with_min(edges: DataFrame) -> DataFrame:
     """Adds ``m``, the least neighbour of ``u``.
 
-    A node of very high degree would put all its edges in one join task.  Nodes with more than ``n_edges / 1000`` edges
-    number at most 1000 by counting, so their minima are broadcast; all other keys are bounded and shuffled."""
-    m = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_deg"))
-    if n_edges <= HUB_EDGES:
-        return edges.join(m.drop("_deg"), "u")
-    limit = n_edges // HUB_SHARE
-    hubs = F.broadcast(m.where(F.col("_deg") > limit).drop("_deg"))
-    rest = m.where(F.col("_deg") <= limit).drop("_deg")
-    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(rest, "u"))
+    The minimum of a node is repeated for two slices of its edges, so both sides of the join are shuffled for it and Spark may divide the
+    edges of a node of very high degree over several tasks.  The plan is the same at every size."""
+    m = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("_slice", F.explode(F.array(F.lit(0), F.lit(1))))
+    return edges.withColumn("_slice", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int")).join(m, ["u", "_slice"]).drop("_slice")
 
 
 def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
@@ -31,22 +23,24 @@ def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return out, (int(seen["n"] or 0), int(seen["h"] or 0))
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
-    Each round ends in a written table; only an edge count and a checksum come to the driver."""
+    Each round ends in a written table, and the table of the round before is deleted; only an edge count and a checksum come to the
+    driver.  Rounds go on until nothing changes."""
     a, b = F.col(src), F.col(dst)
     e, mark = _cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    for _ in range(max_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _with_min(both, 2 * mark[0]).withColumn("m", F.least("u", "m"))
+        near = _with_min(both).withColumn("m", F.least("u", "m"))
         large = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = _with_min(large, mark[0])
+        down = _with_min(large)
         small = (down.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
-        e, new = _cut(small)
+        after, new = _cut(small)
+        drop_checkpoint(e)
+        e = after
         if new == mark:
             roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
         mark = new
-    raise RuntimeError("components did not settle")

@@ -31,12 +31,18 @@ def checkpointed(df: DataFrame, *metrics: Column):
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session gets one of its own."""
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    if not metrics:
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-    seen = Observation()
-    df.observe(seen, *metrics).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), seen.get
+    seen = Observation() if metrics else None
+    (df.observe(seen, *metrics) if metrics else df).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._checkpoint = path
+    return (out, seen.get) if metrics else out
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Deletes the table behind a frame made by ``checkpointed`` once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._checkpoint)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
