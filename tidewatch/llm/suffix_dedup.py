@@ -16,9 +16,10 @@ LENGTH = 50
 # A perfect difference cover: of any two positions, one shift below PERIOD brings both onto COVER.  Fixed values.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 CORE = LENGTH - PERIOD + 1          # bytes that every two equal strings of LENGTH share from such a pair of positions on
-LEFT, RIGHT = PERIOD - 1, LENGTH    # bytes around a cover position that the strings through it can reach
-LOT = 4_000_000                     # samples that a task gathers before it sends them
+SIDE = PERIOD - 1                   # bytes on either side of a core that the strings through it can reach
+LOT = 2_500_000                     # samples that a task gathers before it sends them
 BLOCK_SAMPLES = 3_000_000           # samples, on average, that meet in one task
+BLOCK_NAMES = 1_500_000             # the same for named contexts and for contexts with their bytes
 BLOCK_CONTEXTS = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _COVERED = np.isin(np.arange(PERIOD), COVER)
@@ -52,14 +53,15 @@ class Samples:
         self.core = _cores(self.buf, self.rel + self.begin[self.text])
 
     def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes around the chosen samples, zero where the text ends, and how many there are on the left and on the right."""
-        padded = np.concatenate([np.zeros(LEFT, np.uint8), self.buf, np.zeros(RIGHT, np.uint8)])
-        view = np.lib.stride_tricks.as_strided(padded, (len(padded) - LEFT - RIGHT + 1, LEFT + RIGHT), (1, 1))
+        """Bytes on both sides of the chosen cores, zero where the text ends, and how many there are on the left and on the right."""
+        padded = np.concatenate([np.zeros(SIDE, np.uint8), self.buf, np.zeros(LENGTH, np.uint8)])
+        view = np.lib.stride_tricks.as_strided(padded, (len(padded) - SIDE - LENGTH + 1, SIDE + LENGTH), (1, 1))
         text, rel = self.text[chosen], self.rel[chosen]
-        out = view[rel + self.begin[text]].copy()
-        left, right = np.minimum(rel, LEFT), np.minimum(self.size[text] - rel, RIGHT)
-        place = np.arange(LEFT + RIGHT)
-        out[(place < LEFT - left[:, None]) | (place >= LEFT + right[:, None])] = 0
+        whole = view[rel + self.begin[text]]
+        out = np.concatenate([whole[:, :SIDE], whole[:, SIDE + CORE:]], axis=1)
+        left, right = np.minimum(rel, SIDE), np.minimum(self.size[text] - rel - CORE, SIDE)
+        place = np.arange(2 * SIDE)
+        out[(place < SIDE - left[:, None]) | (place >= SIDE + right[:, None])] = 0
         return out, left.astype(np.uint8), right.astype(np.uint8)
 
 
@@ -83,12 +85,13 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
     A task sorts its samples and sends each core once for all of its own documents that have it; those are known to share it.  So at most
     one sample a lot comes together for a core, however many documents have it."""
     def sample(batches):
-        parts, size = [], 0
+        parts, starts, size = [], [0], 0
 
         def lot():
             core = np.concatenate([p[0] for p in parts])
-            doc = np.concatenate([p[1] for p in parts])
-            order = np.argsort(core, kind="stable")
+            ids, place = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            doc = np.concatenate([place[a:b][p[2]] for p, a, b in zip(parts, starts[:-1], starts[1:], strict=True)])   # numbers in the order of ids
+            order = np.argsort(core)
             core, doc = core[order], doc[order]
             first = _borders(core)
             group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(core))))
@@ -96,11 +99,12 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
             head = np.zeros(len(core), bool)
             head[first] = True
             block = _blocks_of(core, blocks)
-            block[~head] = (mix(core + doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)[~head]     # only passed on, so dealt evenly
+            block[~head] = (mix(core[~head] + doc[~head].astype(np.uint64)) % np.uint64(blocks)).astype(np.int32)     # only passed on, so dealt evenly
             send = head | local
             known = local & ~head                                     # the head's own share is found where all heads meet, or here
-            order = np.lexsort((core[send], doc[send], known[send], block[send]))
-            core, doc, known, block, lead = (x[send][order] for x in (core, doc, known, block, (head & local)))
+            core, doc, known, block, lead = (x[send] for x in (core, doc, known, block, head & local))
+            order = np.argsort((block.astype(np.uint64) << np.uint64(40)) | (known.astype(np.uint64) << np.uint64(39)) | doc.astype(np.uint64))
+            core, doc, known, block, lead = (x[order] for x in (core, ids[doc], known, block, lead))
             edge = _borders(block)
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(block)], strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(block[a:b][:1]), pa.array([int(np.searchsorted(known[a:b], True))], pa.int64()),
@@ -111,11 +115,12 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
             texts, ids = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts):
                 s = Samples(texts[lo:hi])
-                parts.append((s.core, ids[lo:hi][s.text]))
+                parts.append((s.core, ids[lo:hi], s.text))
+                starts.append(starts[-1] + hi - lo)
                 size += len(s.core)
                 if size >= LOT:
                     yield from lot()
-                    parts, size = [], 0
+                    parts, starts, size = [], [0], 0
         if size:
             yield from lot()
 
@@ -129,7 +134,7 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
             lead.append(np.unpackbits(np.frombuffer(m, np.uint8), count=len(k)).astype(bool))
         doc, key, known, lead = (np.concatenate(x) for x in (doc, key, known, lead))
         o = np.flatnonzero(~known)
-        o = o[np.argsort(key[o], kind="stable")]
+        o = o[np.argsort(key[o])]
         first = _borders(key[o])
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(o))))
         shared = known | lead
@@ -143,136 +148,188 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
             .applyInArrow(meet, "doc_id BIGINT, keys ARRAY<INT>"))
 
 
-def _covered_windows(rows: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, tag, at, mask): for samples with shared cores, bit k is set if the string that begins k bytes before also starts in an earlier document.
-
-    ``rows`` has ``doc_id, tag, text, keys``.  Samples with equal cores meet, with the bytes around them; equal contexts are sent once a
-    lot, for the least document, and the others in the lot are decided there."""
-    full = (1 << PERIOD) - 1
-    names = ["block", "core", "doc", "tag", "at", "left", "right", "around", "done"]
-
-    def around(batches):
-        parts, size = [], 0
-
-        def lot():
-            core, doc, tag, at, left, right = (np.concatenate([p[i] for p in parts]) for i in range(6))
-            ctx = np.concatenate([p[6] for p in parts])
-            name = _context_names(core, ctx, left, right)
-            order = np.lexsort((doc, name))
+def _who(ids: np.ndarray, tags: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array, bytes]:
+    """Documents of some samples, given by their numbers in a lot, as a short list and a place in it for each."""
+    each, place = np.unique(row, return_inverse=True)
+    return (pa.array([ids[each].tolist()], pa.list_(pa.int64())), pa.array([tags[each].tolist()], pa.list_(pa.int64())),
+            place.astype("<u4" if len(each) > 65535 else "<u2").tobytes())
+
+
+def _of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, tag and position of the samples in a sent row."""
+    place = np.frombuffer(row["who"], "<u4" if len(row["docs"]) > 65535 else "<u2")
+    return np.array(row["docs"], np.int64)[place], np.array(row["tags"], np.int64)[place], np.frombuffer(row["at"], "<i4")
+
+
+def _gathered(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, value: np.ndarray) -> pa.Table:
+    """(doc_id, tag, at, value) with a list for each document."""
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at, value = doc[order], tag[order], at[order], value[order]
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(first, len(doc)), pa.int32())
+    return pa.Table.from_arrays([pa.array(doc[first], pa.int64()), pa.array(tag[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
+                                 pa.ListArray.from_arrays(ends, pa.array(value.astype(np.int32)))], ["doc_id", "tag", "at", "value"])
+
+
+def _lots(batches, pick, size: int):
+    """Samples of texts, chosen by ``pick``, in lots of about ``size``: the lot's ids and tags, then for each sample its core, the number
+    of its document in the lot, its position and its context."""
+    parts, who, held = [], [], 0
+    lot = lambda: (*[np.concatenate(x) for x in zip(*who, strict=True)], *[np.concatenate(x) for x in zip(*parts, strict=True)])
+    for batch in batches:
+        texts, ids, tags = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False), batch["tag"].to_numpy(zero_copy_only=False)
+        for lo, hi in slices(texts):
+            s = Samples(texts[lo:hi])
+            edge = np.searchsorted(s.text, np.arange(hi - lo + 1))
+            chosen = np.concatenate([edge[i] + pick(s, slice(edge[i], edge[i + 1]), batch, lo + i) for i in range(hi - lo)])
+            parts.append((s.core[chosen], s.text[chosen] + sum(len(x[0]) for x in who), s.rel[chosen], *s.contexts(chosen)))
+            who.append((ids[lo:hi], tags[lo:hi]))
+            held += len(chosen)
+            if held >= size:
+                yield lot()
+                parts, who, held = [], [], 0
+    if held:
+        yield lot()
+
+
+COVERED, OPEN = 1, 2
+
+
+def _same_contexts(rows: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, tag, at, value) for samples with shared cores.  COVERED: an earlier document has the core with the very bytes on both
+    sides, so all strings through it.  OPEN: the core also stands in other surroundings, so its strings must be compared one by one.
+
+    Contexts go by name, cores by 32 bits of theirs (two that share these only make samples OPEN).  A context that several documents of a
+    lot have is sent for the earliest, and settled for the others."""
+    names = ["block", "core", "name", "done", "docs", "tags", "who", "at"]
+
+    def shared(s, span, batch, i):
+        return np.flatnonzero(np.isin(s.core[span].astype(np.uint32), batch["keys"][i].values.to_numpy().view(np.uint32)))
+
+    def send(batches):
+        for ids, tags, core, row, at, ctx, left, right in _lots(batches, shared, LOT // 5):
+            name, doc = _context_names(core, ctx, left, right), ids[row]
+            del ctx
+            order = np.argsort(name)
             first = _borders(name[order])
-            least = np.minimum.reduceat(doc[order], first)
-            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-            later = doc[order] > least[group]
             done = np.zeros(len(core), bool)
-            done[order] = later
-            block = np.where(done, (mix(name + doc.view(np.uint64)) % np.uint64(blocks)).astype(np.int32), _blocks_of(core, blocks))
-            order = np.lexsort((core, done, block))
+            done[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+            block = np.where(done, (mix(name + row.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32), _blocks_of(core, blocks))
+            order = np.argsort((block.astype(np.uint64) << np.uint64(33)) | (done.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
             edge = _borders(block[order])
             for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
                 o = order[a:b]
                 live = o[~done[o]]
-                cells = [block[o[:1]], *[x.tobytes() for x in (core[live].astype("<u8"), doc[o].astype("<i8"), tag[o].astype("<i8"), at[o].astype("<i4"), left[o], right[o], ctx[live])], len(o) - len(live)]
-                yield pa.RecordBatch.from_arrays([pa.array(cells[0]), *[pa.array([x], pa.binary()) for x in cells[1:-1]], pa.array([cells[-1]], pa.int64())], names)
-        for batch in batches:
-            texts, ids = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False)
-            tags, keys = batch["tag"].to_numpy(zero_copy_only=False), batch["keys"]
-            for lo, hi in slices(texts):
-                s = Samples(texts[lo:hi])
-                edge = np.searchsorted(s.text, np.arange(hi - lo + 1))
-                low = s.core.astype(np.uint32)
-                chosen = [np.zeros(0, np.int64)]
-                for i in range(hi - lo):
-                    want = keys[lo + i].values.to_numpy().view(np.uint32)
-                    chosen.append(edge[i] + np.flatnonzero(np.isin(low[edge[i]:edge[i + 1]], want)))
-                chosen = np.concatenate(chosen)
-                ctx, left, right = s.contexts(chosen)
-                parts.append((s.core[chosen], ids[lo:hi][s.text[chosen]], tags[lo:hi][s.text[chosen]], s.rel[chosen], left, right, ctx))
-                size += len(chosen)
-                if size >= LOT // 8:
-                    yield from lot()
-                    parts, size = [], 0
-        if size:
-            yield from lot()
+                *lists, who = _who(ids, tags, row[o])
+                yield pa.RecordBatch.from_arrays([pa.array(block[o[:1]]), pa.array([core[live].astype("<u4").tobytes()], pa.binary()), pa.array([name[live].tobytes()], pa.binary()),
+                                                  pa.array([len(o) - len(live)], pa.int64()), *lists, pa.array([who], pa.binary()), pa.array([at[o].astype("<i4").tobytes()], pa.binary())], names)
+
+    def meet(table: pa.Table) -> pa.Table:
+        live, out = [], []
+        for row in table.to_pylist():
+            mine = _of(row)
+            n = len(mine[0]) - row["done"]
+            out.append((*[x[n:] for x in mine], np.full(row["done"], COVERED)))
+            live.append((np.frombuffer(row["core"], "<u4"), np.frombuffer(row["name"], "<u8"), *[x[:n] for x in mine]))
+        core, name, doc, tag, at = (np.concatenate(x) for x in zip(*live, strict=True))
+        order = np.lexsort((name, core))
+        core, name, doc, tag, at = core[order], name[order], doc[order], tag[order], at[order]
+        if len(core):
+            group, sort = _borders(core), _borders_of_two(core, name)
+            later = doc > np.repeat(np.minimum.reduceat(doc, sort), np.diff(np.append(sort, len(doc))))
+            several = (np.minimum.reduceat(name, group) != np.maximum.reduceat(name, group)) & (np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
+            value = np.where(later, COVERED, np.where(np.repeat(several, np.diff(np.append(group, len(doc)))), OPEN, 0))
+            out.append((doc[value > 0], tag[value > 0], at[value > 0], value[value > 0]))
+        return _gathered(*[np.concatenate(x) for x in zip(*out, strict=True)])
+    return (rows.mapInArrow(send, "block INT, core BINARY, name BINARY, done BIGINT, docs ARRAY<BIGINT>, tags ARRAY<BIGINT>, who BINARY, at BINARY").groupBy("block")
+            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at ARRAY<INT>, value ARRAY<INT>"))
+
+
+def _same_strings(rows: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, tag, at, value) for OPEN samples: bit k is set if the string that begins k bytes before also starts in an earlier document."""
+    names = ["block", "core", "around", "left", "right", "docs", "tags", "who", "at"]
+
+    def still_open(s, span, batch, i):
+        return np.flatnonzero(np.isin(s.rel[span], batch["open"][i].values.to_numpy()))
+
+    def send(batches):
+        for ids, tags, core, row, at, ctx, left, right in _lots(batches, still_open, LOT // 8):
+            block = _blocks_of(core, blocks)
+            order = np.argsort(block, kind="stable")                  # neighbours in a text, which share most of their surroundings, stay so
+            edge = _borders(block[order])
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                o = order[a:b]
+                *lists, who = _who(ids, tags, row[o])
+                yield pa.RecordBatch.from_arrays([pa.array(block[o[:1]]), *[pa.array([x.tobytes()], pa.binary()) for x in (core[o], ctx[o], left[o], right[o])], *lists,
+                                                  pa.array([who], pa.binary()), pa.array([at[o].astype("<i4").tobytes()], pa.binary())], names)
 
     def meet(table: pa.Table) -> pa.Table:
-        core, doc, tag, at, left, right, ctx, masks = [], [], [], [], [], [], [], []
-        out = []
-        for c, d, t, p, lf, rt, x, n in zip(*[table[c].to_pylist() for c in names[1:]], strict=True):
-            d, t, p, lf, rt = np.frombuffer(d, "<i8"), np.frombuffer(t, "<i8"), np.frombuffer(p, "<i4"), np.frombuffer(lf, np.uint8), np.frombuffer(rt, np.uint8)
-            live = len(d) - n
-            if n:
-                out.append((d[live:], t[live:], p[live:], _all_windows(lf[live:], rt[live:])))
-            core.append(np.frombuffer(c, "<u8"))
-            ctx.append(np.frombuffer(x, np.uint8).reshape(-1, LEFT + RIGHT))
-            for kept, y in ((doc, d), (tag, t), (at, p), (left, lf), (right, rt)):
-                kept.append(y[:live])
-        core, doc, tag, at, left, right, ctx = (np.concatenate(x) for x in (core, doc, tag, at, left, right, ctx))
-        masks = _earlier(core, doc, left, right, ctx)
-        hit = masks > 0
-        out.append((doc[hit], tag[hit], at[hit], masks[hit]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        order = np.lexsort((cols[2], cols[1], cols[0]))
-        cols = [c[order] for c in cols]
-        first = np.flatnonzero(np.concatenate([[True], (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])) if len(order) else np.zeros(0, np.int64)
-        ends = pa.array(np.append(first, len(order)), pa.int32())
-        return pa.Table.from_arrays([pa.array(cols[0][first], pa.int64()), pa.array(cols[1][first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(cols[2].astype(np.int32))),
-                                     pa.ListArray.from_arrays(ends, pa.array((cols[3] & full).astype(np.int32)))], ["doc_id", "tag", "at", "mask"])
-    return (rows.mapInArrow(around, "block INT, core BINARY, doc BINARY, tag BINARY, at BINARY, left BINARY, right BINARY, around BINARY, done BIGINT").groupBy("block")
-            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at ARRAY<INT>, mask ARRAY<INT>"))
+        parts = [(*_of(r), np.frombuffer(r["core"], "<u8"), np.frombuffer(r["left"], np.uint8), np.frombuffer(r["right"], np.uint8), np.frombuffer(r["around"], np.uint8).reshape(-1, 2 * SIDE))
+                 for r in table.to_pylist()]
+        doc, tag, at, core, left, right, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
+        mask = _earlier(core, doc, left, right, ctx)
+        return _gathered(*[x[mask > 0] for x in (doc, tag, at, mask)])
+    return (rows.mapInArrow(send, "block INT, core BINARY, around BINARY, left BINARY, right BINARY, docs ARRAY<BIGINT>, tags ARRAY<BIGINT>, who BINARY, at BINARY").groupBy("block")
+            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at ARRAY<INT>, value ARRAY<INT>"))
+
+
+def _borders_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
 def _context_names(core: np.ndarray, ctx: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """One number for a context: its bytes and how many of them are text."""
+    """One number for a context: its core, the bytes around it and how many of them are text."""
     h = core ^ (left.astype(np.uint64) * _A) ^ (right.astype(np.uint64) * _B)
-    parts = np.ascontiguousarray(ctx).view("<u8")
+    padded = np.zeros((len(ctx), -(-ctx.shape[1] // 8) * 8), np.uint8)
+    padded[:, :ctx.shape[1]] = ctx
+    parts = padded.view("<u8")
     for j in range(parts.shape[1]):
         h = mix((h ^ parts[:, j]) * _A)
     return h
 
 
-def _all_windows(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Bit k for every string of LENGTH that begins k bytes before the sample and lies in the text."""
-    k = np.arange(PERIOD)
-    ok = (k <= left[:, None]) & (LENGTH - k <= right[:, None].astype(np.int64))
-    return (ok * (1 << k)).sum(1).astype(np.int64)
-
-
 def _earlier(core: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """Per sample the strings through it that also start in an earlier document: equal strings have equal cores k bytes on.
 
     For each k the strings are sorted by name, and neighbours with one name are compared by document; only cores that several documents
     have are looked at."""
     masks = np.zeros(len(core), np.int64)
-    order = np.lexsort((doc, core))
+    order = np.argsort(core)
     first = _borders(core[order])
     if not len(first):
         return masks
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
-    many = np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first)
-    rows = order[many[group]]
+    rows = order[(np.minimum.reduceat(doc[order], first) != np.maximum.reduceat(doc[order], first))[group]]
     if not len(rows):
         return masks
-    core, doc, left, right, ctx = core[rows], doc[rows], left[rows], right[rows].astype(np.int64), ctx[rows]
+    core, doc, left, right, ctx = core[rows], doc[rows], left[rows], right[rows], ctx[rows]
     found = np.zeros(len(rows), np.int64)
     ahead = [core]                                   # names of the core and 0, 1, ... bytes behind it
-    for j in range(LENGTH - CORE):
-        ahead.append(mix((ahead[-1] ^ ctx[:, LEFT + CORE + j]) * _A))
+    for j in range(SIDE):
+        ahead.append(mix((ahead[-1] ^ ctx[:, SIDE + j]) * _A))
     back = core * _B
     for k in range(PERIOD):
         if k:
-            back = mix((back ^ ctx[:, LEFT - k]) * _A)
-        name = back ^ (ahead[LENGTH - CORE - k] * _B)
-        ok = np.flatnonzero((left >= k) & (right >= LENGTH - k))
+            back = mix((back ^ ctx[:, SIDE - k]) * _A)
+        name = back ^ (ahead[SIDE - k] * _B)
+        ok = np.flatnonzero((left >= k) & (right >= SIDE - k))
         o = ok[np.argsort(name[ok], kind="stable")]
         first = _borders(name[o])
         if len(first):
-            least = np.minimum.reduceat(doc[o], first)
-            later = doc[o] > np.repeat(least, np.diff(np.append(first, len(o))))
+            later = doc[o] > np.repeat(np.minimum.reduceat(doc[o], first), np.diff(np.append(first, len(o))))
             found[o[later]] |= 1 << k
     masks[rows] = found
     return masks
 
 
+def _starts(size: int, whole: np.ndarray, at: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Where the strings to remove begin: all through the COVERED samples, and the marked ones through the others."""
+    bits = np.arange(PERIOD)
+    some = (at[:, None] - bits)[(mask[:, None] >> bits & 1).astype(bool)]
+    every = (whole[:, None] - bits).ravel()
+    return np.unique(np.concatenate([some, every[(every >= 0) & (every + LENGTH <= size)]]))
+
+
 def _kept(text: bytes, starts: np.ndarray) -> tuple[bytes, int]:
     """What is left when the strings of LENGTH from the starts on are gone, and the number of maximal gaps."""
     change = np.zeros(len(text) + 1, np.int32)
@@ -293,7 +350,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Suffixes need only be told apart by their first 50 bytes, so the cover has a period of 31 rather than 3, one round of names is enough,
     and 6 of 31 positions are sorted at all.  1. Cores of 20 bytes at cover positions are named and sorted; those that several documents
     have remain.  2. All other strings of 50 are merged in by the cover position that any two equal ones have in common: samples with
-    equal cores are sorted again by each string through them, and neighbours with equal names compared.  3. The bytes are cut."""
+    equal cores are first named with all bytes around them, which settles them where a copy goes on on both sides; at the ends of copies
+    they are sorted by each string through them, and neighbours with equal names compared.  3. The bytes are cut."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
@@ -304,19 +362,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = cut(shared.groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys")), "cores")
     release(spark)
     many = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    windows = cut(_covered_windows(able.join(shared, "doc_id").select("doc_id", "tag", "text", "keys"), max(1, -(-many // BLOCK_CONTEXTS))), "windows")
+    same = cut(_same_contexts(able.join(shared, "doc_id").select("doc_id", "tag", "text", "keys"), max(1, -(-many // BLOCK_NAMES))), "contexts")
+    release(spark)
+    pick = lambda v: F.flatten(F.collect_list(F.filter(F.arrays_zip("at", "value"), lambda x: x["value"] == v)))["at"]
+    found = cut(same.groupBy("doc_id", "tag").agg(pick(COVERED).alias("whole"), pick(OPEN).alias("open")), "samples")
+    unsure = found.where(F.size("open") > 0)
+    many = unsure.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
+    masks = cut(_same_strings(able.join(unsure.select("doc_id", "tag", "open"), ["doc_id", "tag"]), max(1, -(-many // BLOCK_CONTEXTS))), "strings")
     release(spark)
-    found = windows.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("mask")).alias("mask"))
+    masks = masks.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("value")).alias("mask"))
+    found = found.select("doc_id", "tag", "whole").join(masks, ["doc_id", "tag"], "left").where((F.size("whole") > 0) | F.col("at").isNotNull())
 
     def finish(batches):
-        bits = np.arange(PERIOD)
+        none = np.zeros(0, np.int64)
         for batch in batches:
             out = []
-            for text, at, mask in zip(bytes_of(batch["text"]), batch["at"], batch["mask"], strict=True):
-                if at.is_valid and len(at.values):
-                    one = (mask.values.to_numpy()[:, None] >> bits & 1).astype(bool)
-                    starts = np.unique((at.values.to_numpy()[:, None] - bits)[one])
-                    kept, spans = _kept(text, starts)
+            for text, *lists in zip(bytes_of(batch["text"]), batch["whole"], batch["at"], batch["mask"], strict=True):
+                if any(x.is_valid and len(x.values) for x in lists):
+                    kept, spans = _kept(text, _starts(len(text), *[x.values.to_numpy().astype(np.int64) if x.is_valid else none for x in lists]))
                 else:
                     kept, spans = text, 0
                 out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -328,6 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, columns)
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING" + (", kept BINARY" if keep_text else "")
-    out = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "at", "mask").mapInArrow(finish, schema)
+    out = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "whole", "at", "mask").mapInArrow(finish, schema)
     discard(shared)
+    discard(same)
     return out
