@@ -168,4 +168,4 @@ def test_tree_predicts_a_distribution_and_learns():
 def test_text_features_of_odd_texts():
     for t in (b"", b"\n", b"###", "ÄÖ".encode(), b"A" * 10000):
         distinct, shape = text_features(t)
-        assert len(shape) == 7 and all(s.startswith(b"=") for s in shape)
+        assert len(shape) == 6 and all(s.startswith(b"=") for s in shape)

@@ -20,7 +20,7 @@ _LETTERS = bytes(b for b in range(256) if not 65 <= b <= 90)
 
 
 def text_features(raw: bytes) -> tuple[set[bytes], list[bytes]]:
-    """Distinct words of a whole text, and its shape: shares of capitals, digits, signs, bars and new words, in coarse steps."""
+    """Distinct words of a whole text, and its shape: shares of capitals, signs, bars and new words, in coarse steps."""
     words = raw.translate(_SPLIT).split()
     distinct = set(words)
     n, size = len(words), max(1, len(raw))
@@ -30,8 +30,8 @@ def text_features(raw: bytes) -> tuple[set[bytes], list[bytes]]:
 
     signs = sum(raw.count(c) for c in (b"#", b"$", b"%", b"&", b"*", b"!", b"|", b"<", b">", b"@", b"^", b"~", b"=", b"_"))
     lines = raw.split(b"\n")
-    shape = [step("upper", len(raw.translate(None, _LETTERS)) / size), step("digits", sum(raw.count(b"%d" % d) for d in range(10)) / size), step("signs", signs / max(1, n)),
-             step("bars", raw.count(b"|") / max(1, n)), step("lines", len(set(lines)) / len(lines)),
+    shape = [step("upper", len(raw.translate(None, _LETTERS)) / size), f"=signs:{min(4, 4 * signs // max(1, n))}".encode(),
+             f"=bars:{min(4, 4 * raw.count(b'|') // max(1, n))}".encode(), step("lines", len(set(lines)) / len(lines)),
              f"=new:{round(20 * math.log(len(distinct) + 1) / math.log(n + 1)) if n > 9 else -1}".encode(), f"=length:{round(math.log2(n + 1)) if n < 16 else 4}".encode()]
     return distinct, shape
 
@@ -57,12 +57,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 25
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        slope, curve = -penalty * w, np.diag(penalty)
+        for lo in range(0, len(y), 2000):                # in blocks, as only the bytes of ``x`` are held as a whole
+            part = x[lo:lo + 2000].astype(np.float32)
+            p = 1 / (1 + np.exp(-np.clip(part @ w, -30, 30)))
+            slope = slope + part.T @ (y[lo:lo + 2000] - p)
+            curve = curve + (part * (p * (1 - p)).astype(np.float32)[:, None]).T @ part
         move = np.linalg.solve(curve, slope)
         w += np.clip(move, -4, 4)
-        if np.abs(move).max() < 1e-6:
+        if np.abs(move).max() < 1e-3:
             break
     return w
 
@@ -102,12 +105,12 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             has = [[place[f] for f in fs if f in place] for fs in batch["has"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["junk"], batch["toxic"], pa.array(has, pa.list_(pa.int32()))], ["junk", "toxic", "has"])
-    data = rows.mapInArrow(pick, "junk INT, toxic INT, has ARRAY<INT>").orderBy("junk", "toxic", "has").collect()
-    x = np.zeros((len(data), len(columns) + 1), np.float32)
+    data = rows.mapInArrow(pick, "junk INT, toxic INT, has ARRAY<INT>").orderBy("junk", "toxic", "has").toArrow()
+    has = data["has"].combine_chunks()
+    x = np.zeros((len(data), len(columns) + 1), np.uint8)
     x[:, 0] = 1
-    for i, r in enumerate(data):
-        x[i, [j + 1 for j in r.has]] = 1
-    fitted = [_logistic(x, np.array([r[t] for r in data], np.float64)) for t in TARGETS]
+    x[np.repeat(np.arange(len(data)), np.diff(has.offsets.to_numpy())), has.flatten().to_numpy() + 1] = 1
+    fitted = [_logistic(x, data[t].to_numpy().astype(np.float64)) for t in TARGETS]
     return TextModel([float(w[0]) for w in fitted], {f: tuple(float(w[i + 1]) for w in fitted) for f, i in place.items()})
 
 
