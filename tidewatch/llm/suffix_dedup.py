@@ -41,15 +41,19 @@ def _cores(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Samples:
     """Cover positions of a slice of texts: which text, where in it, and the hash of the core there."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], places: list[np.ndarray] | None = None):
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.cumsum(self.size) - self.size
         self.buf = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
-        count = np.maximum(self.size - CORE + 1, 0)
-        rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        keep = _COVERED[rel % PERIOD]
-        self.text = np.repeat(np.arange(len(texts)), count)[keep]
-        self.rel = rel[keep]
+        if places is None:
+            count = np.maximum(self.size - CORE + 1, 0)
+            rel = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            keep = _COVERED[rel % PERIOD]
+            self.text = np.repeat(np.arange(len(texts)), count)[keep]
+            self.rel = rel[keep]
+        else:
+            self.text = np.repeat(np.arange(len(texts)), [len(x) for x in places])
+            self.rel = np.concatenate(places).astype(np.int64)
         self.core = _cores(self.buf, self.rel + self.begin[self.text])
 
     def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,14 +77,8 @@ def _borders(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def _lists(keys: np.ndarray, values: np.ndarray, kind: str) -> tuple[np.ndarray, pa.Array]:
-    """Values gathered by sorted key, as a list array."""
-    first = _borders(keys)
-    return keys[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), pa.array(values, kind))
-
-
 def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, keys): the sampled cores of each document, as 32 bits of their hash, that another document has too.
+    """(doc_id, key): the sampled cores of each document, as 32 bits of their hash, that another document has too.
 
     A task sorts its samples and sends each core once for all of its own documents that have it; those are known to share it.  So at most
     one sample a lot comes together for a core, however many documents have it."""
@@ -140,12 +138,9 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
         shared = known | lead
         if len(o):
             shared[o] |= (np.minimum.reduceat(doc[o], first) != np.maximum.reduceat(doc[o], first))[group]
-        doc, key = doc[shared], key[shared]
-        order = np.argsort(doc, kind="stable")
-        ids, lists = _lists(doc[order], key[order].view(np.int32), pa.int32())
-        return pa.Table.from_arrays([pa.array(ids, pa.int64()), lists.cast(pa.list_(pa.int32()))], ["doc_id", "keys"])
+        return pa.Table.from_arrays([pa.array(doc[shared], pa.int64()), pa.array(key[shared].view(np.int32))], ["doc_id", "key"])
     return (rows.mapInArrow(sample, "block INT, open BIGINT, docs BINARY, keys BINARY, lead BINARY").groupBy("block")
-            .applyInArrow(meet, "doc_id BIGINT, keys ARRAY<INT>"))
+            .applyInArrow(meet, "doc_id BIGINT, key INT"))
 
 
 def _who(ids: np.ndarray, tags: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array, bytes]:
@@ -161,14 +156,8 @@ def _of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(row["docs"], np.int64)[place], np.array(row["tags"], np.int64)[place], np.frombuffer(row["at"], "<i4")
 
 
-def _gathered(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, value: np.ndarray) -> pa.Table:
-    """(doc_id, tag, at, value) with a list for each document."""
-    order = np.lexsort((at, tag, doc))
-    doc, tag, at, value = doc[order], tag[order], at[order], value[order]
-    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    ends = pa.array(np.append(first, len(doc)), pa.int32())
-    return pa.Table.from_arrays([pa.array(doc[first], pa.int64()), pa.array(tag[first], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(at.astype(np.int32))),
-                                 pa.ListArray.from_arrays(ends, pa.array(value.astype(np.int32)))], ["doc_id", "tag", "at", "value"])
+def _table(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, value: np.ndarray) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(at.astype(np.int32)), pa.array(value.astype(np.int32))], ["doc_id", "tag", "at", "value"])
 
 
 def _lots(batches, pick, size: int):
@@ -179,9 +168,7 @@ def _lots(batches, pick, size: int):
     for batch in batches:
         texts, ids, tags = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False), batch["tag"].to_numpy(zero_copy_only=False)
         for lo, hi in slices(texts):
-            s = Samples(texts[lo:hi])
-            edge = np.searchsorted(s.text, np.arange(hi - lo + 1))
-            chosen = np.concatenate([edge[i] + pick(s, slice(edge[i], edge[i + 1]), batch, lo + i) for i in range(hi - lo)])
+            s, chosen = pick(texts[lo:hi], batch, lo)
             parts.append((s.core[chosen], s.text[chosen] + sum(len(x[0]) for x in who), s.rel[chosen], *s.contexts(chosen)))
             who.append((ids[lo:hi], tags[lo:hi]))
             held += len(chosen)
@@ -203,8 +190,10 @@ def _same_contexts(rows: DataFrame, blocks: int) -> DataFrame:
     lot have is sent for the earliest, and settled for the others."""
     names = ["block", "core", "name", "done", "docs", "tags", "who", "at"]
 
-    def shared(s, span, batch, i):
-        return np.flatnonzero(np.isin(s.core[span].astype(np.uint32), batch["keys"][i].values.to_numpy().view(np.uint32)))
+    def shared(texts, batch, lo):
+        s = Samples(texts)
+        edge, low = np.searchsorted(s.text, np.arange(len(texts) + 1)), s.core.astype(np.uint32)
+        return s, np.concatenate([edge[i] + np.flatnonzero(np.isin(low[edge[i]:edge[i + 1]], batch["keys"][lo + i].values.to_numpy().view(np.uint32))) for i in range(len(texts))])
 
     def send(batches):
         for ids, tags, core, row, at, ctx, left, right in _lots(batches, shared, LOT // 5):
@@ -240,17 +229,18 @@ def _same_contexts(rows: DataFrame, blocks: int) -> DataFrame:
             several = (np.minimum.reduceat(name, group) != np.maximum.reduceat(name, group)) & (np.minimum.reduceat(doc, group) != np.maximum.reduceat(doc, group))
             value = np.where(later, COVERED, np.where(np.repeat(several, np.diff(np.append(group, len(doc)))), OPEN, 0))
             out.append((doc[value > 0], tag[value > 0], at[value > 0], value[value > 0]))
-        return _gathered(*[np.concatenate(x) for x in zip(*out, strict=True)])
+        return _table(*[np.concatenate(x) for x in zip(*out, strict=True)])
     return (rows.mapInArrow(send, "block INT, core BINARY, name BINARY, done BIGINT, docs ARRAY<BIGINT>, tags ARRAY<BIGINT>, who BINARY, at BINARY").groupBy("block")
-            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at ARRAY<INT>, value ARRAY<INT>"))
+            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at INT, value INT"))
 
 
 def _same_strings(rows: DataFrame, blocks: int) -> DataFrame:
     """(doc_id, tag, at, value) for OPEN samples: bit k is set if the string that begins k bytes before also starts in an earlier document."""
     names = ["block", "core", "around", "left", "right", "docs", "tags", "who", "at"]
 
-    def still_open(s, span, batch, i):
-        return np.flatnonzero(np.isin(s.rel[span], batch["open"][i].values.to_numpy()))
+    def still_open(texts, batch, lo):
+        s = Samples(texts, [batch["open"][lo + i].values.to_numpy() for i in range(len(texts))])
+        return s, np.arange(len(s.core))
 
     def send(batches):
         for ids, tags, core, row, at, ctx, left, right in _lots(batches, still_open, LOT // 8):
@@ -268,9 +258,9 @@ def _same_strings(rows: DataFrame, blocks: int) -> DataFrame:
                  for r in table.to_pylist()]
         doc, tag, at, core, left, right, ctx = (np.concatenate(x) for x in zip(*parts, strict=True))
         mask = _earlier(core, doc, left, right, ctx)
-        return _gathered(*[x[mask > 0] for x in (doc, tag, at, mask)])
+        return _table(*[x[mask > 0] for x in (doc, tag, at, mask)])
     return (rows.mapInArrow(send, "block INT, core BINARY, around BINARY, left BINARY, right BINARY, docs ARRAY<BIGINT>, tags ARRAY<BIGINT>, who BINARY, at BINARY").groupBy("block")
-            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at ARRAY<INT>, value ARRAY<INT>"))
+            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at INT, value INT"))
 
 
 def _borders_of_two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -359,18 +349,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_bytes = able.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     samples = n_bytes * len(COVER) // PERIOD
     shared = _shared_cores(able.select("doc_id", "text"), max(1, -(-samples // BLOCK_SAMPLES)))
-    shared = cut(shared.groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys")), "cores")
+    shared = cut(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "cores")
     release(spark)
     many = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     same = cut(_same_contexts(able.join(shared, "doc_id").select("doc_id", "tag", "text", "keys"), max(1, -(-many // BLOCK_NAMES))), "contexts")
     release(spark)
-    pick = lambda v: F.flatten(F.collect_list(F.filter(F.arrays_zip("at", "value"), lambda x: x["value"] == v)))["at"]
+    pick = lambda v: F.collect_list(F.when(F.col("value") == v, F.col("at")))
     found = cut(same.groupBy("doc_id", "tag").agg(pick(COVERED).alias("whole"), pick(OPEN).alias("open")), "samples")
     unsure = found.where(F.size("open") > 0)
     many = unsure.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
     masks = cut(_same_strings(able.join(unsure.select("doc_id", "tag", "open"), ["doc_id", "tag"]), max(1, -(-many // BLOCK_CONTEXTS))), "strings")
     release(spark)
-    masks = masks.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("value")).alias("mask"))
+    masks = masks.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("mask"))
     found = found.select("doc_id", "tag", "whole").join(masks, ["doc_id", "tag"], "left").where((F.size("whole") > 0) | F.col("at").isNotNull())
 
     def finish(batches):
