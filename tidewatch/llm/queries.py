@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe_automaton, chat, ctw, decontaminate, exact_dedup, extract, jaccard_join, mixing, negatives, quality, suffix_dedup, token_store
+from tidewatch.llm import bpe_automaton, chat, chat_repair, ctw, decontaminate, exact_dedup, extract, jaccard_join, mixing, negatives, quality, suffix_dedup, token_store
 from tidewatch.llm.common import cut, table
 
 
@@ -57,6 +57,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, repaired."""
+    turns = table(spark, sf_dir, "conversations")
+    return chat_repair.repair_digests(turns.select(F.col("conv_id").cast("bigint")), *chat_repair.repair(chat_repair.damaged(turns)))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding", F.col("vec_id") % 100 == 0)
@@ -67,7 +73,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_token_store, op3_extract, op4_ctw, op5_bpe_automaton, op6_chat_format, op7_quality, op8_decontaminate, op9_exact_dedup, op10_jaccard_join,
-                                  op12_hard_negatives, op13_mixing)}
+                                  op11_chat_repair, op12_hard_negatives, op13_mixing)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES = {
