@@ -146,10 +146,3 @@ def test_streams_equal_batch(spark, mk, tmp_path):
     q = J.live_counters(stream, "1 minute").writeStream.format("memory").queryName("live").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT sum(n) AS n FROM live").first().n == len(rows)
-    runs = J.burst_state(e).collect()
-    assert [r.n for r in runs] == [12]
-
-
-def test_session_window_keeps_a_gap_of_exactly_the_limit(mk):
-    assert [r.n for r in J.burst_state(mk.frame(mk.failures(10, step=30))).collect()] == [10]
-    assert J.burst_state(mk.frame(mk.failures(10, step=31))).count() == 0

@@ -9,6 +9,7 @@ from tidewatch.plans.catalog import ingest as IC
 from tidewatch.plans.catalog.base import ORACLE_VIEWS, events, query, stored
 from tidewatch.session import scratch_path
 from tidewatch.streaming import jobs as J
+from tidewatch.streaming.bursts import burst_state as burst_runs
 
 P = Anomaly(trees=50, min_z=3.0, notable_z=1.0, score_threshold=0.6)
 
@@ -111,16 +112,50 @@ def detect_stream(spark, sf):
     return J.current_findings(spark, found, seen).select("website_id", "rule_id", "subject", "event_id", "confidence")
 
 
+DAY_US = 86_400_000_000
+
+
+def _timed_files(spark, rows, parts):
+    """Rows as one file for each value of ``parts``, 0 to 3, in this order, to be read a file a micro-batch."""
+    path = scratch_path(spark, "timed-in")
+    for i in range(4):
+        rows.where(parts == i).coalesce(1).write.parquet(f"{path}/file={i}")
+    return path
+
+
+def _stamped(spark, sf):
+    e = events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    return (e, *e.agg(F.min("ts_us"), F.max("ts_us")).first())
+
+
 @query
 def late_and_future_policy(spark, sf):
-    rows = events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return J.late_and_future_policy(rows).select("event_id", "ts_us")
+    """Three files by time and a last one with every tenth event: most of that are late by then; the last day lies in the future."""
+    e, low, high = _stamped(spark, sf)
+    e = e.select("event_id", "timestamp", "ts_us")
+    parts = F.when(F.col("event_id") % 10 == 0, 3).otherwise(F.floor((F.col("ts_us") - low) * 3 / (high - low + 1)))
+    accepted, late, refused, marks, ck = (scratch_path(spark, f"policy-{n}") for n in ("accepted", "late", "refused", "marks", "state"))
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{_timed_files(spark, e, parts)}/*")
+    J.policy_stream(stream, accepted, late, refused, marks, ck, now=F.timestamp_micros(F.lit(high - DAY_US)), once=True).awaitTermination()
+    kept = [spark.read.parquet(p).select("event_id", "ts_us", F.col("batch").cast("int").alias("batch"), F.lit(n).alias("outcome"))
+            for n, p in (("accepted", accepted), ("late", late), ("refused", refused))]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 @query
 def burst_state(spark, sf):
-    rows = events(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    return J.burst_state(rows, 12 * 3600, 5).select("website_id", "entity", "n", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
+    """Files in turn hold a third of the time each, every event up to 40 hours late; a last event far ahead closes the open runs."""
+    e, low, high = _stamped(spark, sf)
+    e = e.select("event_id", "website_id", "event_type", "source_ip", "session_id", "user_id", "timestamp", "ts_us")
+    delayed = F.col("ts_us") + F.pmod(F.xxhash64("event_id"), F.lit(40 * 3600 * 1_000_000))
+    end = e.where("source_ip IS NOT NULL").limit(1).select(*[c for c in e.columns if c not in ("event_type", "timestamp", "ts_us")], F.lit("page_view").alias("event_type"),
+                                                          F.timestamp_micros(F.lit(high + 10 * DAY_US)).alias("timestamp"), F.lit(high + 10 * DAY_US).alias("ts_us"))
+    parts = F.when(F.col("ts_us") > high, 3).otherwise(F.least(F.floor((delayed - low) * 3 / (high - low + 1)), F.lit(2)))
+    path = _timed_files(spark, e.unionByName(end), parts)
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*")
+    out, ck = scratch_path(spark, "bursts"), scratch_path(spark, "bursts-state")
+    (burst_runs(stream, 12 * 3600, 5, "48 hours").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(out)
 
 
 @query
@@ -149,6 +184,11 @@ FROM slong JOIN smed b USING (website_id, feature) GROUP BY 1, 2"""
 V["sz"] = """
 SELECT l.website_id, l.session_key, l.feature, greatest(0, (COALESCE(value, median) - median) / scale * CASE WHEN feature IN ('median_page_gap_s', 'interaction_per_page')
   THEN -1 ELSE 1 END) AS z FROM slong l JOIN sbase USING (website_id, feature)"""
+V["pol_rows"] = f"""
+SELECT event_id, us, CASE WHEN event_id % 10 = 0 THEN 3 ELSE CAST(floor((us - low) * 3 / (high - low + 1)) AS INTEGER) END AS batch, us > high - {DAY_US} + 600000000 AS refused
+FROM ev, (SELECT min(us) AS low, max(us) AS high FROM ev) lim"""
+V["pol_latest"] = "SELECT batch, max(us) FILTER (NOT refused) AS latest FROM pol_rows GROUP BY 1"
+V["pol_marks"] = f"SELECT a.batch, max(c.latest) - {DAY_US} AS mark FROM pol_latest a LEFT JOIN pol_latest c ON c.batch < a.batch GROUP BY 1"
 ORACLES = {
     "detect_stream": "SELECT website_id, rule_id, subject, event_id, confidence FROM allf",
     "session_matrix": "SELECT website_id, session_key, " + ", ".join(ANOMALY_FEATURES) + " FROM smat",
@@ -165,7 +205,8 @@ SELECT website_id, count(*) AS sessions, CASE WHEN count(*) < 1800 THEN 'insuffi
     "ingest_stream": """
 SELECT CASE WHEN status_code = 500 OR interaction_total IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
   CASE WHEN status_code = 500 OR interaction_total IS NOT NULL THEN NULL ELSE event_id END AS event_id FROM ev""",
-    "late_and_future_policy": "SELECT event_id, us AS ts_us FROM ev",
-    "burst_state": "SELECT website_id, entity, n, s_us AS first_us, e_us AS last_us FROM burst",
+    "late_and_future_policy": """
+SELECT event_id, us AS ts_us, batch, CASE WHEN refused THEN 'refused' WHEN us < mark THEN 'late' ELSE 'accepted' END AS outcome FROM pol_rows JOIN pol_marks USING (batch)""",
+    "burst_state": "SELECT website_id, entity, n, s_us AS first_us, e_us AS last_us, users AS accounts FROM burst",
     "live_counters": "SELECT website_id, event_type, us - us % 3600000000 AS start_us, count(*) AS n FROM ev GROUP BY 1, 2, 3",
 }
