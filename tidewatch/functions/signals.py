@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.addresses import v6_is_global
 from tidewatch.functions.masking import unquote_plus
 
 # ------------------------------------------------------------------------------------ fixed values: pattern bank
@@ -91,30 +91,16 @@ def ipv4_value(c: Column) -> Column:
     return F.when(c.rlike(V4), value)
 
 
-def _public_v4(c: Column) -> Column:
+def _public_v4(value: Column) -> Column:
     import ipaddress
-    value, inside = ipv4_value(c), F.lit(False)
+    inside, kept = F.lit(False), [int(ipaddress.ip_address(x)) for x in PUBLIC_IN_RESERVED]
     for net in map(ipaddress.ip_network, RESERVED_V4):
         inside = inside | value.between(int(net.network_address), int(net.broadcast_address))
-    return F.when(value.isNotNull(), ~inside | c.isin(*PUBLIC_IN_RESERVED))
+    return ~inside | value.isin(*kept)
 
 
-def _v6_scope(c: Column) -> Column:
-    def apply(s: pd.Series) -> pd.Series:
-        import ipaddress
-
-        def one(ip):
-            try:
-                return None if ip is None else ("public" if ipaddress.IPv6Address(ip.strip()).is_global else "not_public")
-            except ValueError:
-                return None
-        return s.map(one)
-    return F.pandas_udf(apply, "string")(c)
-
-
-def ip_scope(c: Column, with_v6: bool = True) -> Column:
+def ip_scope(c: Column) -> Column:
     """``public`` / ``not_public`` for one address, ``invalid`` for anything else (masked forms included)."""
     t = F.trim(c)
-    v4 = F.when(_public_v4(t), "public").when(ipv4_value(t).isNotNull(), "not_public")
-    v6 = _v6_scope(F.when(t.contains(":"), t)) if with_v6 else F.lit(None).cast("string")
-    return F.when(c.isNotNull(), F.coalesce(v4, v6, F.lit("invalid")))
+    is_public = F.coalesce(_public_v4(ipv4_value(t)), v6_is_global(t, _public_v4))
+    return F.when(c.isNotNull(), F.when(is_public, "public").when(~is_public, "not_public").otherwise("invalid"))

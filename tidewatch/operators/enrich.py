@@ -124,13 +124,12 @@ def enrich_cve(indicators: DataFrame, feed: DataFrame) -> DataFrame:
                     F.lit(False).alias("synthetic"))
 
 
-def lookup_status(indicators: DataFrame, found: DataFrame, configured=("ip", "cve", "attack_technique"), public_only: bool = True,
-                  with_v6: bool = True) -> DataFrame:
+def lookup_status(indicators: DataFrame, found: DataFrame, configured=("ip", "cve", "attack_technique"), public_only: bool = True) -> DataFrame:
     """Status of every indicator: ``not_configured``, ``not_applicable`` (not a single public address), else the feed's
     answer.  ``found`` is (indicator_type, indicator, synthetic) of feed rows that are evidence."""
     hits = found.select("indicator_type", "indicator", "synthetic").dropDuplicates(["indicator_type", "indicator"]).withColumn("_hit", F.lit(True))
     d = indicators.join(hits, ["indicator_type", "indicator"], "left")
-    kind, scope = F.col("indicator_type"), ip_scope(F.col("indicator"), with_v6)
+    kind, scope = F.col("indicator_type"), ip_scope(F.col("indicator"))
     barred = (kind == "ip") & ((scope != "public") if public_only else (scope == "invalid"))
     status = (F.when(~kind.isin(*configured), "not_configured").when(barred, "not_applicable").otherwise(_evidence(F.col("_hit").isNotNull())))
     return d.select(*KEY, status.alias("status"), (F.coalesce("synthetic", F.lit(False)) & (status == "evidence_found")).alias("synthetic"))

@@ -22,9 +22,23 @@ SINCE = 1705276800000000          # 2024-01-15
 NOW = 1714521600000000            # 2024-05-01
 
 
-def raw_events(spark, sf):
+def hexes(c):
+    return F.lower(F.hex(c))
+
+
+def v6_source(canonical: bool):
+    """Addresses of every fifth event in version 6, once as typed by people and once as kept; every 35th is broken."""
+    low, mapped = hexes(F.col("event_id") % 65535 + 1), F.concat(F.lit("::ffff:10.0.3."), (F.col("event_id") % 250).cast("string"))
+    if canonical:
+        return F.when(F.col("event_id") % 35 == 0, None).when(F.col("event_id") % 10 == 0, mapped).when(F.col("event_id") % 5 == 0, F.concat(F.lit("2001:db8::7:0:0:"), low)).otherwise(F.col("source_ip"))
+    return (F.when(F.col("event_id") % 35 == 0, F.concat(F.lit("2001:db8:::"), low)).when(F.col("event_id") % 10 == 0, F.upper(mapped))
+            .when(F.col("event_id") % 5 == 0, F.concat(F.lit(" 2001:0DB8:0:0:07:0000:0:"), F.lpad(low, 4, "0"))).otherwise(F.col("source_ip")))
+
+
+def raw_events(spark, sf, v6=False):
     """Adapter events as raw JSON texts; interactions carry an unknown field, status 500 becomes an invalid 700."""
     e = fx(spark, sf, "web_events")
+    e = e.withColumn("source_ip", v6_source(False)) if v6 else e
     raw = F.to_json(F.struct(
         "event_type", F.lit("sdk").alias("source"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
         "session_id", "user_id", "source_ip", "user_agent", F.lit("get").alias("method"), "endpoint",
@@ -141,14 +155,14 @@ def load_report(spark, sf):
 # ------------------------------------------------------------------------------------------------ validation
 @query
 def validate_events(spark, sf):
-    return (I.validate_events(raw_events(spark, sf), with_v6=False)
-            .select("event_id", "method", "is_synthetic", "status_code", F.size("errors").alias("n_errors"),
+    return (I.validate_events(raw_events(spark, sf, v6=True))
+            .select("event_id", "method", "is_synthetic", "status_code", "source_ip", F.size("errors").alias("n_errors"),
                     F.array_join(F.transform("errors", lambda e: F.substring_index(e, ":", 1)), ",").alias("fields")))
 
 
 @query
 def split_accept_reject(spark, sf):
-    good, bad = I.split_accept_reject(I.validate_events(raw_events(spark, sf), with_v6=False))
+    good, bad = I.split_accept_reject(I.validate_events(raw_events(spark, sf, v6=True)))
     return (good.select("website_id", F.lit("accepted").alias("outcome"))
             .unionByName(bad.select("website_id", F.lit("rejected").alias("outcome")))
             .groupBy("website_id", "outcome").agg(F.count("*").alias("n")))
@@ -226,8 +240,8 @@ def mask_endpoint(spark, sf):
 
 @query
 def privacy_safe_ip(spark, sf):
-    e = fx(spark, sf, "web_events")
-    return e.select("event_id", *[M.privacy_safe_ip(F.col("source_ip"), m, SALT, with_v6=False).alias(f"ip_{m}")
+    e = fx(spark, sf, "web_events").withColumn("source_ip", v6_source(True))
+    return e.select("event_id", *[M.privacy_safe_ip(F.col("source_ip"), m, SALT).alias(f"ip_{m}")
                                   for m in ("none", "truncate", "hash")])
 
 
@@ -322,11 +336,23 @@ def address():
     return F.concat_ws(".", (F.col("user_id") % 224).cast("string"), (F.col("event_id") % 256).cast("string"), F.lit("0"), F.lit("9"))
 
 
+SCOPED_V6 = {"2001:db8::": "not_public", "2a00:1450:4001::": "public", "FE80::": "not_public", "::ffff:0a00:": "not_public", "::ffff:0808:": "public", "2001:30::": "public",
+             "2001:7::": "not_public", "2002:a00::": "not_public", "64:ff9b::": "public", "64:ff9b:1::": "not_public", "fd00:1:2:3:4:5:6:": "not_public", "1:2:3:4:5:6:7:8:": "invalid",
+             "1::2::": "invalid", "12345::": "invalid", ":1::": "invalid", "::": "public"}
+
+
+def _scoped(value) -> str:
+    """SQL picking one of SCOPED_V6 for every eighth event."""
+    return "CASE CAST(event_id // 8 % 16 AS INT) " + " ".join(f"WHEN {i} THEN '{value(*x)}'" for i, x in enumerate(SCOPED_V6.items())) + " END"
+
+
 @query
 def ip_scope(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", SG.ip_scope(address(), with_v6=False).alias("scope"),
-                    SG.ip_scope(F.concat(address(), F.lit("/24")), with_v6=False).alias("masked"))
+    v6 = F.concat(F.expr(_scoped(lambda k, v: k).replace("//", "DIV")), hexes(F.col("event_id") % 4096 + 4096))
+    e = e.withColumn("_a", F.when(F.col("event_id") % 8 == 0, v6).otherwise(address()))
+    return e.select("event_id", SG.ip_scope(F.col("_a")).alias("scope"),
+                    SG.ip_scope(F.concat("_a", F.lit("/24"))).alias("masked"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -392,6 +418,9 @@ SELECT event_id, website_id, entity, us, endpoint, t, CASE WHEN contains(t, '?')
   SELECT *, url_decode(replace(url_decode(replace(COALESCE(endpoint, ''), '+', ' ')), '+', ' ')) AS t FROM ev) x"""
 _SLICE = f"FROM ev WHERE us >= {SINCE}"
 
+ORACLE_VIEWS["v6_events"] = """
+SELECT *, CASE WHEN event_id % 35 = 0 THEN NULL WHEN event_id % 10 = 0 THEN concat('::ffff:10.0.3.', CAST(event_id % 250 AS VARCHAR))
+  WHEN event_id % 5 = 0 THEN concat('2001:db8::7:0:0:', lower(to_hex(event_id % 65535 + 1))) ELSE source_ip END AS v6_kept FROM ev"""
 ORACLES = {
     "read_event_batches": "SELECT CAST(event_id % 100 AS INTEGER) AS index, event_type, event_id FROM ev",
     "read_labelled_csv": "SELECT event_id, session_id, endpoint, status_code, website_id AS scenario, event_type AS label FROM ev",
@@ -418,11 +447,12 @@ SELECT event_type, count(*) FILTER (ok) AS loaded, count(*) FILTER (NOT ok) AS r
   max(ts_us) FILTER (ok) AS window_end_us FROM (SELECT *, COALESCE(status_code <> 500, TRUE) AS ok FROM shifted) x GROUP BY 1""",
     "validate_events": """
 SELECT event_id, 'GET' AS method, FALSE AS is_synthetic, CASE WHEN status_code = 500 THEN 700 ELSE status_code END AS status_code,
-  CASE WHEN status_code = 500 THEN 1 ELSE 0 END + CASE WHEN interaction_total IS NOT NULL THEN 1 ELSE 0 END AS n_errors,
-  concat_ws(',', CASE WHEN status_code = 500 THEN 'status_code' END, CASE WHEN interaction_total IS NOT NULL THEN 'interaction_total' END) AS fields
-FROM ev""",
+  CASE WHEN event_id % 35 <> 0 THEN v6_kept END AS source_ip,
+  CASE WHEN event_id % 35 = 0 THEN 1 ELSE 0 END + CASE WHEN status_code = 500 THEN 1 ELSE 0 END + CASE WHEN interaction_total IS NOT NULL THEN 1 ELSE 0 END AS n_errors,
+  concat_ws(',', CASE WHEN event_id % 35 = 0 THEN 'source_ip' END, CASE WHEN status_code = 500 THEN 'status_code' END, CASE WHEN interaction_total IS NOT NULL THEN 'interaction_total' END) AS fields
+FROM v6_events""",
     "split_accept_reject": """
-SELECT website_id, CASE WHEN status_code = 500 OR interaction_total IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
+SELECT website_id, CASE WHEN event_id % 35 = 0 OR status_code = 500 OR interaction_total IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
   count(*) AS n FROM ev GROUP BY 1, 2""",
     "normalize_endpoint": r"""
 SELECT page_id, split_part(trim(url), '#', 1) AS endpoint FROM pages
@@ -441,8 +471,8 @@ FROM documents""",
     "redact_secret_keys": "SELECT doc_id, '[REDACTED]' AS api_key, text FROM documents",
     "is_sensitive_key": f"SELECT doc_id, regexp_matches(lower(text), '{_KEYS}') AS sensitive FROM documents",
     "privacy_safe_ip": rf"""
-SELECT event_id, source_ip AS ip_none, regexp_replace(source_ip, '\.\d+$', '.0/24') AS ip_truncate,
-  'iph_' || {_hmac('source_ip', 16)} AS ip_hash FROM ev""",
+SELECT event_id, v6_kept AS ip_none, CASE WHEN v6_kept LIKE '::ffff:%' THEN '::/48' WHEN v6_kept LIKE '2001:%' THEN '2001:db8::/48' ELSE regexp_replace(v6_kept, '\.\d+$', '.0/24') END AS ip_truncate,
+  'iph_' || {_hmac('v6_kept', 16)} AS ip_hash FROM v6_events""",
     "pseudonymize_user_id": f"""
 SELECT event_id, CASE WHEN website_id = 'web_a' THEN 'usr_' || {_hmac("lower(concat(user_id, '@Corp.Example'))", 12)} ELSE user_id END AS user_id FROM ev""",
     "safe_metrics": """
@@ -477,7 +507,7 @@ SELECT event_id, CASE WHEN regexp_full_match(c, 'CVE-\d{4}-\d{4,7}') THEN c END
     "normalize_domain": """
 SELECT page_id, lower(regexp_extract(url, '://([^/]*)', 1)) AS domain, CAST(NULL AS VARCHAR) AS none FROM pages""",
     "ip_scope": f"""
-SELECT event_id, CASE WHEN {_RESERVED} THEN 'not_public' ELSE 'public' END AS scope, 'invalid' AS masked FROM (
+SELECT event_id, CASE WHEN event_id % 8 = 0 THEN {_scoped(lambda k, v: v)} WHEN {_RESERVED} THEN 'not_public' ELSE 'public' END AS scope, 'invalid' AS masked FROM (
   SELECT event_id, (user_id % 224) * 16777216 + (event_id % 256) * 65536 + 9 AS v FROM events) x""",
 }
 ORACLES["extract_features"] = ORACLES["extract_features"].replace(

@@ -40,7 +40,7 @@ def found(spark, sf):
 
 def results(spark, sf):
     return stored(spark, sf, "intel_results", lambda: E.lookup_status(E.cap_indicators(indicators(spark, sf), PE.max_per_incident)[0],
-                                                                       found(spark, sf), with_v6=False))
+                                                                       found(spark, sf)))
 
 
 @query
@@ -82,7 +82,7 @@ def enrich_cve(spark, sf):
 
 @query
 def lookup_status(spark, sf):
-    return E.lookup_status(indicators(spark, sf), found(spark, sf), with_v6=False)
+    return E.lookup_status(indicators(spark, sf), found(spark, sf))
 
 
 @query
