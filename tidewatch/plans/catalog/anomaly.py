@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import anomaly as A
 from tidewatch.operators import sessions as S
-from tidewatch.params import ANOMALY_FEATURES, Anomaly, Detection
+from tidewatch.params import ANOMALY_FEATURES, ANOMALY_RULE, Anomaly, Detection
 from tidewatch.plans.catalog import ingest as IC
 from tidewatch.plans.catalog.base import ORACLE_VIEWS, events, query, stored
 from tidewatch.session import scratch_path
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming.bursts import burst_state as burst_runs
 
-P = Anomaly(trees=50, min_z=3.0, notable_z=1.0, score_threshold=0.6)
+P = Anomaly(min_z=3.0, notable_z=1.0, score_threshold=0.6)
 
 
 def summary(spark, sf):
@@ -55,14 +55,19 @@ def notable_deviations(spark, sf):
     return A.notable_deviations(deviations(spark, sf), P).select(*S.SESSION, "position", "feature", "deviation_z")
 
 
+def scores(spark, sf):
+    return stored(spark, sf, "anomaly_scores", lambda: A.isolation_forest(matrix(spark, sf), baseline(spark, sf), P))
+
+
 @query
 def isolation_forest(spark, sf):
-    return A.isolation_forest(matrix(spark, sf), baseline(spark, sf), P)
+    return A.isolation_forest(matrix(spark, sf), baseline(spark, sf), P).select(*S.SESSION, F.round("anomaly_score", 7).alias("anomaly_score"))
 
 
 @query
 def flag_anomalies(spark, sf):
-    return A.flag_anomalies(A.isolation_forest(matrix(spark, sf), baseline(spark, sf), P), deviations(spark, sf), P)
+    flags = A.flag_anomalies(scores(spark, sf), deviations(spark, sf), P)
+    return flags.select(*S.SESSION, F.round("anomaly_score", 7).alias("anomaly_score"), F.round("max_z", 7).alias("max_z"), "flagged")
 
 
 @query
@@ -184,6 +189,38 @@ FROM slong JOIN smed b USING (website_id, feature) GROUP BY 1, 2"""
 V["sz"] = """
 SELECT l.website_id, l.session_key, l.feature, greatest(0, (COALESCE(value, median) - median) / scale * CASE WHEN feature IN ('median_page_gap_s', 'interaction_per_page')
   THEN -1 ELSE 1 END) AS z FROM slong l JOIN sbase USING (website_id, feature)"""
+# the forest level by level: nodes are paths, chosen features and cuts come from the same hashes
+V["if_x"] = f"""
+SELECT l.website_id, l.session_key, [{", ".join(f"max(COALESCE(value, median, 0)) FILTER (l.feature = '{f}')" for f in ANOMALY_FEATURES)}] AS x
+FROM slong l JOIN sbase USING (website_id, feature) GROUP BY 1, 2"""
+V["if_r0"] = f"""
+SELECT website_id, tree, session_key, x, '1' AS node FROM (SELECT *, row_number() OVER (PARTITION BY website_id, tree
+  ORDER BY md5(concat_ws('|', '{P.seed}', website_id, CAST(tree AS VARCHAR), session_key)), session_key) AS r
+  FROM if_x, (SELECT unnest(range({P.trees})) AS tree) t) y WHERE r <= {P.max_samples}"""
+V["if_t"] = "SELECT website_id, tree, count(*) AS samples, ceil(log2(greatest(count(*), 2))) AS most FROM if_r0 GROUP BY 1, 2"
+_N, LEVELS = len(ANOMALY_FEATURES), 8
+for _i in range(LEVELS + 1):
+    V[f"if_n{_i}"] = f"""
+SELECT website_id, tree, node, n, f, lo[f] + u * (hi[f] - lo[f]) AS cut FROM (
+  SELECT website_id, tree, node, n, lo, hi, ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS u,
+    CASE WHEN n > 1 AND {_i} < most AND len(usable) > 0 THEN usable[CAST(1 + ('0x' || substr(h, 1, 8))::BIGINT % len(usable) AS INTEGER)] END AS f
+  FROM (SELECT *, list_filter(range(1, {_N + 1}), lambda i: hi[i] > lo[i]) AS usable, md5(concat_ws('|', '{P.seed}', website_id, CAST(tree AS VARCHAR), node)) AS h FROM (
+    SELECT website_id, tree, node, count(*) AS n, [{", ".join(f"min(x[{k}])" for k in range(1, _N + 1))}] AS lo, [{", ".join(f"max(x[{k}])" for k in range(1, _N + 1))}] AS hi
+    FROM if_r{_i} GROUP BY 1, 2, 3) a JOIN if_t USING (website_id, tree)) b) c"""
+    V[f"if_r{_i + 1}"] = f"""
+SELECT website_id, tree, session_key, x, node || CASE WHEN x[f] <= cut THEN '0' ELSE '1' END AS node
+FROM if_r{_i} JOIN if_n{_i} USING (website_id, tree, node) WHERE f IS NOT NULL"""
+    V[f"if_s{_i}"] = ("SELECT website_id, session_key, x, tree, '1' AS node FROM if_x JOIN if_t USING (website_id)" if _i == 0 else f"""
+SELECT website_id, session_key, x, tree, node || CASE WHEN x[f] <= cut THEN '0' ELSE '1' END AS node FROM if_s{_i - 1} JOIN if_n{_i - 1} USING (website_id, tree, node) WHERE f IS NOT NULL""")
+V["if_leaf"] = " UNION ALL ".join(f"SELECT website_id, session_key, {_i} AS depth, n FROM if_s{_i} JOIN if_n{_i} USING (website_id, tree, node) WHERE f IS NULL" for _i in range(LEVELS + 1))
+_C = "CASE WHEN {0} > 2 THEN 2.0 * (ln({0} - 1.0) + 0.5772156649015329) - 2.0 * ({0} - 1.0) / {0} WHEN {0} = 2 THEN 1.0 ELSE 0.0 END"
+V["if_score"] = f"""
+SELECT website_id, session_key, CASE WHEN norm > 0 THEN pow(2.0, -(total / {P.trees}) / norm) ELSE 0.5 END AS anomaly_score
+FROM (SELECT website_id, session_key, sum(depth + {_C.format("n")}) AS total FROM if_leaf GROUP BY 1, 2) a
+JOIN (SELECT website_id, {_C.format("max(samples)")} AS norm FROM if_t GROUP BY 1) b USING (website_id)"""
+V["if_flag"] = f"""
+SELECT website_id, session_key, anomaly_score, max_z, anomaly_score >= {P.score_threshold} AND max_z >= {P.min_z} AS flagged
+FROM if_score JOIN (SELECT website_id, session_key, max(z) AS max_z FROM sz GROUP BY 1, 2) z USING (website_id, session_key)"""
 V["pol_rows"] = f"""
 SELECT event_id, us, CASE WHEN event_id % 10 = 0 THEN 3 ELSE CAST(floor((us - low) * 3 / (high - low + 1)) AS INTEGER) END AS batch, us > high - {DAY_US} + 600000000 AS refused
 FROM ev, (SELECT min(us) AS low, max(us) AS high FROM ev) lim"""
@@ -205,6 +242,12 @@ SELECT website_id, count(*) AS sessions, CASE WHEN count(*) < 1800 THEN 'insuffi
     "ingest_stream": """
 SELECT CASE WHEN status_code = 500 OR interaction_total IS NOT NULL THEN 'rejected' ELSE 'accepted' END AS outcome,
   CASE WHEN status_code = 500 OR interaction_total IS NOT NULL THEN NULL ELSE event_id END AS event_id FROM ev""",
+    "isolation_forest": "SELECT website_id, session_key, round(anomaly_score, 7) AS anomaly_score FROM if_score",
+    "flag_anomalies": "SELECT website_id, session_key, round(anomaly_score, 7) AS anomaly_score, round(max_z, 7) AS max_z, flagged FROM if_flag",
+    "anomaly_findings": f"""
+SELECT 'fnd_' || left(sha256(concat_ws('|', website_id, '{ANOMALY_RULE[0]}', session_key)), 32) AS finding_id, website_id, first_id AS event_id, session_key AS subject,
+  round({P.confidence_min} + least(greatest((anomaly_score - {P.score_threshold}) / (1 - {P.score_threshold}), 0), 1) * ({P.confidence_max} - {P.confidence_min}), 3) AS confidence, n AS cited_events
+FROM if_flag JOIN (SELECT website_id, session_key, count(*) AS n, arg_min(event_id, (us, event_id)) AS first_id FROM ev GROUP BY 1, 2) e USING (website_id, session_key) WHERE flagged""",
     "late_and_future_policy": """
 SELECT event_id, us AS ts_us, batch, CASE WHEN refused THEN 'refused' WHEN us < mark THEN 'late' ELSE 'accepted' END AS outcome FROM pol_rows JOIN pol_marks USING (batch)""",
     "burst_state": "SELECT website_id, entity, n, s_us AS first_us, e_us AS last_us, users AS accounts FROM burst",
