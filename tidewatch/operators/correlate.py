@@ -6,8 +6,10 @@ share an event form a cluster if they hold a seed (an event carrying or cited by
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -377,27 +379,53 @@ def incident_details(summaries: DataFrame, members: DataFrame, stages: DataFrame
 
 
 # ------------------------------------------------------------------------------------------------ incidents over time
-def match_incidents(candidates: DataFrame, members: DataFrame, existing: DataFrame) -> DataFrame:
+def _greedy(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Overlaps sorted by component, cluster rank and preference as matches: each cluster takes its first incident that is still free."""
+    component, cluster, taken = None, None, set()
+    for batch in rows:
+        out = []
+        for r in batch.itertuples(index=False):
+            if r.component != component:
+                component, cluster, taken = r.component, None, set()
+            if r.cluster_event == cluster or r.incident_id in taken:
+                continue
+            cluster = r.cluster_event                     # decided: its further overlaps are passed over
+            taken.add(r.incident_id)
+            out.append((r.website_id, r.cluster_event, r.incident_id))
+        yield pd.DataFrame(out, columns=["website_id", "cluster_event", "incident_id"])
+
+
+def match_incidents(candidates: DataFrame, members: DataFrame, existing: DataFrame, in_task: int = 100_000) -> DataFrame:
     """(website_id, cluster_event, incident_id): each cluster, larger ones first, takes the free incident it overlaps
     most (ties: larger incident id).
 
-    ``existing`` is (website_id, incident_id, event_id) in long form.  The sequential choice is reproduced in rounds: a
-    cluster takes its best free incident as soon as no earlier undecided cluster overlaps that incident, so all
-    independent choices of a round are made at once and no group is collected."""
-    rank = F.struct((-F.col("event_count")).alias("size"), (-F.col("max_confidence")).alias("conf"), "first_us", "cluster_id")
-    ranked = candidates.select(*CLUSTER, rank.alias("rank"))
+    ``existing`` is (website_id, incident_id, event_id) in long form.  Choices only depend on each other inside a component of the overlap
+    graph.  Components of at most ``in_task`` overlaps are each read once, in order, keeping only the incidents taken so far.  Of larger
+    ones, all clusters that no earlier one can disturb choose at once, which breaks them up; then the rest is split again."""
+    order = ["size", "conf", "first_us", "cluster_id"]
+    ranked = candidates.select(*CLUSTER, (-F.col("event_count")).alias("size"), (-F.col("max_confidence")).alias("conf"), "first_us", "cluster_id")
     shared = (members.select(*CLUSTER, "event_id").join(existing.select("website_id", "incident_id", "event_id"), ["website_id", "event_id"])
               .groupBy(*CLUSTER, "incident_id").agg(F.count(F.lit(1)).alias("overlap")))
     open_ = checkpointed(shared.join(ranked, CLUSTER))
-    out = None
+    pick = open_.select(*CLUSTER, "incident_id").schema
+    node = F.to_json(F.struct("website_id", "cluster_event"))
+    out = []
     while not open_.isEmpty():
-        best = open_.groupBy(*CLUSTER, "rank").agg(F.max(F.struct("overlap", "incident_id"))["incident_id"].alias("incident_id"))
-        first = open_.groupBy("website_id", "incident_id").agg(F.min("rank").alias("rank"))
+        edges = open_.select(node.alias("src"), F.concat(F.lit("i"), F.to_json(F.struct("website_id", "incident_id"))).alias("dst"))
+        component = connected_components(edges).withColumnRenamed("node", "_node")
+        placed = checkpointed(open_.join(component, node == F.col("_node")).drop("_node"))
+        size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("overlaps"))
+        small = placed.join(size.where(F.col("overlaps") <= in_task).select("component"), "component", "left_semi")
+        preferred = small.repartition("component").sortWithinPartitions("component", *order, "cluster_event", F.desc("overlap"), F.desc("incident_id"))
+        out.append(checkpointed(preferred.select("component", *CLUSTER, "incident_id").mapInPandas(_greedy, pick)))
+        large = placed.join(size.where(F.col("overlaps") > in_task).select("component"), "component", "left_semi").drop("component")
+        rank = F.struct(*order)
+        best = large.groupBy(*CLUSTER).agg(F.max(F.struct("overlap", "incident_id"))["incident_id"].alias("incident_id"), F.min(rank).alias("rank"))
+        first = large.groupBy("website_id", "incident_id").agg(F.min(rank).alias("rank"))
         won = checkpointed(best.join(first, ["website_id", "incident_id", "rank"]).select(*CLUSTER, "incident_id"))
-        out = won if out is None else out.unionByName(won)
-        open_ = checkpointed(open_.join(won.select(*CLUSTER), CLUSTER, "left_anti")
-                             .join(won.select("website_id", "incident_id"), ["website_id", "incident_id"], "left_anti"))
-    return open_.select(*CLUSTER, "incident_id") if out is None else out
+        out.append(won)
+        open_ = checkpointed(large.join(won.select(*CLUSTER), CLUSTER, "left_anti").join(won.select("website_id", "incident_id"), ["website_id", "incident_id"], "left_anti"))
+    return reduce(DataFrame.unionByName, out) if out else open_.select(*CLUSTER, "incident_id")
 
 
 def reconcile_incidents(candidates: DataFrame, matched: DataFrame, existing: DataFrame, feedback: DataFrame) -> DataFrame:

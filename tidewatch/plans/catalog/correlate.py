@@ -167,17 +167,14 @@ def reconciled(spark, sf):
     old = existing(spark, sf).groupBy("website_id", "incident_id").agg(F.max("event_id").alias("e"))
     old = old.select("website_id", "incident_id", F.when(F.col("e") % 3 == 0, "CONFIRMED").otherwise("DETECTED").alias("status"),
                      F.lit("deterministic_correlation").alias("basis"), (F.col("e") % 5 == 0).alias("stale"), "e")
-    # plain assignment for the checked query: the incident of the cluster's first event
-    first = members(spark, sf).where(F.col("event_id") == F.col("cluster_event")).select(*C.CLUSTER, F.col("session_id").alias("incident_id"))
-    matched = cand.join(first, C.CLUSTER).where(F.col("incident_id").isNotNull()).select(*C.CLUSTER, "incident_id")
-    matched = matched.groupBy("website_id", "incident_id").agg(F.min("cluster_event").alias("cluster_event")).select(*C.CLUSTER, "incident_id")
+    matched = C.match_incidents(cand, members(spark, sf), existing(spark, sf))
     judged = old.where(F.col("e") % 4 == 0).select("website_id", "incident_id")
     return C.reconcile_incidents(cand, matched, old.drop("e"), judged)
 
 
 @query
 def reconcile_incidents(spark, sf):
-    return reconciled(spark, sf).groupBy("website_id", "action").agg(F.count("*").alias("n"))
+    return reconciled(spark, sf).select("website_id", "cluster_event", "incident_id", "action")
 
 
 @query
@@ -310,9 +307,20 @@ SELECT website_id, cluster_event, string_agg(path, '|' ORDER BY r) AS affected_r
     SELECT m.website_id, cluster_event, path, count(DISTINCT finding_id) AS n, min(finding_id) AS f FROM mem m JOIN fx_findings USING (event_id)
     WHERE path IS NOT NULL GROUP BY 1, 2, 3) x) y WHERE r <= 5 AND cluster_event NOT IN (SELECT cluster_event FROM res) GROUP BY 1, 2"""
 V["old"] = "SELECT website_id, session_id AS incident_id, max(event_id) AS e FROM mem WHERE session_id IS NOT NULL GROUP BY 1, 2"
-V["mat"] = """
-SELECT c.website_id, m.session_id AS incident_id, min(c.cluster_event) AS cluster_event FROM cand c JOIN mem m ON m.event_id = c.cluster_event
-WHERE m.session_id IS NOT NULL GROUP BY 1, 2"""
+# one cluster after the other takes the free incident it shares most events with
+V["mm_shared"] = """
+SELECT m.website_id, m.cluster_event, o.session_id AS incident_id, count(*) AS overlap FROM mem m JOIN cand c USING (website_id, cluster_event)
+JOIN mem o ON o.website_id = m.website_id AND o.event_id = m.event_id WHERE o.session_id IS NOT NULL GROUP BY 1, 2, 3"""
+V["mm_rank"] = """
+SELECT website_id, cluster_event, row_number() OVER (PARTITION BY website_id ORDER BY event_count DESC, max_confidence DESC, first_us, cluster_id) AS k
+FROM cand WHERE (website_id, cluster_event) IN (SELECT (website_id, cluster_event) FROM mm_shared)"""
+V["mm_step"] = """
+SELECT DISTINCT website_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS cluster_event, CAST(NULL AS VARCHAR) AS incident_id FROM mm_rank
+UNION ALL SELECT website_id, k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, cluster_event, pick FROM (
+  SELECT g.website_id, r.k, any_value(g.taken) AS taken, r.cluster_event, arg_max(s.incident_id, (s.overlap, s.incident_id)) FILTER (NOT list_contains(g.taken, s.incident_id)) AS pick
+  FROM mm_step g JOIN mm_rank r ON r.website_id = g.website_id AND r.k = g.k + 1
+  JOIN mm_shared s ON s.website_id = r.website_id AND s.cluster_event = r.cluster_event GROUP BY g.website_id, r.k, r.cluster_event) x"""
+V["mat"] = "SELECT website_id, incident_id, cluster_event FROM mm_step WHERE incident_id IS NOT NULL"
 
 ORACLES = {
     "seed_events": "SELECT * FROM seeds",
@@ -342,11 +350,12 @@ SELECT website_id, cluster_event, cluster_id, event_count, seed_event_count, fir
 SELECT website_id, cluster_event, CASE WHEN n_stages >= 2 THEN concat('Suspicious activity chain from ', src, ': ', stage_text)
   ELSE concat(COALESCE(best_title, 'Suspicious activity'), ' from ', src) END AS title FROM (
   SELECT *, CASE WHEN source_ip_count = 1 THEN one_ip WHEN source_ip_count > 1 THEN concat(source_ip_count, ' sources') ELSE 'an unidentified source' END AS src FROM csum) x""",
+    "match_incidents": "SELECT website_id, cluster_event, incident_id FROM mat",
     "reconcile_incidents": """
-SELECT website_id, action, count(*) AS n FROM (
-  SELECT c.website_id, CASE WHEN m.cluster_event IS NULL THEN 'created' ELSE 'updated' END AS action FROM cand c LEFT JOIN mat m USING (website_id, cluster_event)
-  UNION ALL SELECT o.website_id, CASE WHEN e % 3 <> 0 AND e % 4 <> 0 THEN 'removed' WHEN e % 5 = 0 THEN 'kept_stale' ELSE 'stale' END
-  FROM old o WHERE (o.website_id, o.incident_id) NOT IN (SELECT (website_id, incident_id) FROM mat)) x GROUP BY 1, 2""",
+SELECT c.website_id, CAST(c.cluster_event AS VARCHAR) AS cluster_event, m.incident_id, CASE WHEN m.cluster_event IS NULL THEN 'created' ELSE 'updated' END AS action
+FROM cand c LEFT JOIN mat m USING (website_id, cluster_event)
+UNION ALL SELECT o.website_id, NULL, o.incident_id, CASE WHEN e % 3 <> 0 AND e % 4 <> 0 THEN 'removed' WHEN e % 5 = 0 THEN 'kept_stale' ELSE 'stale' END
+FROM old o WHERE (o.website_id, o.incident_id) NOT IN (SELECT (website_id, incident_id) FROM mat)""",
     "list_links": """
 SELECT l.*, us AS ts_us FROM fx_links l JOIN ev e ON e.event_id = l.event_id WHERE relationship_type = 'same_ip'""",
     "list_cluster_summaries": """
