@@ -17,10 +17,10 @@ LENGTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 CORE = LENGTH - PERIOD + 1          # bytes that every two equal strings of LENGTH share from such a pair of positions on
 SIDE = PERIOD - 1                   # bytes on either side of a core that the strings through it can reach
-LOT = 2_500_000                     # samples that a task gathers before it sends them
-BLOCK_SAMPLES = 3_000_000           # samples, on average, that meet in one task
-BLOCK_NAMES = 1_500_000             # the same for named contexts and for contexts with their bytes
-BLOCK_CONTEXTS = 400_000
+LOT = 700_000                     # samples that a task gathers before it sends them
+BLOCK_SAMPLES = 1_200_000           # samples, on average, that meet in one task
+BLOCK_NAMES = 700_000             # the same for named contexts and for contexts with their bytes
+BLOCK_CONTEXTS = 250_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
@@ -196,7 +196,7 @@ def _same_contexts(rows: DataFrame, blocks: int) -> DataFrame:
         return s, np.concatenate([edge[i] + np.flatnonzero(np.isin(low[edge[i]:edge[i + 1]], batch["keys"][lo + i].values.to_numpy().view(np.uint32))) for i in range(len(texts))])
 
     def send(batches):
-        for ids, tags, core, row, at, ctx, left, right in _lots(batches, shared, LOT // 5):
+        for ids, tags, core, row, at, ctx, left, right in _lots(batches, shared, LOT // 3):
             name, doc = _context_names(core, ctx, left, right), ids[row]
             del ctx
             order = np.argsort(name)
