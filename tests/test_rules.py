@@ -15,6 +15,7 @@ from tidewatch.functions.signals import SIGNALS
 from tidewatch.operators import rules as R
 from tidewatch.operators import sessions as S
 from tidewatch.params import PROBE_PATHS, RULES, Detection
+from tidewatch.plans.analyse import detect
 
 P = dataclasses.replace(Detection(), burst_min=3, multi_min=4, multi_users=3, burst_gap_s=20, multi_gap_s=20, success_lookback_s=90, rate_min=3, rate_window_s=5, nav_views=3)
 ID, SITE, _, US, KIND, IP, SID, UID, EP, STATUS, UA, ATTRS = range(12)
@@ -208,12 +209,24 @@ def test_session_summary_like_plain_counts(mk, parts):
 
 def test_later_steps_read_every_citation(mk, spark):
     from tidewatch.operators import correlate as C
-    from tidewatch.plans.analyse import detect_with_citations
     rows = mk.failures(620, step=0.05, ip="192.0.2.77", users=["a"], sid="long")
     events = mk.frame(rows)
-    findings, cited = detect_with_citations(events, model=None)
+    findings, cited = detect(events, model=None)
     f = findings.collect()
     assert [(len(x.event_ids), x.cited_events, x.event_ids_truncated) for x in f] == [(500, 620, True)]
     assert R.suspicious_events(findings, cited).count() == C.seed_events(findings, events, cited).count() == 620
     assert {r.n for r in R.detection_counters(events, findings, cited).where("metric = 'suspicious_events'").collect()} == {620}
-    assert C.clusters(events, findings, cited=cited).where("is_seed").count() == 620
+    assert C.clusters(events, findings, cited).where("is_seed").count() == 620
+
+
+def test_a_run_is_stored_once_however_many_findings_cite_it(mk):
+    """Fifty successes after one burst: what is stored grows with their sum, what is cited with their product."""
+    rows = mk.failures(300, step=0.1, ip="192.0.2.78", users=["a", "b"], sid="run") + [mk.ev("login_success", 40 + i, ip="192.0.2.78", sid="run", uid="a") for i in range(50)]
+    found, cited = detect(mk.frame(rows), model=None)
+    by_rule = {f.rule_id: f for f in found.collect()}
+    after = [f for f in found.collect() if f.rule_id == "R-AUTH-003"]
+    assert len(after) == 50 and {f.cited_events for f in after} == {301} and {len(f.event_ids) for f in after} == {301}
+    assert cited.members.count() < 2 * 350 and cited.pairs().where(F.col("finding_id").isin([f.finding_id for f in after])).count() == 50 * 301
+    assert cited.events().count() == 350 and by_rule["R-AUTH-001"].cited_events == 300
+    tags = found.select("website_id", "finding_id", F.lit("x").alias("tag"))
+    assert cited.tagged(tags).count() == 350

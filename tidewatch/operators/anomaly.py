@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.citations import Citations
 from tidewatch.operators.forest import fit_forest, score_forest
 from tidewatch.operators.ordered import exact_quantiles, first_ids, spread_join
 from tidewatch.operators.sessions import SESSION, with_session_key
@@ -133,4 +134,11 @@ def anomaly_findings(events: DataFrame, summary: DataFrame, p: Anomaly = Anomaly
         "event_ids", F.col("event_count").alias("cited_events"), (F.col("event_count") > MAX_CITED).alias("event_ids_truncated"))
 
 
+def anomaly_citations(events: DataFrame, found: DataFrame) -> Citations:
+    """All events of the sessions that ``anomaly_findings`` flagged."""
+    of = found.select("website_id", F.col("subject").alias("session_key"), "finding_id")
+    own = spread_join(with_session_key(events).select(*SESSION, "event_id"), of, SESSION)
+    return Citations.of(own.select("website_id", "finding_id", "event_id"))
+
+
 __all__ = [n for n in dir() if not n.startswith("_") and n != "reduce"]

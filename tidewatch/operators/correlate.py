@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.operators.citations import Citations
 from tidewatch.operators.components import connected_components
 from tidewatch.operators.ordered import MICROS, first_ids, near_prev, split_runs, spread_join, top_k
 from tidewatch.params import STAGE_TEXT, STAGES, Correlation
@@ -45,21 +46,21 @@ def link_strength(rel: Column, gap_us: Column, p: Correlation) -> Column:
 
 
 # ------------------------------------------------------------------------------------------------ seeds and chains
-def cited_pairs(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
-    """(website, finding, event) for anchors and cited events, both only if loaded; a finding counts if its anchor is.
+def _live(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Findings whose anchor is loaded."""
+    return findings.join(events.select("website_id", "event_id"), ["website_id", "event_id"], "left_semi")
 
-    ``cited`` holds all citations in long form; without it the ids listed with the findings are taken."""
-    kind = events.schema["event_id"].dataType
-    keys = events.select("website_id", "event_id")
-    live = findings.join(keys, ["website_id", "event_id"], "left_semi")
-    others = (live.select("website_id", "finding_id", F.explode(F.col("event_ids").cast(T.ArrayType(kind))).alias("event_id")) if cited is None
-              else cited.join(live.select("website_id", "finding_id"), ["website_id", "finding_id"], "left_semi").select("website_id", "finding_id", "event_id"))
-    pairs = live.select("website_id", "finding_id", "event_id").unionByName(others)
-    return pairs.join(keys, ["website_id", "event_id"], "left_semi").distinct()
 
+def seed_events(findings: DataFrame, events: DataFrame, cited: Citations) -> DataFrame:
+    """Distinct loaded events that a live finding is anchored on or cites."""
+    live = _live(findings, events)
+    seeds = live.select("website_id", "event_id").unionByName(cited.events(live))
+    return seeds.join(events.select("website_id", "event_id"), ["website_id", "event_id"], "left_semi").distinct()
 
-def seed_events(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
-    return cited_pairs(findings, events, cited).select("website_id", "event_id").distinct()
+
+def _marks() -> Column:
+    """Category of a finding, and a mark if it is an attack indicator."""
+    return F.explode(F.array_compact(F.array(F.col("category"), F.when(F.col("finding_type") == "attack_indicator", F.lit(ATTACK_MARK)))))
 
 
 def _entities(events: DataFrame) -> DataFrame:
@@ -101,7 +102,7 @@ def event_runs(groups: DataFrame, p: Correlation = Correlation()) -> DataFrame:
     return runs.select("website_id", "event_id", "ts_us", node.alias("node"))
 
 
-def clusters(events: DataFrame, findings: DataFrame, p: Correlation = Correlation(), cited: DataFrame | None = None) -> DataFrame:
+def clusters(events: DataFrame, findings: DataFrame, cited: Citations, p: Correlation = Correlation()) -> DataFrame:
     """Members of all clusters: (website_id, cluster_event, cluster_id, event_id, ts_us, is_seed).
 
     Components are found on runs, not on events: runs sharing an event are joined by an edge, so the graph is far
@@ -144,12 +145,11 @@ def cluster_findings(members: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------------ stages
-def cited_categories(findings: DataFrame, events: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def cited_categories(findings: DataFrame, events: DataFrame, cited: Citations) -> DataFrame:
     """Per event the set of finding categories citing it, with a mark for attack indicators."""
-    cats = findings.select("website_id", "finding_id", F.array_compact(F.array(
-        F.col("category"), F.when(F.col("finding_type") == "attack_indicator", F.lit(ATTACK_MARK)))).alias("c"))
-    pairs = cited_pairs(findings, events, cited).join(cats, ["website_id", "finding_id"])
-    return (pairs.select("website_id", "event_id", F.explode("c").alias("c")).groupBy("website_id", "event_id")
+    live = _live(findings, events).select("website_id", "finding_id", "event_id", _marks().alias("c"))
+    long = live.select("website_id", "c", "event_id").unionByName(cited.tagged(live.select("website_id", "finding_id", "c")))
+    return (long.join(events.select("website_id", "event_id"), ["website_id", "event_id"], "left_semi").groupBy("website_id", "event_id")
             .agg(F.sort_array(F.collect_set("c")).alias("categories")))
 
 
@@ -169,21 +169,13 @@ def stage_order(stage: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STAGES]), stage).cast("int")
 
 
-def detect_stages(members: DataFrame, findings: DataFrame, keys=CLUSTER, cited: DataFrame | None = None) -> DataFrame:
+def detect_stages(members: DataFrame, findings: DataFrame, cited: Citations, keys=CLUSTER) -> DataFrame:
     """Events of each cluster that carry a stage.  Clusters without a credential attack, abnormal navigation or attack
     indicator have no stages at all.  Only findings anchored in the same cluster count."""
-    own = members.select(*keys, "event_id")
-    kind = members.schema["event_id"].dataType
-    cats = F.array_compact(F.array(F.col("category"), F.when(F.col("finding_type") == "attack_indicator", F.lit(ATTACK_MARK))))
-    inside = findings.join(own, ["website_id", "event_id"])
-    ids = F.array_union(F.array(F.col("event_id").cast("string")), F.coalesce("event_ids", F.array().cast("array<string>")))
-    if cited is None:
-        long = inside.select(*keys, F.explode(ids.cast(T.ArrayType(kind))).alias("event_id"), cats.alias("c"))
-    else:
-        own_event = inside.select(*keys, "event_id", cats.alias("c"))
-        long = own_event.unionByName(cited.join(inside.select(*keys, "finding_id", cats.alias("c")), ["website_id", "finding_id"]).select(*keys, "event_id", "c"))
-    marks = (long.select(*keys, "event_id", F.explode("c").alias("c")).groupBy(*keys, "event_id")
-             .agg(F.collect_set("c").alias("categories")))
+    inside = (findings.join(members.select(*keys, "event_id"), ["website_id", "event_id"])
+              .select(*keys, "finding_id", "event_id", _marks().alias("c")))
+    long = inside.select(*keys, "c", "event_id").unionByName(cited.tagged(inside.select(*keys, "finding_id", "c")).select(*keys, "c", "event_id"))
+    marks = long.groupBy(*keys, "event_id").agg(F.collect_set("c").alias("categories"))
     rows = (members.join(marks, [*keys, "event_id"], "left").withColumn("stage", stage_of()).drop("categories")
             .where(F.col("stage").isNotNull()))
     live = rows.where(F.col("stage").isin(*ANCHORING)).select(*keys).distinct()

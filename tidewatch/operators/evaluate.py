@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
+from tidewatch.operators.citations import Citations
 def confusion() -> list[Column]:
     """Counts over boolean columns ``flagged`` and ``malicious``."""
     hit, bad = F.col("flagged"), F.col("malicious")
@@ -23,31 +23,31 @@ def scores(counts: DataFrame) -> DataFrame:
     return (counts.withColumn("precision", F.round(prec, 4)).withColumn("recall", F.round(rec, 4)).withColumn("f1", F.round(f1, 4)))
 
 
-def flagged_events(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def flagged_events(findings: DataFrame, cited: Citations) -> DataFrame:
     """Distinct events carrying or cited by a finding; ``anchor`` marks the carriers."""
     own = findings.select("website_id", F.col("event_id").cast("string").alias("event_id"), F.lit(True).alias("anchor"))
-    others = findings.select("website_id", F.explode("event_ids").alias("event_id")) if cited is None else cited.select("website_id", F.col("event_id").cast("string").alias("event_id"))
+    others = cited.events(findings).select("website_id", F.col("event_id").cast("string").alias("event_id"))
     return own.unionByName(others.withColumn("anchor", F.lit(False))).groupBy("website_id", "event_id").agg(F.bool_or("anchor").alias("anchor"))
 
 
-def _judged(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def _judged(findings: DataFrame, labels: DataFrame, cited: Citations) -> DataFrame:
     lab = labels.withColumn("event_id", F.col("event_id").cast("string"))
     d = lab.join(flagged_events(findings, cited), ["website_id", "event_id"], "left")
     return d.withColumn("flagged", F.col("anchor").isNotNull()).withColumn("malicious", F.col("label") == "malicious")
 
 
-def evaluate_events(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def evaluate_events(findings: DataFrame, labels: DataFrame, cited: Citations) -> DataFrame:
     return scores(_judged(findings, labels, cited).agg(*confusion()))
 
 
-def scenario_report(findings: DataFrame, labels: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def scenario_report(findings: DataFrame, labels: DataFrame, cited: Citations) -> DataFrame:
     """Per scenario: events, flagged events, whether any event carries a finding."""
     return _judged(findings, labels, cited).groupBy("scenario").agg(
         F.count(F.lit(1)).alias("events"), F.count_if("flagged").alias("flagged"),
         F.bool_or(F.coalesce("anchor", F.lit(False))).alias("has_finding"))
 
 
-def false_positive_examples(findings: DataFrame, labels: DataFrame, k: int = 5, cited: DataFrame | None = None) -> DataFrame:
+def false_positive_examples(findings: DataFrame, labels: DataFrame, cited: Citations, k: int = 5) -> DataFrame:
     """First ``k`` benign flagged events by id, with the rules anchored on them."""
     wrong = (_judged(findings, labels, cited).where(F.col("flagged") & ~F.col("malicious")).select("website_id", "event_id")
              .orderBy("event_id", "website_id").limit(k))

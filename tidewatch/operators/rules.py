@@ -1,20 +1,22 @@
 """Declarative detection rules.
 
-A rule returns two frames: *hits* (one row per finding) and *cites* (one row per finding and cited event, in long form).
-:func:`finding_envelope` joins them into the common finding shape, with the cited ids listed up to a cap and the true
-count kept next to it.  All grouping is by partial aggregation or by (entity, time bucket), so a source or session may
+A rule returns *hits* (one row per finding), *cites* (one row per finding and event cited by it alone) and, where findings share
+events, *refs* to runs of events that are kept once.  :func:`finding_envelope` joins them into the common finding shape, with the cited
+ids listed up to a cap and the true count kept next to it; :func:`citations` gives all of them.  All grouping is by partial aggregation or by (entity, time bucket), so a source or session may
 hold any share of the rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.signals import QUERY_ONLY, SIGNALS, decode_target, match_signals, query_part
-from tidewatch.operators.ordered import MICROS, first_ids, once, spread_join, with_halo
+from tidewatch.operators.citations import GROUP, Citations
+from tidewatch.operators.ordered import MICROS, first_ids, once, spread_join, top_k, with_halo
 from tidewatch.operators.sessions import (SESSION, entity_runs, median_gap, request_peak, with_entity,
                                           with_session_key)
 from tidewatch.params import MAX_CITED, RULE_AGENT, RULES, Detection
@@ -23,7 +25,13 @@ from tidewatch.sources.store import replace_findings
 
 ENTITY = ["website_id", "entity"]
 KEY = ["website_id", "rule_id", "group_key"]
-Rule = tuple[DataFrame, DataFrame]
+
+
+class Rule(NamedTuple):
+    hits: DataFrame
+    cites: DataFrame | None = None        # website_id, rule_id, group_key, event_id, ts_us
+    refs: DataFrame | None = None         # website_id, rule_id, group_key, group_id
+    runs: dict[str, DataFrame] = {}       # by kind of run: website_id, group_id, event_id, ts_us
 
 
 # ------------------------------------------------------------------------------------------------ helpers
@@ -79,6 +87,15 @@ def _burst_members(runs: DataFrame, found: DataFrame) -> DataFrame:
     return spread_join(runs, found.select(*ENTITY, "run_event"), [*ENTITY, "run_event"], "left_semi")
 
 
+def _run_rule(hits: DataFrame, refs: DataFrame, runs: DataFrame, gap_s: float, least: int, rule_id: str, cites: DataFrame | None = None) -> Rule:
+    """A rule whose findings cite whole runs.  ``refs`` is (website_id, group_key, run_event); the runs of one gap and least length are one
+    kind, whichever rules cite them."""
+    kind = f"run-{gap_s:g}-{least}"
+    group = F.concat(F.lit(kind + "|"), F.col("run_event").cast("string")).alias("group_id")
+    members = _burst_members(runs, bursts(runs, least)).select("website_id", group, "event_id", "ts_us")
+    return Rule(hits, cites, refs.select("website_id", F.lit(rule_id).alias("rule_id"), F.col("group_key").cast("string").alias("group_key"), group), {kind: members})
+
+
 def auth_burst(events: DataFrame, p: Detection = Detection(), runs: DataFrame | None = None) -> Rule:
     runs = failure_runs(events, p.burst_gap_s) if runs is None else runs
     b = bursts(runs, p.burst_min)
@@ -90,7 +107,7 @@ def auth_burst(events: DataFrame, p: Detection = Detection(), runs: DataFrame |
                            window_end=_stamp(F.col("end_us")), duration_s=F.round(dur, 3),
                            distinct_accounts_targeted=F.col("accounts")),
                  _derived(failures_per_second=F.round(n / F.greatest(dur, F.lit(1.0)), 2)), "n")
-    return hits, _cites(_burst_members(runs, b), "R-AUTH-001", F.col("run_event"))
+    return _run_rule(hits, b.select("website_id", F.col("run_event").alias("group_key"), "run_event"), runs, p.burst_gap_s, p.burst_min, "R-AUTH-001")
 
 
 def auth_multi_account(events: DataFrame, p: Detection = Detection(), runs: DataFrame | None = None) -> Rule:
@@ -101,7 +118,7 @@ def auth_multi_account(events: DataFrame, p: Detection = Detection(), runs: Data
                  _observed(source=F.col("entity"), failed_login_count=F.col("n"), distinct_accounts_targeted=F.col("accounts"),
                            duration_s=F.round(dur, 3)),
                  _derived(failures_per_account=F.round(F.col("n") / F.col("accounts"), 2)), "n")
-    return hits, _cites(_burst_members(runs, b), "R-AUTH-002", F.col("run_event"))
+    return _run_rule(hits, b.select("website_id", F.col("run_event").alias("group_key"), "run_event"), runs, p.multi_gap_s, p.multi_min, "R-AUTH-002")
 
 
 def success_after_burst(events: DataFrame, p: Detection = Detection(), runs: DataFrame | None = None) -> Rule:
@@ -127,11 +144,8 @@ def success_after_burst(events: DataFrame, p: Detection = Detection(), runs: Dat
                  _observed(source=F.col("entity"), failed_login_count=F.col("n"), burst_end=_stamp(F.col("end_us")),
                            success_at=_stamp(F.col("ts_us")), account_was_targeted_in_burst=F.col("matched")),
                  _derived(seconds_after_burst=F.round(_seconds(F.col("ts_us") - F.col("end_us")), 3)), "cited")
-    keys = pairs.select(*ENTITY, "run_event", group.alias("_g"))
-    members = (runs.select(*ENTITY, "run_event", "event_id", "ts_us").join(keys, [*ENTITY, "run_event"])
-               .select("website_id", "_g", "event_id", "ts_us"))
-    cites = members.unionByName(pairs.select("website_id", group.alias("_g"), "event_id", "ts_us"))
-    return hits, _cites(cites, "R-AUTH-003", F.col("_g"))
+    refs = pairs.select("website_id", group.alias("group_key"), "run_event")
+    return _run_rule(hits, refs, runs, p.burst_gap_s, p.burst_min, "R-AUTH-003", _cites(pairs, "R-AUTH-003", group))
 
 
 # ------------------------------------------------------------------------------------------------ behaviour
@@ -149,7 +163,7 @@ def request_rate(events: DataFrame, p: Detection = Detection()) -> Rule:
                            window_start=_stamp(F.col("start_us")), window_end=_stamp(F.col("peak_us")),
                            total_requests_in_session=F.col("total")),
                  _derived(peak_requests_per_second=F.round(F.col("peak") / p.rate_window_s, 2), limit=F.lit(p.rate_min)), "peak")
-    return hits, _cites(near.where(F.col("ts_us").between(low, F.col("peak_us"))), "R-BEH-001", F.col("session_key"))
+    return Rule(hits, _cites(near.where(F.col("ts_us").between(low, F.col("peak_us"))), "R-BEH-001", F.col("session_key")))
 
 
 def automation(events: DataFrame, p: Detection = Detection()) -> Rule:
@@ -169,7 +183,7 @@ def automation(events: DataFrame, p: Detection = Detection()) -> Rule:
                  _observed(session=F.col("session_key"), signals=F.array_join("signals", ","),
                            user_agent_class=F.col("a.ua_class"), user_agent=F.col("a.ua"), events_with_signal=F.col("n")),
                  _derived(independent_signal_count=F.size("signals")), "n")
-    return hits, _cites(rows, "R-BEH-002", F.col("session_key"))
+    return Rule(hits, _cites(rows, "R-BEH-002", F.col("session_key")))
 
 
 def non_human_navigation(events: DataFrame, p: Detection = Detection()) -> Rule:
@@ -187,7 +201,7 @@ def non_human_navigation(events: DataFrame, p: Detection = Detection()) -> Rule:
     hits = _hits(found, "R-BEH-003", "session_key", F.col("session_key"), "anchor", p.nav_confidence,
                  _observed(session=F.col("session_key"), page_views=F.col("views"), interaction_signals_recorded=F.col("used")),
                  _derived(median_seconds_between_page_views=F.round(F.col("gap_s"), 3)), "views")
-    return hits, _cites(spread_join(views, found.select(*SESSION), SESSION, "left_semi"), "R-BEH-003", F.col("session_key"))
+    return Rule(hits, _cites(spread_join(views, found.select(*SESSION), SESSION, "left_semi"), "R-BEH-003", F.col("session_key")))
 
 
 def probe_of(path: Column, probes) -> Column:
@@ -206,7 +220,7 @@ def recon_paths(events: DataFrame, p: Detection = Detection()) -> Rule:
     hits = _hits(g, "R-BEH-004", "session_key", F.col("session_key"), "anchor", p.recon_confidence,
                  _observed(session=F.col("session_key"), probe_paths_requested=F.array_join("probes", ","), requests=F.col("n")),
                  _derived(distinct_probe_paths=F.size("probes")), "n")
-    return hits, _cites(spread_join(rows, g.select(*SESSION), SESSION, "left_semi"), "R-BEH-004", F.col("session_key"))
+    return Rule(hits, _cites(spread_join(rows, g.select(*SESSION), SESSION, "left_semi"), "R-BEH-004", F.col("session_key")))
 
 
 # ------------------------------------------------------------------------------------------------ attack indicators
@@ -235,7 +249,7 @@ def attack_patterns(events: DataFrame, p: Detection = Detection(), attacks: Data
     rule = F.col("m.rule_id")
     hits = _hits(rows, rule, "event_id", F.col("event_id"), "event_id", conf, _observed(**observed),
                  _derived(matched_signal_count=n), "one")
-    return hits, _cites(rows, rule, F.col("event_id"))
+    return Rule(hits, _cites(rows, rule, F.col("event_id")))
 
 
 def multi_vector(events: DataFrame, p: Detection = Detection(), attacks: DataFrame | None = None) -> Rule:
@@ -266,7 +280,7 @@ def multi_vector(events: DataFrame, p: Detection = Detection(), attacks: DataFra
                  _observed(source=F.col("entity"), categories=cats, indicator_events=F.col("n"), window_start=_stamp(F.col("lo_us")),
                            window_end=_stamp(F.col("hi_us"))),
                  _derived(distinct_categories=F.col("k"), window_limit_s=F.lit(p.vector_window_s)), "n")
-    return hits, _cites(window, "R-ATK-005", F.col("entity"))
+    return Rule(hits, _cites(window, "R-ATK-005", F.col("entity")))
 
 
 def waf_alerts(events: DataFrame, p: Detection = Detection()) -> Rule:
@@ -276,7 +290,7 @@ def waf_alerts(events: DataFrame, p: Detection = Detection()) -> Rule:
         observed.update(waf_rule_name=F.get_json_object("attributes", "$.rule_name"), waf_mode=F.get_json_object("attributes", "$.mode"))
     hits = _hits(rows, "R-WAF-001", "event_id", F.col("event_id"), "event_id", p.waf_confidence, _observed(**observed),
                  _derived(), "one")
-    return hits, _cites(rows, "R-WAF-001", F.col("event_id"))
+    return Rule(hits, _cites(rows, "R-WAF-001", F.col("event_id")))
 
 
 # ------------------------------------------------------------------------------------------------ envelope
@@ -289,19 +303,34 @@ def _finding_id() -> Column:
     return F.concat(F.lit("fnd_"), F.left(F.sha2(text, 256), F.lit(32)))
 
 
-def citations(rule: Rule) -> DataFrame:
-    """(website_id, finding_id, event_id): every event that a finding cites, however many.  Later steps read this, not the short list."""
-    hits, cites = rule
-    return spread_join(cites.select(*KEY, "event_id"), hits.select(*KEY, _finding_id().alias("finding_id")), KEY).select("website_id", "finding_id", "event_id")
+def citations(rule: Rule) -> Citations:
+    """Every event that a finding cites, however many, by reference.  Later steps read this, not the short list."""
+    ids = rule.hits.select(*KEY, _finding_id().alias("finding_id"))
+    links = [ids.select("website_id", "finding_id", F.col("finding_id").alias("group_id"))]
+    members = [run.select(*GROUP, "event_id") for run in rule.runs.values()]
+    if rule.cites is not None:
+        members.append(spread_join(rule.cites.select(*KEY, "event_id"), ids, KEY).select("website_id", F.col("finding_id").alias("group_id"), "event_id"))
+    if rule.refs is not None:
+        links.append(rule.refs.join(ids, KEY).select("website_id", "finding_id", "group_id"))
+    return Citations(reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, members))
+
+
+def _first_cites(rule: Rule) -> DataFrame:
+    """Enough of each finding's citations to list the first MAX_CITED: of a run only so many can be among them."""
+    parts = [] if rule.cites is None else [rule.cites]
+    if rule.refs is not None:
+        run = reduce(DataFrame.unionByName, rule.runs.values())
+        first = top_k(run, GROUP, [F.asc("ts_us"), F.asc("event_id")], MAX_CITED, "event_id", "_r").drop("_r")
+        parts.append(rule.refs.join(first, GROUP).select(*KEY, "event_id", "ts_us"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def finding_envelope(rule: Rule, p: Detection = Detection()) -> DataFrame:
     """Findings in the common shape, with stable ids so that a re-run gives equal rows.
 
     ``event_ids`` lists the first MAX_CITED events for show, ``cited_events`` counts them all; ``citations`` has the whole."""
-    hits, cites = rule
-    ids = first_ids(cites, KEY, MAX_CITED)
-    out = hits.join(ids, KEY, "left")
+    ids = first_ids(_first_cites(rule), KEY, MAX_CITED)
+    out = rule.hits.join(ids, KEY, "left")
     limits = F.coalesce(*[F.when(F.col("rule_id") == r, F.create_map(
         *[x for k, v in p.thresholds(r).items() for x in (F.lit(k), F.lit(float(v)))])) for r in RULES])
     col = F.col("rule_id")
@@ -341,20 +370,20 @@ def all_rules(events: DataFrame, p: Detection = Detection()) -> Rule:
         parts.append(attack_patterns(events, p, attacks))
     if not parts:
         raise ValueError("no rule is enabled")
-    hits = reduce(DataFrame.unionByName, [h for h, _ in parts])
-    cites = reduce(DataFrame.unionByName, [c for _, c in parts])
-    return hits, cites
+    def union(frames):
+        frames = [f for f in frames if f is not None]
+        return reduce(DataFrame.unionByName, frames) if frames else None
+    runs = {k: v for r in parts for k, v in r.runs.items()}
+    return Rule(union(r.hits for r in parts), union(r.cites for r in parts), union(r.refs for r in parts), runs)
 
 
-def suspicious_events(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
-    """Distinct events that carry a finding or are cited by one; without ``cited`` (see ``citations``) those listed with it."""
+def suspicious_events(findings: DataFrame, cited: Citations) -> DataFrame:
+    """Distinct events that carry a finding or are cited by one."""
     anchor = findings.select("website_id", F.col("event_id").cast("string").alias("event_id"))
-    others = (findings.select("website_id", F.explode("event_ids").alias("event_id")) if cited is None
-              else cited.select("website_id", F.col("event_id").cast("string").alias("event_id")))
-    return anchor.unionByName(others).distinct()
+    return anchor.unionByName(cited.events(findings).select("website_id", F.col("event_id").cast("string").alias("event_id"))).distinct()
 
 
-def detection_counters(events: DataFrame, findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def detection_counters(events: DataFrame, findings: DataFrame, cited: Citations) -> DataFrame:
     """Long table (website_id, metric, key, n): events, findings by rule / type / total, anchors, suspicious events."""
     sets = [[F.col("website_id"), F.col("rule_id")], [F.col("website_id"), F.col("finding_type")], [F.col("website_id")]]
     by = (findings.groupingSets(sets, F.col("website_id"), F.col("rule_id"), F.col("finding_type"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators.citations import Citations
 from tidewatch.operators.rules import suspicious_events
 from tidewatch.params import CLOSED_STATES, DECISION_STATES, MODEL_AGENT, STATES, TRANSITIONS
 
@@ -68,11 +69,11 @@ def count_findings(findings: DataFrame, events: DataFrame) -> DataFrame:
     return findings.join(keys, ["website_id", "event_id"], "left_semi").groupBy("website_id").agg(F.count(F.lit(1)).alias("findings"))
 
 
-def suspicious_event_count(findings: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def suspicious_event_count(findings: DataFrame, cited: Citations) -> DataFrame:
     return suspicious_events(findings, cited).groupBy("website_id").agg(F.count(F.lit(1)).alias("suspicious_events"))
 
 
-def kpis(events: DataFrame, findings: DataFrame, incidents: DataFrame, alerts: DataFrame, cited: DataFrame | None = None) -> DataFrame:
+def kpis(events: DataFrame, findings: DataFrame, incidents: DataFrame, alerts: DataFrame, cited: Citations) -> DataFrame:
     """Key figures per tenant."""
     active = ~F.coalesce("status", F.lit("DETECTED")).isin(*CLOSED_STATES)
     high = F.coalesce(F.col("risk_level").isin("HIGH", "CRITICAL"), F.lit(False))

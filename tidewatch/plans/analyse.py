@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import correlate as C
 from tidewatch.operators import risk as R
-from tidewatch.operators.anomaly import anomaly_findings
-from tidewatch.operators.rules import all_rules, citations, finding_envelope
+from tidewatch.operators.anomaly import anomaly_citations, anomaly_findings
+from tidewatch.operators.citations import Citations
+from tidewatch.operators.rules import Rule, all_rules, citations, finding_envelope
 from tidewatch.operators.sessions import session_summary
 from tidewatch.params import Anomaly, Correlation, Detection, Risk
 from tidewatch.session import checkpointed
@@ -26,26 +27,20 @@ class Correlated:
     summaries: DataFrame
 
 
-def detect(events: DataFrame, p: Detection = Detection(), model: Anomaly | None = Anomaly()) -> DataFrame:
-    """Findings of the rules and, unless ``model`` is None, of the session anomaly model."""
-    return detect_with_citations(events, p, model)[0]
-
-
-def detect_with_citations(events: DataFrame, p: Detection = Detection(), model: Anomaly | None = Anomaly()) -> tuple[DataFrame, DataFrame]:
-    """Findings, and all events that they cite in long form."""
-    hits, cites = all_rules(events, p)
-    rules = checkpointed(hits), checkpointed(cites)
-    found, cited = checkpointed(finding_envelope(rules, p)), checkpointed(citations(rules))
+def detect(events: DataFrame, p: Detection = Detection(), model: Anomaly | None = Anomaly()) -> tuple[DataFrame, Citations]:
+    """Findings of the rules and, unless ``model`` is None, of the session anomaly model, and all events that they cite."""
+    rules = all_rules(events, p)
+    rules = Rule(*[x if x is None else checkpointed(x) for x in rules[:3]], {k: checkpointed(v) for k, v in rules.runs.items()})
+    found, cited = checkpointed(finding_envelope(rules, p)), citations(rules).stored()
     if model is None:
         return found, cited
     more = checkpointed(anomaly_findings(events, checkpointed(session_summary(events)), model))
-    listed = more.select("website_id", "finding_id", F.explode("event_ids").cast(events.schema["event_id"].dataType).alias("event_id"))
-    return found.unionByName(more), cited.unionByName(listed)
+    return found.unionByName(more), cited.union(anomaly_citations(events, more).stored())
 
 
-def correlate(events: DataFrame, findings: DataFrame, p: Correlation = Correlation(), cited: DataFrame | None = None) -> Correlated:
-    members = checkpointed(C.cluster_events(C.clusters(events, findings, p, cited), events))
-    stages = checkpointed(C.detect_stages(members, findings, cited=cited))
+def correlate(events: DataFrame, findings: DataFrame, cited: Citations, p: Correlation = Correlation()) -> Correlated:
+    members = checkpointed(C.cluster_events(C.clusters(events, findings, cited, p), events))
+    stages = checkpointed(C.detect_stages(members, findings, cited))
     chain = C.chain_links(C.entity_groups(events, C.seed_events(findings, events, cited)), p)
     links = checkpointed(C.cluster_links(members, findings, chain, stages, p))
     return Correlated(members, stages, links, checkpointed(C.cluster_summary(members, findings, links, stages, p)))

@@ -18,8 +18,8 @@ def findings(spark, sf):
 
 
 def cited(spark, sf):
-    """The same citations in long form."""
-    return fx(spark, sf, "fx_cited").select("website_id", "finding_id", F.col("cited_id").alias("event_id"))
+    """The same citations by reference."""
+    return C.Citations.of(fx(spark, sf, "fx_cited").select("website_id", "finding_id", F.col("cited_id").alias("event_id")))
 
 
 def seeds(spark, sf):
@@ -31,11 +31,11 @@ def groups(spark, sf):
 
 
 def members(spark, sf):
-    return stored(spark, sf, "members", lambda: C.cluster_events(C.clusters(events(spark, sf), findings(spark, sf), P, cited(spark, sf)), events(spark, sf)))
+    return stored(spark, sf, "members", lambda: C.cluster_events(C.clusters(events(spark, sf), findings(spark, sf), cited(spark, sf), P), events(spark, sf)))
 
 
 def stages(spark, sf):
-    return stored(spark, sf, "stages", lambda: C.detect_stages(members(spark, sf), findings(spark, sf), cited=cited(spark, sf)))
+    return stored(spark, sf, "stages", lambda: C.detect_stages(members(spark, sf), findings(spark, sf), cited(spark, sf)))
 
 
 def links(spark, sf):
@@ -65,7 +65,7 @@ def chain_links(spark, sf):
 
 @query
 def clusters(spark, sf):
-    return C.clusters(events(spark, sf), findings(spark, sf), P)
+    return C.clusters(events(spark, sf), findings(spark, sf), cited(spark, sf), P)
 
 
 @query
@@ -82,7 +82,7 @@ def stage_of(spark, sf):
 
 @query
 def detect_stages(spark, sf):
-    return C.detect_stages(members(spark, sf), findings(spark, sf)).select("website_id", "cluster_event", "event_id", "stage", "stage_no")
+    return C.detect_stages(members(spark, sf), findings(spark, sf), cited(spark, sf)).select("website_id", "cluster_event", "event_id", "stage", "stage_no")
 
 
 @query

@@ -7,6 +7,7 @@ from tidewatch.operators import risk as R
 from tidewatch.operators import sessions as S
 from tidewatch.params import Risk
 from tidewatch.plans.catalog.base import ORACLE_VIEWS, events, fx, joined, query, stored, table
+from tidewatch.plans.catalog.correlate import cited
 
 P = Risk()
 
@@ -111,20 +112,17 @@ def _labels(spark, sf):
 
 @query
 def evaluate_events(spark, sf):
-    f = fx(spark, sf, "fx_findings").withColumn("event_ids", F.array(F.col("event_id").cast("string")))
-    return E.evaluate_events(f, _labels(spark, sf))
+    return E.evaluate_events(fx(spark, sf, "fx_findings"), _labels(spark, sf), cited(spark, sf))
 
 
 @query
 def scenario_report(spark, sf):
-    f = fx(spark, sf, "fx_findings").withColumn("event_ids", F.array(F.col("event_id").cast("string")))
-    return E.scenario_report(f, _labels(spark, sf))
+    return E.scenario_report(fx(spark, sf, "fx_findings"), _labels(spark, sf), cited(spark, sf))
 
 
 @query
 def false_positive_examples(spark, sf):
-    f = fx(spark, sf, "fx_findings").withColumn("event_ids", F.array(F.col("event_id").cast("string")))
-    return E.false_positive_examples(f, _labels(spark, sf), 5).select("event_id", joined("rules").alias("rules"))
+    return E.false_positive_examples(fx(spark, sf, "fx_findings"), _labels(spark, sf), cited(spark, sf), 5).select("event_id", joined("rules").alias("rules"))
 
 
 @query
@@ -207,8 +205,9 @@ def _f(name):
 
 V["rfac"] = " UNION ALL ".join(f"SELECT website_id, incident_id, '{k}' AS factor, CAST({P.weights[k]} AS DOUBLE) AS weight, value, status FROM ({_f(k)}) x" for k in _F)
 V["evl"] = """
-SELECT e.event_id, event_type AS scenario, CASE WHEN status_code >= 400 THEN 'malicious' ELSE 'benign' END AS label, website_id, session_key, us,
-  event_id IN (SELECT event_id FROM fx_findings) AS flagged FROM ev e"""
+SELECT event_id, event_type AS scenario, CASE WHEN status_code >= 400 THEN 'malicious' ELSE 'benign' END AS label, website_id, session_key, us,
+  event_id IN (SELECT event_id FROM fx_findings) AS anchor,
+  event_id IN (SELECT event_id FROM fx_findings UNION SELECT cited_id FROM fx_cited) AS flagged FROM ev"""
 
 
 def _scores(src: str) -> str:
@@ -264,10 +263,10 @@ UNION ALL SELECT website_id, 4, 'high_risk_incidents', count(*) FROM fx_incident
         f"max(round(100.0 * weight * value / 100.0, 2)) FILTER (factor = '{k}') AS {k}" for k in _F) + " FROM rfac GROUP BY 1, 2",
     "evaluate_events": "SELECT * EXCLUDE (p, r) FROM (" + _scores("SELECT flagged, label = 'malicious' AS malicious FROM evl") + ") z",
     "scenario_report": """
-SELECT scenario, count(*) AS events, count(*) FILTER (flagged) AS flagged, bool_or(flagged) AS has_finding FROM evl GROUP BY 1""",
+SELECT scenario, count(*) AS events, count(*) FILTER (flagged) AS flagged, bool_or(anchor) AS has_finding FROM evl GROUP BY 1""",
     "false_positive_examples": """
-SELECT CAST(e.event_id AS VARCHAR) AS event_id, rule_id AS rules FROM evl e JOIN fx_findings f ON f.event_id = e.event_id
-WHERE label = 'benign' ORDER BY CAST(e.event_id AS VARCHAR) LIMIT 5""",
+SELECT CAST(e.event_id AS VARCHAR) AS event_id, COALESCE(rule_id, '') AS rules FROM evl e LEFT JOIN fx_findings f ON f.event_id = e.event_id
+WHERE label = 'benign' AND flagged ORDER BY CAST(e.event_id AS VARCHAR) LIMIT 5""",
     "session_truth": "SELECT * FROM struth",
     "evaluate_sessions": "SELECT * EXCLUDE (p, r) FROM (" + _scores("""
 SELECT label = 'malicious' AS malicious, flagged FROM struth JOIN (SELECT website_id, session_key, bool_or(event_type = 'waf_alert') AS flagged FROM ev GROUP BY 1, 2) f

@@ -110,6 +110,11 @@ def cited(spark, sf):
     return findings(spark, sf)
 
 
+def citations(spark, sf):
+    from tidewatch.plans.catalog.correlate import cited as by_reference
+    return by_reference(spark, sf)
+
+
 @query
 def list_events(spark, sf):
     return Q.list_events(events(spark, sf), "web_a", event_type="waf_alert", limit=20, offset=5).select("event_id", "ts_us", "session_id", "endpoint")
@@ -145,17 +150,17 @@ def count_findings(spark, sf):
 
 @query
 def suspicious_event_count(spark, sf):
-    return Q.suspicious_event_count(cited(spark, sf))
+    return Q.suspicious_event_count(fx(spark, sf, "fx_findings"), citations(spark, sf))
 
 
 @query
 def kpis(spark, sf):
-    return Q.kpis(events(spark, sf), cited(spark, sf), fx(spark, sf, "fx_incidents"), alerts(spark, sf))
+    return Q.kpis(events(spark, sf), fx(spark, sf, "fx_findings"), fx(spark, sf, "fx_incidents"), alerts(spark, sf), citations(spark, sf))
 
 
 @query
 def funnel_rows(spark, sf):
-    return Q.funnel_rows(Q.kpis(events(spark, sf), cited(spark, sf), fx(spark, sf, "fx_incidents"), alerts(spark, sf)))
+    return Q.funnel_rows(Q.kpis(events(spark, sf), fx(spark, sf, "fx_findings"), fx(spark, sf, "fx_incidents"), alerts(spark, sf), citations(spark, sf)))
 
 
 @query
