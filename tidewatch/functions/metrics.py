@@ -15,19 +15,24 @@ _NUMBER = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
 _QUAD = r"\d{1,3}(\.\d{1,3}){3}"
 
 
-def safe_metrics(m: Column, n: int = 80) -> Column:
-    """MAP<STRING,STRING> whose values are JSON scalars or arrays: identifying keys dropped, numbers and booleans kept,
-    arrays become ``<key>_count``, strings holding an address dropped, other strings made safe."""
+def safe_metrics(m: Column, n: int = 80, depth: int = 1) -> Column:
+    """MAP<STRING,STRING> whose values are JSON scalars, arrays or objects: identifying keys dropped, numbers and booleans kept,
+    arrays become ``<key>_count``, strings holding an address dropped, other strings made safe.
+
+    Objects are reduced in the same way, ``depth`` levels deep, and stay as JSON objects of texts; empty and deeper ones are dropped."""
     kept = F.filter(F.map_entries(m), lambda e: ~F.lower(e["key"]).isin(*IDENTIFYING) & e["value"].isNotNull())
 
     def entry(e):
-        is_list = e["value"].startswith("[")
+        is_list, is_object = e["value"].startswith("["), e["value"].startswith("{")
         plain = e["value"].rlike(_NUMBER) | e["value"].isin("true", "false")
         number = F.when(e["value"].contains("."), F.round(e["value"].cast("double"), 4).cast("string")).otherwise(e["value"])
         text = safe_text(e["value"], n)
         ok = (text != "") & ~text.contains(IP_PLACEHOLDER) & ~text.rlike(_QUAD)
-        value = (F.when(is_list, F.coalesce(F.json_array_length(e["value"]), F.lit(0)).cast("string"))
-                 .when(plain, number).when(ok, text))
+        value = F.when(is_list, F.coalesce(F.json_array_length(e["value"]), F.lit(0)).cast("string")).when(plain, number)
+        if depth:
+            inner = safe_metrics(F.from_json(e["value"], "map<string,string>"), n, depth - 1)
+            value = value.when(is_object & (F.size(inner) > 0), F.to_json(inner))
+        value = value.when(ok & ~is_object, text)
         key = safe_text(e["key"], 40)
         return F.struct(F.when(is_list, F.concat(key, F.lit("_count"))).otherwise(key).alias("key"), value.alias("value"))
     out = F.filter(F.transform(kept, entry), lambda e: e["value"].isNotNull() & (e["key"] != ""))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.text import model_text, safe_text
-from tidewatch.operators.ordered import top_k
+from tidewatch.operators.ordered import once, top_k
 from tidewatch.params import Evidence
 
 INCIDENT = ["website_id", "incident_id"]
@@ -179,15 +179,25 @@ def overconfident_phrases(text: Column, p: Evidence = Evidence()) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(x.lower()), F.lit(x)) for x in sorted(p.phrases)]))
 
 
+TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|[^{}"]++|"'          # a string, a brace, a run of neither
+
+
 def parse_model_output(df: DataFrame, column: str = "output") -> DataFrame:
     """Adds ``parsed`` (JSON text of the first object in the output) and ``parse_status``; fences and prose around the object are tolerated.
 
-    The object ends at the first closing brace up to which the text from the first opening brace on is JSON."""
-    pieces = F.split(F.substr(F.col(column), F.instr(column, "{")), "\\}", -1)
-    upto = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.concat(F.array_join(F.slice(pieces, 1, n), "}"), F.lit("}")))
-    first = F.aggregate(upto, F.lit(None).cast("string"), lambda found, text: F.coalesce(found, F.when(F.try_parse_json(text).isNotNull(), text)))
-    found = F.when((F.instr(column, "{") > 0) & (F.size(pieces) > 1), first)
-    d = df.withColumn("parsed", F.to_json(F.try_parse_json(found)))
+    The object ends where the braces outside strings, from the first opening one on, are balanced: one pass over the tokens, then one
+    parse."""
+    tokens = F.regexp_extract_all(F.substr(F.col(column), F.instr(column, "{")), F.lit(TOKEN), F.lit(0))
+
+    def walk(at, token):
+        depth = at["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        done = at["end"] > 0
+        return F.struct(F.when(done, at["depth"]).otherwise(depth).alias("depth"), (at["n"] + 1).alias("n"),
+                        F.when(done, at["end"]).when(depth == 0, at["n"] + 1).otherwise(0).alias("end"))
+    end = F.aggregate("_tokens", F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end")), walk, lambda at: at["end"])
+    d = once(df, "_tokens", F.when(F.instr(column, "{") > 0, tokens))
+    d = once(d, "_end", end)
+    d = d.withColumn("parsed", F.to_json(F.try_parse_json(F.when(F.col("_end") > 0, F.array_join(F.slice("_tokens", 1, F.col("_end")), ""))))).drop("_tokens", "_end")
     return d.withColumn("parse_status", F.when(F.col("parsed").isNull(), "invalid_output").otherwise("ok"))
 
 

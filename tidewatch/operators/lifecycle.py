@@ -53,28 +53,59 @@ def alert_status_follow(state: Column, alert: Column) -> Column:
 
 
 # ------------------------------------------------------------------------------------------------ alerts
+NO_PROPOSAL = ("Review the incident evidence, timeline and risk factors and decide on a response. AI recommendations are not available "
+               "for this incident ({}).")                  # fixed value: must read the same
+ALERT_NOTE = ("Alert priority comes from the deterministic risk level, not from an LLM. The recommended action is a proposal for a human analyst.")
+
+
 def build_alerts(scored: DataFrame, recommendations: DataFrame | None = None, prior: DataFrame | None = None, now_us: int | Column = 0,
-                 p: Evidence = Evidence()) -> DataFrame:
+                 p: Evidence = Evidence(), findings: DataFrame | None = None, content: DataFrame | None = None) -> DataFrame:
     """One alert per high-risk incident; an earlier alert keeps its status and creation time.
 
-    ``recommendations`` is (incident, position, action, title); ``prior`` is (incident, status, created_us)."""
+    ``recommendations`` is (incident, position, action, title, rationale); ``prior`` is (incident, status, created_us); ``findings`` gives
+    the five most confident as evidence; ``content`` is (incident, affected_resources, stages, related_event_count, ai_status,
+    contains_synthetic_data), of which the first five resources are shown."""
+    def given(df, columns, d):
+        kinds = dict(columns)
+        if df is None:
+            return d.select("*", *[F.lit(None).cast(k).alias(f"_{c}") for c, k in kinds.items()])
+        have = set(df.columns)
+        return d.join(df.select(*INCIDENT, *[(F.col(c) if c in have else F.lit(None)).cast(k).alias(f"_{c}") for c, k in kinds.items()]), INCIDENT, "left")
     now = F.lit(now_us) if isinstance(now_us, int) else now_us
-    a = scored.where(F.col("risk_level").isin(*p.alert_levels))
-    if recommendations is not None:
-        top = recommendations.where(F.col("position") == 1).select(*INCIDENT, F.col("action").alias("_a"))
-        a = a.join(top, INCIDENT, "left")
+    a = scored.where(F.col("risk_level").isin(*p.alert_levels)).select(*INCIDENT, "title", "risk_level", "risk_score", "confidence")
+    a = given(None if recommendations is None else recommendations.where("position = 1").drop("position"),
+              [("action", "string"), ("rationale", "string")], a).withColumnRenamed("_action", "_a")
+    if recommendations is not None and "title" in recommendations.columns:
+        a = a.join(recommendations.where("position = 1").select(*INCIDENT, F.col("title").alias("_title")), INCIDENT, "left")
     else:
-        a = a.withColumn("_a", F.lit(None).cast("string"))
-    if prior is not None:
-        a = a.join(prior.select(*INCIDENT, F.col("status").alias("_s"), F.col("created_us").alias("_c")), INCIDENT, "left")
+        a = a.withColumn("_title", F.lit(None).cast("string"))
+    a = given(prior, [("status", "string"), ("created_us", "bigint")], a)
+    a = given(content, [("affected_resources", "array<string>"), ("stages", "array<string>"), ("related_event_count", "bigint"), ("ai_status", "string"),
+                        ("contains_synthetic_data", "boolean")], a)
+    if findings is not None:
+        best = top_k(findings.join(a.select(*INCIDENT), INCIDENT, "left_semi"), INCIDENT, [F.desc("confidence"), F.asc("finding_id")], 5, "finding_id", "_k")
+        rows = F.sort_array(F.collect_list(F.struct("_k", "finding_id", "category", "rule_id", F.round("confidence", 4).alias("confidence"))))
+        a = a.join(best.groupBy(*INCIDENT).agg(F.transform(rows, lambda x: x.dropFields("_k")).alias("_support")), INCIDENT, "left")
     else:
-        a = a.withColumn("_s", F.lit(None).cast("string")).withColumn("_c", F.lit(None).cast("bigint"))
-    priority = F.coalesce(*[F.when(F.col("risk_level") == k, F.lit(v)) for k, v in ALERT_PRIORITY.items()])
-    source = F.when(F.col("_a").isNotNull(), "response_agent (AI, proposal)").otherwise("system_default")
+        a = a.withColumn("_support", F.lit(None).cast("array<struct<finding_id:string,category:string,rule_id:string,confidence:double>>"))
+    proposed = F.col("_a").isNotNull()
+    ai = F.coalesce("_ai_status", F.lit("not_run"))
+    none = F.lit(NO_PROPOSAL.split("{}")[0])
+    action = F.struct(
+        F.coalesce("_a", F.lit("investigate_further")).alias("action"), F.when(proposed, F.col("_title")).otherwise("Review the incident").alias("title"),
+        F.when(proposed, F.col("_rationale")).otherwise(F.concat(none, ai, F.lit(NO_PROPOSAL.split("{}")[1]))).alias("rationale"),
+        F.when(proposed, "response_agent (AI, proposal)").otherwise("system_default").alias("source"), F.lit(True).alias("requires_human_approval"))
     return a.select(
-        *INCIDENT, F.concat(F.lit("alr_"), F.col("incident_id").cast("string")).alias("alert_id"), priority.alias("priority"), "title", "risk_level",
-        "risk_score", "confidence", F.coalesce("_a", F.lit("investigate_further")).alias("action"), source.alias("action_source"),
-        F.coalesce("_s", F.lit("open")).alias("status"), F.coalesce("_c", now).alias("created_us"), now.alias("updated_us"))
+        *INCIDENT, F.concat(F.lit("alr_"), F.col("incident_id").cast("string")).alias("alert_id"),
+        F.coalesce(*[F.when(F.col("risk_level") == k, F.lit(v)) for k, v in ALERT_PRIORITY.items()]).alias("priority"), "title", "risk_level",
+        "risk_score", "confidence", action["action"].alias("action"), action["source"].alias("action_source"), action.alias("recommended_next_action"),
+        F.coalesce(F.slice("_affected_resources", 1, 5), F.array().cast("array<string>")).alias("affected_resources"),
+        F.coalesce("_related_event_count", F.lit(0).cast("bigint")).alias("related_event_count"),
+        F.coalesce("_support", F.array().cast("array<struct<finding_id:string,category:string,rule_id:string,confidence:double>>")).alias("supporting_evidence"),
+        F.coalesce("_stages", F.array().cast("array<string>")).alias("stages"), ai.alias("ai_status"),
+        F.coalesce("_contains_synthetic_data", F.lit(False)).alias("contains_synthetic_data"),
+        F.coalesce("_status", F.lit("open")).alias("status"), F.coalesce("_created_us", now).alias("created_us"), now.alias("updated_us"),
+        F.lit("deterministic_risk_threshold").alias("basis"), F.lit(ALERT_NOTE).alias("note"))
 
 
 def list_alerts(alerts: DataFrame) -> DataFrame:

@@ -153,10 +153,13 @@ def overconfident_phrases(spark, sf):
 @query
 def parse_model_output(spark, sf):
     c = table(spark, sf, "conversations")
-    body = F.to_json(F.struct("role", "turn"))
-    out = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n``` as asked"))).when(F.col("turn") % 3 == 1, body).otherwise(F.col("text"))
+    body = F.to_json(F.struct("role", "turn", F.concat(F.lit('} "\\ {'), F.col("text")).alias("note"), F.struct(F.struct(F.col("turn").alias("x")).alias("b")).alias("a")))
+    kind = F.col("turn") % 5
+    out = (F.when(kind == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n``` as asked, in {braces}"))).when(kind == 1, F.concat(body, body))
+           .when(kind == 2, F.concat(F.lit("{"), body)).when(kind == 3, F.concat(F.lit("{role: "), "role", F.lit("}"))).otherwise(F.translate("text", "{", "(")))
     d = E.parse_model_output(c.select("conv_id", "turn", out.alias("output")))
-    return d.select("conv_id", "turn", F.get_json_object("parsed", "$.role").alias("role"), "parse_status")
+    return d.select("conv_id", "turn", F.get_json_object("parsed", "$.role").alias("role"), F.get_json_object("parsed", "$.a.b.x").cast("bigint").alias("x"),
+                    F.length(F.get_json_object("parsed", "$.note")).alias("note_chars"), "parse_status")
 
 
 @query
@@ -198,14 +201,22 @@ def pick_for_investigation(spark, sf):
 # ------------------------------------------------------------------------------------------------ lifecycle
 def alerts(spark, sf):
     i = fx(spark, sf, "fx_incidents")
-    recs = i.where(F.col("created_seq") % 3 == 0).select(*L.INCIDENT, F.lit(1).alias("position"), F.lit("monitor").alias("action"))
+    recs = i.where(F.col("created_seq") % 3 == 0).select(*L.INCIDENT, F.lit(1).alias("position"), F.lit("monitor").alias("action"), F.lit("Watch it").alias("title"),
+                                                          F.concat(F.lit("because of "), "title").alias("rationale"))
     prior = i.where(F.col("created_seq") % 2 == 0).select(*L.INCIDENT, F.lit("acknowledged").alias("status"), F.col("created_seq").alias("created_us"))
-    return L.build_alerts(i, recs, prior, 777)
+    stages = fx(spark, sf, "fx_stages").groupBy(*L.INCIDENT).agg(F.sort_array(F.collect_set("stage")).alias("stages"))
+    paths = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda k: F.concat(F.lit("/p"), k.cast("string")))
+    content = i.join(stages, L.INCIDENT, "left").select(*L.INCIDENT, "stages", F.when(F.col("created_seq") % 4 > 0, paths).alias("affected_resources"), F.col("event_count").alias("related_event_count"),
+                                                        F.when(F.col("created_seq") % 5 == 0, "budget_exceeded").alias("ai_status"), (F.col("created_seq") % 7 == 0).alias("contains_synthetic_data"))
+    return L.build_alerts(i, recs, prior, 777, findings=fx(spark, sf, "fx_findings"), content=content)
 
 
 @query
 def build_alerts(spark, sf):
-    return alerts(spark, sf).select(*L.INCIDENT, "alert_id", "priority", "action", "action_source", "status", "created_us", "updated_us")
+    return alerts(spark, sf).select(*L.INCIDENT, "alert_id", "priority", "action", "action_source", "status", "created_us", "updated_us", "related_event_count", "ai_status",
+                                    F.col("recommended_next_action.title").alias("action_title"), F.col("recommended_next_action.rationale").alias("rationale"),
+                                    joined("affected_resources").alias("resources"), joined("stages").alias("stages"), "contains_synthetic_data",
+                                    joined(F.transform("supporting_evidence", lambda x: x["finding_id"])).alias("evidence"))
 
 
 @query
@@ -392,7 +403,11 @@ LEFT JOIN (SELECT website_id, incident_id, count(*) AS n, count(*) FILTER (statu
 
 ORACLES = {
     "parse_model_output": """
-SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role END AS role, CASE WHEN turn % 3 < 2 THEN 'ok' ELSE 'invalid_output' END AS parse_status FROM conversations""",
+SELECT conv_id, turn, CASE WHEN turn % 5 < 2 THEN role END AS role, CASE WHEN turn % 5 < 2 THEN turn END AS x, CASE WHEN turn % 5 < 2 THEN CAST(length(text) + 6 AS INTEGER) END AS note_chars,
+  CASE WHEN turn % 5 < 2 THEN 'ok' ELSE 'invalid_output' END AS parse_status FROM conversations""",
+    "bundle_fingerprint": """
+SELECT website_id, incident_id, left(sha256(concat('{"event_count":', event_count, ',"incident_id":"', incident_id, '","title":"', title, '"}')), 16) AS fingerprint FROM fx_incidents""",
+    "export_reports": "SELECT website_id, incident_id, title, status, CAST(8 AS INTEGER) AS n_factors FROM fx_incidents",
     "evidence_refs": """
 SELECT website_id, incident_id, 'C:correlation' AS label, 'correlation' AS kind, array_to_string(list_slice(list(event_id ORDER BY us, event_id), 1, 10), ',') AS event_ids, '' AS finding_ids
 FROM ie GROUP BY 1, 2
@@ -460,8 +475,14 @@ SELECT website_id, incident_id, CAST(position AS INTEGER) AS position FROM (SELE
     "build_alerts": """
 SELECT website_id, incident_id, concat('alr_', incident_id) AS alert_id, CASE risk_level WHEN 'CRITICAL' THEN 'P1' ELSE 'P2' END AS priority,
   CASE WHEN created_seq % 3 = 0 THEN 'monitor' ELSE 'investigate_further' END AS action, CASE WHEN created_seq % 3 = 0 THEN 'response_agent (AI, proposal)' ELSE 'system_default' END AS action_source,
-  CASE WHEN created_seq % 2 = 0 THEN 'acknowledged' ELSE 'open' END AS status, CASE WHEN created_seq % 2 = 0 THEN created_seq ELSE 777 END AS created_us, CAST(777 AS INTEGER) AS updated_us
-FROM fx_incidents WHERE risk_level IN ('HIGH', 'CRITICAL')""",
+  CASE WHEN created_seq % 2 = 0 THEN 'acknowledged' ELSE 'open' END AS status, CASE WHEN created_seq % 2 = 0 THEN created_seq ELSE 777 END AS created_us, CAST(777 AS INTEGER) AS updated_us,
+  event_count AS related_event_count, CASE WHEN created_seq % 5 = 0 THEN 'budget_exceeded' ELSE 'not_run' END AS ai_status,
+  CASE WHEN created_seq % 3 = 0 THEN 'Watch it' ELSE 'Review the incident' END AS action_title,
+  CASE WHEN created_seq % 3 = 0 THEN concat('because of ', title) ELSE concat('Review the incident evidence, timeline and risk factors and decide on a response. AI recommendations are not available for this incident (',
+    CASE WHEN created_seq % 5 = 0 THEN 'budget_exceeded' ELSE 'not_run' END, ').') END AS rationale,
+  CASE WHEN created_seq % 4 > 0 THEN '/p1,/p2,/p3,/p4,/p5' ELSE '' END AS resources, COALESCE(s.stages, '') AS stages, created_seq % 7 = 0 AS contains_synthetic_data, COALESCE(r.evidence, '') AS evidence
+FROM fx_incidents LEFT JOIN (SELECT website_id, incident_id, string_agg(DISTINCT stage, ',' ORDER BY stage) AS stages FROM fx_stages GROUP BY 1, 2) s USING (website_id, incident_id)
+LEFT JOIN (SELECT website_id, incident_id, string_agg(finding_id, ',' ORDER BY r) AS evidence FROM rkf WHERE r <= 5 GROUP BY 1, 2) r USING (website_id, incident_id) WHERE risk_level IN ('HIGH', 'CRITICAL')""",
     "list_alerts": """
 SELECT concat('alr_', incident_id) AS alert_id, CASE risk_level WHEN 'CRITICAL' THEN 'P1' ELSE 'P2' END AS priority, risk_score FROM fx_incidents WHERE risk_level IN ('HIGH', 'CRITICAL')""",
     "audit_transitions": f"""

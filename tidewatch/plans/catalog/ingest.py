@@ -261,10 +261,12 @@ def safe_text(spark, sf):
 def safe_metrics(spark, sf):
     e = fx(spark, sf, "web_events")
     m = F.create_map(F.lit("source_ip"), F.col("source_ip"), F.lit("note"), F.concat(F.lit("seen at "), "source_ip"),
-                     F.lit("status"), F.col("status_code").cast("string"), F.lit("kinds"), F.to_json(F.array("event_type")))
+                     F.lit("status"), F.col("status_code").cast("string"), F.lit("kinds"), F.to_json(F.array("event_type")),
+                     F.lit("inner"), F.to_json(F.struct(F.col("event_id").alias("n"), "user_id", F.array(F.col("event_id").cast("string"), "event_type").alias("ids"), F.struct(F.lit(1).alias("deep")).alias("far"))),
+                     F.lit("barred"), F.to_json(F.struct("user_id")))
     m = metrics_map(m)
     return e.select("event_id", m["status"].alias("status"), m["kinds_count"].alias("kinds_count"), m["note"].alias("note"),
-                    m["source_ip"].alias("source_ip"))
+                    m["source_ip"].alias("source_ip"), m["inner"].alias("inner"), m["barred"].alias("barred"))
 
 
 @query
@@ -477,7 +479,7 @@ SELECT event_id, v6_kept AS ip_none, CASE WHEN v6_kept LIKE '::ffff:%' THEN '::/
 SELECT event_id, CASE WHEN website_id = 'web_a' THEN 'usr_' || {_hmac("lower(concat(user_id, '@Corp.Example'))", 12)} ELSE user_id END AS user_id FROM ev""",
     "safe_metrics": """
 SELECT event_id, CAST(status_code AS VARCHAR) AS status, '1' AS kinds_count, CASE WHEN source_ip IS NULL THEN NULL END AS note,
-  CAST(NULL AS VARCHAR) AS source_ip FROM ev""",
+  CAST(NULL AS VARCHAR) AS source_ip, concat('{"n":"', event_id, '","ids_count":"2"}') AS inner, CAST(NULL AS VARCHAR) AS barred FROM ev""",
     "clean_text": r"""
 SELECT doc_id, CASE WHEN length(s) <= 300 THEN s ELSE concat(left(s, 299), '…') END AS text FROM (
   SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS s FROM documents) x""",
