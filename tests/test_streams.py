@@ -65,3 +65,17 @@ def test_late_and_future_events_are_kept_apart_and_replayed(spark, mk, tmp_path)
     after = J.replay_late(spark, path["accepted"], path["late"], e.schema, before)
     assert {f.finding_id for f in after.collect()} == {f.finding_id for f in evaluate_rules(e.where(n < first + 14)).collect()}
     assert "R-AUTH-001" in {f.rule_id for f in after.collect()}
+
+
+def test_incremental_reads_prune_days_and_keep_the_schema(spark, mk, tmp_path):
+    day = 86_400
+    e = mk.frame([mk.ev("page_view", d * day, ip=f"203.0.113.{d}", sid=None) for d in range(1, 9)])
+    path = str(tmp_path / "ev")
+    e.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(f"{path}/batch=0")
+    schema = e.withColumn("event_date", F.to_date("timestamp")).schema
+    since = e.agg(F.max("ts_us")).first()[0] - 2 * day * 1_000_000
+    rows = J.read_events(spark, path, schema, since)
+    assert rows.columns == schema.names and rows.count() == 3
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert J.read_events(spark, path, e.schema).count() == 8

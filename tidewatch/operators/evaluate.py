@@ -64,12 +64,29 @@ def session_truth(keyed: DataFrame, labels: DataFrame) -> DataFrame:
             .select("website_id", "session_key", "t.label", "t.scenario"))
 
 
+def _judged_sessions(flags: DataFrame, truth: DataFrame) -> DataFrame:
+    return (truth.join(flags.select("website_id", "session_key", "flagged"), ["website_id", "session_key"])
+            .withColumn("malicious", F.col("label") == "malicious"))
+
+
 def evaluate_sessions(flags: DataFrame, truth: DataFrame) -> DataFrame:
     """Scored sessions against their truth."""
-    d = truth.join(flags, ["website_id", "session_key"]).select("flagged", (F.col("label") == "malicious").alias("malicious"))
-    return scores(d.agg(*confusion()))
+    counts = [F.count(F.lit(1)).alias("sessions_evaluated"), F.count_if("malicious").alias("malicious_sessions"), F.count_if(~F.col("malicious")).alias("benign_sessions")]
+    return scores(_judged_sessions(flags, truth).agg(*counts, *confusion()))
+
+
+def session_scenarios(flags: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per scenario with malicious sessions: how many there are and how many are flagged."""
+    return (_judged_sessions(flags, truth).where("malicious").groupBy("scenario")
+            .agg(F.count(F.lit(1)).alias("sessions"), F.count_if("flagged").alias("flagged")))
+
+
+def false_positive_sessions(flags: DataFrame, truth: DataFrame, k: int = 5) -> DataFrame:
+    """First ``k`` benign sessions that are flagged."""
+    return (_judged_sessions(flags, truth).where(F.col("flagged") & ~F.col("malicious")).select("website_id", "session_key", "scenario")
+            .orderBy("session_key", "website_id").limit(k))
 
 
 def missed_sessions(flags: DataFrame, truth: DataFrame) -> DataFrame:
-    d = truth.join(flags, ["website_id", "session_key"])
-    return d.where((F.col("label") == "malicious") & ~F.col("flagged")).select("website_id", "session_key", "scenario")
+    """Malicious sessions that are not flagged."""
+    return _judged_sessions(flags, truth).where(F.col("malicious") & ~F.col("flagged")).select("website_id", "session_key", "scenario")

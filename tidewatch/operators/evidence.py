@@ -96,11 +96,31 @@ def role_of() -> Column:
     return roles
 
 
-def role_summaries(findings: DataFrame) -> DataFrame:
-    """Per incident and role: findings, categories, highest confidence.  A finding of the model on an attack counts twice."""
-    return (findings.withColumn("role", F.explode(role_of())).groupBy(*INCIDENT, "role").agg(
-        F.count(F.lit(1)).alias("indicators"), F.sort_array(F.collect_set("category")).alias("categories"),
-        F.round(F.max("confidence"), 3).alias("max_confidence")).withColumn("suspicious", F.col("indicators") > 0))
+ROLES = ("detection_agent", "attack_agent", "anomaly_agent")
+
+
+def role_indicators(findings: DataFrame, max_ids: int = 10) -> DataFrame:
+    """A row per role and finding: id, rule, category, confidence and its first events, the anchor first.
+
+    A finding of the model on an attack counts for both roles."""
+    ids = F.slice(F.array_distinct(F.concat(F.array(F.col("event_id").cast("string")), F.coalesce("event_ids", _none()))), 1, max_ids)
+    score = F.when(F.col("role") == "anomaly_agent", F.col("anomaly_score")) if "anomaly_score" in findings.columns else F.lit(None).cast("double")
+    return findings.withColumn("role", F.explode(role_of())).select(
+        *INCIDENT, "role", "finding_id", "rule_id", F.coalesce("category", "finding_type").alias("category"),
+        F.round(F.coalesce("confidence", F.lit(0.0)), 3).alias("confidence"), ids.alias("event_ids"), score.alias("anomaly_score"))
+
+
+def role_summaries(findings: DataFrame, incidents: DataFrame | None = None) -> DataFrame:
+    """Per incident and role: status, findings, categories, highest confidence; every role has a row, ``no_findings`` if it has none.
+
+    ``incidents`` adds incidents without findings.  The rows behind it are :func:`role_indicators`."""
+    every = findings.select(*INCIDENT).distinct() if incidents is None else incidents.select(*INCIDENT).distinct()
+    grid = every.withColumn("role", F.explode(F.array(*[F.lit(r) for r in ROLES])))
+    some = (findings.withColumn("role", F.explode(role_of())).groupBy(*INCIDENT, "role").agg(
+        F.count(F.lit(1)).alias("indicators"), F.sort_array(F.collect_set(F.coalesce("category", "finding_type"))).alias("categories"),
+        F.round(F.max("confidence"), 3).alias("max_confidence")))
+    d = grid.join(some, [*INCIDENT, "role"], "left").withColumn("indicators", F.coalesce("indicators", F.lit(0))).withColumn("categories", F.coalesce("categories", _none()))
+    return d.withColumn("suspicious", F.col("indicators") > 0).withColumn("status", F.when(F.col("indicators") > 0, "ok").otherwise("no_findings"))
 
 
 # ------------------------------------------------------------------------------------------------ grounding
@@ -140,9 +160,10 @@ def grounding_report(grounded: DataFrame, hypotheses: DataFrame | None = None, i
         F.sum("invalid").alias("invalid_refs_removed"))
     if hypotheses is None:
         g = g.withColumn("hypothesis_grounded", F.lit(True))
-    else:
+    else:                                                  # an incident may have a hypothesis and no claim at all
         h = hypotheses.select(*incident, (F.size("labels") > 0).alias("hypothesis_grounded"))
-        g = g.join(h, incident, "left").withColumn("hypothesis_grounded", F.coalesce("hypothesis_grounded", F.lit(False)))
+        g = g.join(h, incident, "full").withColumn("hypothesis_grounded", F.coalesce("hypothesis_grounded", F.lit(False)))
+        g = g.na.fill(0, ["claims_received", "claims_kept", "unsupported_claims_dropped", "invalid_refs_removed"])
     ok = F.col("hypothesis_grounded") & (F.col("claims_kept") > 0)
     return g.withColumn("status", F.when(ok, "ok").otherwise("rejected_ungrounded"))
 
@@ -206,6 +227,22 @@ def trim_missing(items: Column, p: Evidence = Evidence()) -> Column:
     return F.filter(F.transform(F.slice(items, 1, p.missing), lambda x: model_text(x, 300)), lambda x: x != "")
 
 
+def missing_evidence(parsed: Column, p: Evidence = Evidence()) -> Column:
+    """Array of (description, why_it_matters) from ``missing_evidence`` of a parsed output: objects and plain texts among the first five items;
+    items of other kinds and those without a description are left out."""
+    doc = F.try_parse_json(parsed)
+    items = []
+    for i in range(p.missing):
+        item = F.try_variant_get(doc, f"$.missing_evidence[{i}]", "variant")
+        kind = F.schema_of_variant(item)
+
+        def text(path, item=item):
+            return model_text(F.try_variant_get(item, path, "string"), 300)
+        one = F.when(kind.startswith("OBJECT"), F.struct(text("$.description").alias("description"), text("$.why_it_matters").alias("why_it_matters")))
+        items.append(one.when(kind == "STRING", F.struct(text("$").alias("description"), F.lit("").alias("why_it_matters"))))
+    return F.filter(F.array_compact(F.array(*items)), lambda x: x["description"] != "")
+
+
 def trim_alternatives(items: Column, p: Evidence = Evidence()) -> Column:
     return F.filter(F.transform(F.slice(items, 1, p.alternatives), lambda x: model_text(x, 300)), lambda x: x != "")
 

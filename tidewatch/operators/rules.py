@@ -417,13 +417,14 @@ def touched_events(new_events: DataFrame, store: DataFrame, hours: float | None
 
     An address or session is read back to ``hours`` before its own oldest new event, so that every new event is analysed however long
     the batch is; with None its whole history is read."""
-    rows, reach = store, []
     since = F.min("ts_us") - F.lit(int(hours * 3600 * MICROS)) if hours is not None else F.min(F.lit(-(2**62)))
-    for n, key in enumerate(_who(new_events)):
-        first = new_events.groupBy(F.col("website_id").alias(f"_w{n}"), key.alias(f"_k{n}")).agg(since.alias(f"_since{n}")).where(F.col(f"_k{n}").isNotNull())
-        rows = rows.join(first, (F.col("website_id") == F.col(f"_w{n}")) & (key == F.col(f"_k{n}")), "left")
-        reach.append(F.coalesce(F.col("ts_us") >= F.col(f"_since{n}"), F.lit(False)))
-    return rows.where(reduce(lambda x, y: x | y, reach)).select(*store.columns)
+    found = []
+    for key in _who(new_events):
+        first = new_events.groupBy(F.col("website_id").alias("_w"), key.alias("_k")).agg(since.alias("_since")).where(F.col("_k").isNotNull())
+        own = (F.col("website_id") == F.col("_w")) & (key == F.col("_k")) & (F.col("ts_us") >= F.col("_since"))
+        found.append(store.join(first, own, "left_semi"))
+    # only what a batch touches is made distinct; columns that cannot be compared do not matter, an event is its tenant and id
+    return reduce(DataFrame.unionByName, found).dropDuplicates(["website_id", "event_id"])
 
 
 def touched_subjects(new_events: DataFrame) -> DataFrame:

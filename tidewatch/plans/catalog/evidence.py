@@ -79,7 +79,12 @@ def bundle_fingerprint(spark, sf):
 
 @query
 def role_summaries(spark, sf):
-    return E.role_summaries(fx(spark, sf, "fx_findings")).withColumn("categories", joined("categories"))
+    return E.role_summaries(fx(spark, sf, "fx_findings"), fx(spark, sf, "fx_incidents")).withColumn("categories", joined("categories"))
+
+
+@query
+def role_indicators(spark, sf):
+    return E.role_indicators(cited(spark, sf)).withColumn("event_ids", joined("event_ids"))
 
 
 def claims(spark, sf):
@@ -117,6 +122,7 @@ def ground_claims(spark, sf):
 @query
 def grounding_report(spark, sf):
     hyp = resolved(spark, sf).where("claim_no = 0").select(I, "labels")
+    hyp = hyp.unionByName(hyp.where(F.col(I) % 2 == 0).select((-1 - F.col(I)).alias(I), "labels"))       # these have no claims
     return E.grounding_report(grounded(spark, sf), hyp, [I])
 
 
@@ -169,6 +175,15 @@ def trim_missing_and_alternatives(spark, sf):
                                                     joined(E.trim_alternatives(parts), "|").alias("alternatives"))
 
 
+@query
+def missing_evidence(spark, sf):
+    c = table(spark, sf, "conversations")
+    item = F.concat(F.lit('{"missing_evidence":[{"description":" '), "role", F.lit(' <b>","why_it_matters":"turn '), F.col("turn").cast("string"), F.lit('"},{"description":"  "},"plain '), "role",
+                    F.lit('",7,{"why_it_matters":"x"},"a sixth one"]}'))
+    got = E.missing_evidence(F.when(F.col("turn") % 4 > 0, item).otherwise("{}"))
+    return c.select("conv_id", "turn", joined(F.transform(got, lambda x: F.concat(x["description"], F.lit(":"), x["why_it_matters"])), "|").alias("missing"))
+
+
 @query
 def merge_keep_last_good(spark, sf):
     t = table(spark, sf, "conversations")
@@ -339,7 +354,7 @@ def export_reports(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    evidence_refs, rank_findings, omitted_findings, evidence_facts, fit_budget, bundle_fingerprint, role_summaries, resolve_refs, ground_claims,
+    evidence_refs, rank_findings, omitted_findings, evidence_facts, fit_budget, bundle_fingerprint, role_summaries, role_indicators, missing_evidence, resolve_refs, ground_claims,
     grounding_report, cap_confidence, ground_recommendations, overconfident_phrases, parse_model_output, trim_missing_and_alternatives,
     merge_keep_last_good, investigation_staleness, audit_tail, pick_for_investigation, build_alerts, list_alerts, audit_transitions, replay_lifecycle,
     normalise_state, normalise_decision, clean_comment, latest_feedback, feedback_history, apply_decisions, approval_gate, alert_status_follow,
@@ -352,6 +367,10 @@ SELECT website_id, incident_id, stage, count(*) AS n, arg_min(event_id, (timesta
 V["prevs"] = """
 SELECT f.finding_id, f.event_id, f.website_id, f.incident_id, p.cited_id AS prev_id FROM fx_findings f LEFT JOIN fx_cited p ON p.finding_id = f.finding_id AND p.cited_id <> f.event_id"""
 V["itl"] = "SELECT *, row_number() OVER (PARTITION BY website_id, incident_id ORDER BY indicator_type, indicator) AS k FROM fx_intel"
+V["roles"] = """
+SELECT *, 'anomaly_agent' AS role FROM fx_findings WHERE agent_name = 'anomaly_model' OR finding_type = 'ml_anomaly' UNION ALL
+SELECT *, 'attack_agent' FROM fx_findings WHERE finding_type = 'attack_indicator' UNION ALL
+SELECT *, 'detection_agent' FROM fx_findings WHERE agent_name <> 'anomaly_model' AND finding_type NOT IN ('ml_anomaly', 'attack_indicator')"""
 V["clm"] = """
 SELECT incident_id, claim_no, trim(regexp_replace(regexp_replace(claim, '[\\x00-\\x1f\\x7f]', ' ', 'g'), '\\s+', ' ', 'g')) AS claim, turn_f, conv_t,
   turn_f BETWEEN 1 AND 8 AS ok_f, conv_t BETWEEN 1 AND 12 AS ok_t FROM (SELECT *, claim_no % 9 AS turn_f, incident_id % 15 AS conv_t FROM fx_claims) x"""
@@ -431,10 +450,17 @@ SELECT conv_id, turn, section, may AND total - (sum(chars) OVER w - chars) > 900
       ELSE 'known_limitations' END AS section, CASE turn % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 0 END AS keep FROM conversations) x) y
 WINDOW w AS (PARTITION BY conv_id, may ORDER BY o, position DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "role_summaries": """
-SELECT website_id, incident_id, role, count(*) AS indicators, string_agg(DISTINCT category, ',' ORDER BY category) AS categories, round(max(confidence), 3) AS max_confidence, TRUE AS suspicious FROM (
-  SELECT *, 'anomaly_agent' AS role FROM fx_findings WHERE agent_name = 'anomaly_model' OR finding_type = 'ml_anomaly' UNION ALL
-  SELECT *, 'attack_agent' FROM fx_findings WHERE finding_type = 'attack_indicator' UNION ALL
-  SELECT *, 'detection_agent' FROM fx_findings WHERE agent_name <> 'anomaly_model' AND finding_type NOT IN ('ml_anomaly', 'attack_indicator')) x GROUP BY 1, 2, 3""",
+SELECT website_id, incident_id, role, COALESCE(n, 0) AS indicators, COALESCE(c, '') AS categories, m AS max_confidence, n IS NOT NULL AS suspicious,
+  CASE WHEN n IS NULL THEN 'no_findings' ELSE 'ok' END AS status
+FROM fx_incidents CROSS JOIN (SELECT unnest(['detection_agent', 'attack_agent', 'anomaly_agent']) AS role) a
+LEFT JOIN (SELECT website_id, incident_id, role, count(*) AS n, string_agg(DISTINCT category, ',' ORDER BY category) AS c, round(max(confidence), 3) AS m FROM roles GROUP BY 1, 2, 3) b
+USING (website_id, incident_id, role)""",
+    "role_indicators": """
+SELECT r.website_id, r.incident_id, role, r.finding_id, rule_id, category, round(confidence, 3) AS confidence, anomaly_score0 AS anomaly_score,
+  CASE WHEN prev_id IS NULL THEN CAST(r.event_id AS VARCHAR) ELSE concat(r.event_id, ',', prev_id) END AS event_ids
+FROM (SELECT *, CASE WHEN role = 'anomaly_agent' THEN anomaly_score END AS anomaly_score0 FROM roles) r JOIN prevs p USING (finding_id)""",
+    "missing_evidence": """
+SELECT conv_id, turn, CASE WHEN turn % 4 > 0 THEN concat(role, ' b:turn ', turn, '|plain ', role, ':') ELSE '' END AS missing FROM conversations""",
     "resolve_refs": """
 SELECT incident_id, claim_no, concat_ws(',', CASE WHEN ok_f THEN concat('F', turn_f) END, CASE WHEN ok_t THEN concat('T', conv_t) END) AS labels,
   CAST(NOT ok_f AS BIGINT) + CAST(NOT ok_t AS BIGINT) AS invalid,
@@ -444,7 +470,8 @@ SELECT incident_id, claim_no, concat_ws(',', CASE WHEN ok_f THEN concat('F', tur
     "grounding_report": """
 SELECT *, CASE WHEN hypothesis_grounded AND claims_kept > 0 THEN 'ok' ELSE 'rejected_ungrounded' END AS status FROM (
   SELECT incident_id, count(*) AS claims_received, count(*) FILTER (kept) AS claims_kept, count(*) FILTER (NOT supported) AS unsupported_claims_dropped,
-    CAST(sum(CAST(NOT ok_f AS BIGINT) + CAST(NOT ok_t AS BIGINT)) AS BIGINT) AS invalid_refs_removed, bool_or(claim_no = 0 AND (ok_f OR ok_t)) AS hypothesis_grounded FROM clk GROUP BY 1) x""",
+    CAST(sum(CAST(NOT ok_f AS BIGINT) + CAST(NOT ok_t AS BIGINT)) AS BIGINT) AS invalid_refs_removed, bool_or(claim_no = 0 AND (ok_f OR ok_t)) AS hypothesis_grounded FROM clk GROUP BY 1
+  UNION ALL SELECT -1 - incident_id, 0, 0, 0, 0, ok_f OR ok_t FROM clk WHERE claim_no = 0 AND incident_id % 2 = 0) x""",
     "cap_confidence": """
 SELECT website_id, incident_id, round(CASE WHEN m IS NULL OR m > confidence THEN confidence ELSE m END, 4) AS value,
   CASE WHEN m IS NULL THEN 'model gave no confid' ELSE 'AI self-assessment c' END AS basis0, CASE WHEN m IS NULL THEN 'model gave no confid' WHEN m > confidence THEN 'AI self-assessment c'

@@ -130,11 +130,30 @@ def session_truth(spark, sf):
     return E.session_truth(S.with_session_key(events(spark, sf)), _labels(spark, sf))
 
 
+def _flags_and_truth(spark, sf, kind="waf_alert"):
+    e = S.with_session_key(events(spark, sf))
+    flags = e.groupBy("website_id", "session_key").agg(F.bool_or(F.col("event_type") == kind).alias("flagged"))
+    return flags, E.session_truth(e, _labels(spark, sf))
+
+
 @query
 def evaluate_sessions(spark, sf):
-    e = S.with_session_key(events(spark, sf))
-    flags = e.groupBy("website_id", "session_key").agg(F.bool_or(F.col("event_type") == "waf_alert").alias("flagged"))
-    return E.evaluate_sessions(flags, E.session_truth(e, _labels(spark, sf)))
+    return E.evaluate_sessions(*_flags_and_truth(spark, sf))
+
+
+@query
+def session_scenarios(spark, sf):
+    return E.session_scenarios(*_flags_and_truth(spark, sf))
+
+
+@query
+def missed_sessions(spark, sf):
+    return E.missed_sessions(*_flags_and_truth(spark, sf))
+
+
+@query
+def false_positive_sessions(spark, sf):
+    return E.false_positive_sessions(*_flags_and_truth(spark, sf, "session_created"))
 
 
 @query
@@ -148,7 +167,7 @@ def evaluate_labels(spark, sf):
 QUERIES = {f.__name__: f for f in (
     risk_inputs, risk_score, risk_factors, risk_confidence, risk_level, evidence_gaps, supporting_findings, config_fingerprint,
     risk_staleness, risk_rollup, funnel, factor_points, evaluate_events, scenario_report, false_positive_examples, session_truth,
-    evaluate_sessions, evaluate_labels)}
+    evaluate_sessions, session_scenarios, missed_sessions, false_positive_sessions, evaluate_labels)}
 NAMES = {"f_behavior": "behavior", "f_anomaly": "anomaly", "f_attack": "attack_indicators", "f_authentication": "authentication",
          "f_sensitive": "sensitive_endpoint", "f_correlation": "correlation", "f_asset": "asset_impact", "f_threat_intel": "threat_intel"}
 QUERIES.update({k: _factor(v) for k, v in NAMES.items()})
@@ -220,6 +239,9 @@ def _scores(src: str) -> str:
 V["struth"] = """
 SELECT website_id, session_key, CASE WHEN bool_or(label = 'malicious') THEN 'malicious' ELSE 'benign' END AS label,
   arg_min(scenario, (label <> 'malicious', us, event_id)) AS scenario FROM evl GROUP BY 1, 2"""
+V["sjudged"] = """
+SELECT t.website_id, t.session_key, scenario, label = 'malicious' AS malicious, flagged FROM struth t
+JOIN (SELECT website_id, session_key, bool_or(event_type = 'waf_alert') AS flagged FROM ev GROUP BY 1, 2) f USING (website_id, session_key)"""
 ORACLES = {
     "risk_inputs": """
 SELECT website_id, incident_id, event_count, finding_count, CAST(kinds AS INTEGER) AS kinds, link_count, round(mean_strength, 6) AS mean_strength, sensitive, resources,
@@ -268,8 +290,12 @@ SELECT scenario, count(*) AS events, count(*) FILTER (flagged) AS flagged, bool_
 SELECT CAST(e.event_id AS VARCHAR) AS event_id, COALESCE(rule_id, '') AS rules FROM evl e LEFT JOIN fx_findings f ON f.event_id = e.event_id
 WHERE label = 'benign' AND flagged ORDER BY CAST(e.event_id AS VARCHAR) LIMIT 5""",
     "session_truth": "SELECT * FROM struth",
-    "evaluate_sessions": "SELECT * EXCLUDE (p, r) FROM (" + _scores("""
-SELECT label = 'malicious' AS malicious, flagged FROM struth JOIN (SELECT website_id, session_key, bool_or(event_type = 'waf_alert') AS flagged FROM ev GROUP BY 1, 2) f
-USING (website_id, session_key)""") + ") z",
+    "evaluate_sessions": "SELECT * EXCLUDE (p, r) FROM (" + _scores("SELECT malicious, flagged FROM sjudged") + """) z,
+  (SELECT count(*) AS sessions_evaluated, count(*) FILTER (malicious) AS malicious_sessions, count(*) FILTER (NOT malicious) AS benign_sessions FROM sjudged) c""",
+    "session_scenarios": "SELECT scenario, count(*) AS sessions, count(*) FILTER (flagged) AS flagged FROM sjudged WHERE malicious GROUP BY 1",
+    "missed_sessions": "SELECT website_id, session_key, scenario FROM sjudged WHERE malicious AND NOT flagged",
+    "false_positive_sessions": """
+SELECT website_id, session_key, scenario FROM struth WHERE label <> 'malicious'
+  AND (website_id, session_key) IN (SELECT (website_id, session_key) FROM ev WHERE event_type = 'session_created') ORDER BY session_key, website_id LIMIT 5""",
     "evaluate_labels": "SELECT * EXCLUDE (p, r) FROM (" + _scores("SELECT quality = 0 AS flagged, toxic = 1 AS malicious FROM labels") + ") z",
 }
