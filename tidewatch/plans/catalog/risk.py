@@ -1,5 +1,8 @@
 """Risk scoring and evaluation."""
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import evaluate as E
@@ -242,6 +245,7 @@ SELECT website_id, session_key, CASE WHEN bool_or(label = 'malicious') THEN 'mal
 V["sjudged"] = """
 SELECT t.website_id, t.session_key, scenario, label = 'malicious' AS malicious, flagged FROM struth t
 JOIN (SELECT website_id, session_key, bool_or(event_type = 'waf_alert') AS flagged FROM ev GROUP BY 1, 2) f USING (website_id, session_key)"""
+_PARAMS = json.dumps(asdict(P), sort_keys=True, default=str).replace("'", "''")
 ORACLES = {
     "risk_inputs": """
 SELECT website_id, incident_id, event_count, finding_count, CAST(kinds AS INTEGER) AS kinds, link_count, round(mean_strength, 6) AS mean_strength, sensitive, resources,
@@ -268,6 +272,9 @@ SELECT website_id, incident_id, CAST(row_number() OVER (PARTITION BY website_id,
     "supporting_findings": """
 SELECT website_id, incident_id, finding_id, agent_name, category, rule_id, round(confidence, 4) AS confidence, CAST(r AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY website_id, incident_id ORDER BY confidence DESC, finding_id) AS r FROM fx_findings) x WHERE r <= 10""",
+    "config_fingerprint": f"""
+SELECT website_id, incident_id, round(100.0 * sum(weight * value) / sum(weight), 1) AS risk_score, left(sha256('{_PARAMS}'), 12) AS config_fingerprint, CAST(count(*) AS INTEGER) AS n_factors
+FROM rfac GROUP BY 1, 2""",
     "risk_staleness": """
 SELECT website_id, incident_id, created_seq % 2 = 1 OR (created_seq % 3 = 0 AND created_seq % 6 <> 0) AS stale,
   concat_ws(',', CASE WHEN created_seq % 2 = 1 THEN 'events_changed' END, CASE WHEN created_seq % 3 = 0 AND created_seq % 6 <> 0 THEN 'threat_intel_changed' END) AS reasons
