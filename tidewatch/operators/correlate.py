@@ -12,7 +12,6 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.operators.citations import Citations
 from tidewatch.operators.components import connected_components
