@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -75,11 +76,30 @@ def test_shingle_sets_sizes():
     assert [len(x) for x in s] == [0, 1, 1, 1, 6, 0] and s[1].tolist() == s[2].tolist()
 
 
-def test_winnowing_keeps_the_least_of_every_window():
+def test_word_hashes_of_long_words_of_two_letters():
+    """Words on which sums of powers modulo a power of two agree."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    pair = [bytes(97 + b for b in bits), bytes(98 - b for b in bits)]
+    for size in (8, 9, 16, 32, 64, 65, 128, 1024):
+        h, _ = words([w[:size] for w in pair] + [pair[0][:size]], NOT_BLANK)
+        assert h[0] != h[1] and h[0] == h[2], size
+    h, _ = words([b"a" * n + b"\x00" * m for n in range(1, 70) for m in range(3)], NOT_BLANK)
+    assert len(set(h.tolist())) == 69 * 3
+
+
+def test_winnowing_picks_the_last_least_of_every_run():
     h = np.random.default_rng(5).integers(0, 50, 300).astype(np.uint64)
-    at = set(winnowed(h, 6).tolist())
-    for i in range(len(h) - 5):
-        assert {i + j for j in range(6) if h[i + j] == h[i:i + 6].min()} <= at
+    want = {max(j for j in range(i, i + 6) if h[j] == h[i:i + 6].min()) for i in range(len(h) - 5)}
+    assert set(winnowed(h, 6).tolist()) == want and winnowed(h[:4], 6).tolist() == [0, 1, 2, 3]
+
+
+def test_hits_in_repetitive_texts():
+    same = " ".join(["same"] * 800).encode()
+    bench = Benchmark([(i, same) for i in range(50)] + [(50, b"same same"), (51, b"other same")])
+    start = time.process_time()
+    (n, hit, found), (m, none, few) = hits([b" ".join([b"same"] * 20_000), b"same"], bench)
+    assert (n, len(hit), found) == (20_000, 20_000, list(range(51))) and (m, len(none), few) == (1, 0, [])
+    assert time.process_time() - start < 5
 
 
 def test_hits_like_plain_windows():

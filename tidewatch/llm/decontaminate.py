@@ -18,87 +18,100 @@ SCHEMA = "doc_id BIGINT, n_words BIGINT, n_hit BIGINT, n_items BIGINT, items_sha
 
 
 def winnowed(h: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the hashes that are least in some run of ``window`` neighbours (all of them where there are fewer)."""
+    """Positions of the least hash of every run of ``window`` neighbours, the last one of equals (all positions where there are fewer).
+
+    Which one is picked depends on the run alone, so equal runs pick alike."""
     n = len(h) - window + 1
     if n < 1:
         return np.arange(len(h))
-    least = h[:n].copy()
+    least, at = h[:n].copy(), np.arange(n)
     for j in range(1, window):
-        np.minimum(least, h[j:j + n], out=least)
-    keep = np.zeros(len(h), bool)
-    for j in range(window):
-        keep[j:j + n] |= h[j:j + n] == least
-    return np.flatnonzero(keep)
+        later = h[j:j + n] <= least
+        least[later] = h[j:j + n][later]
+        at[later] = np.flatnonzero(later) + j
+    return np.unique(at)
+
+
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are one of the sorted ``keys``."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers ``first[i], first[i] + 1, ...``, ``many[i]`` of them, one after the other."""
+    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+class Windows:
+    """The distinct windows of one length: their sorted hashes, a place of each in the benchmark's words, and the items that hold them."""
+
+    def __init__(self, bench_words: np.ndarray, places: np.ndarray, items: np.ndarray, length: int):
+        gram = np.zeros(0, np.uint64)
+        if len(places):
+            gram = grams(bench_words, length)[places]
+        order = np.lexsort((items, gram))
+        gram, items, places = gram[order], items[order], places[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (items[1:] != items[:-1])              # a window that an item repeats counts once
+        gram, self.items, places = gram[new], items[new], places[new]
+        self.keys, self.first, self.many = np.unique(gram, return_index=True, return_counts=True)
+        self.places, self.length, self.words = places[self.first], length, bench_words
+
+    def look_up(self, gram: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places ``at`` in the words ``h``, with hash ``gram[at]``, those where a window occurs, and its number."""
+        k = np.minimum(np.searchsorted(self.keys, gram[at]), len(self.keys) - 1)
+        same = self.keys[k] == gram[at]
+        at, k = at[same], k[same]
+        for j in range(self.length):
+            same = h[at + j] == self.words[self.places[k] + j]
+            at, k = at[same], k[same]
+        return at, k
 
 
 class Benchmark:
-    """Word hashes of a bounded block of items, and the sorted fingerprints by which they are found.
+    """A bounded block of items: the distinct windows of their words, and the fingerprints by which windows are found.
 
     ``span`` words in a row of an item are a window; an item of fewer words is one window as a whole.  Windows are found by the
     least hash of ``span - k + 1`` neighbouring ``k``-grams, which any two equal windows have in common; short items, for which a
-    ``k``-gram may be too long, by the hash of all their words."""
+    ``k``-gram may be too long, by the hash of all their words.  A fingerprint of a text that is one of the items' is extended to the
+    windows around it, each looked up once, so the work does not grow with how often text or items repeat it."""
 
     def __init__(self, items: list[tuple[int, bytes]], span: int = 10, k: int = 5):
         self.span, self.k = span, k
         self.ids = [i for i, _ in items]
-        self.words, offs = words([t for _, t in items], ALNUM)
-        self.item = np.repeat(np.arange(len(items)), np.diff(offs))
-        self.offs = offs
-        prints, places, short = [], [], {}
-        gram = grams(self.words, k)
-        for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)):
+        bench_words, offs = words([t for _, t in items], ALNUM) if items else (np.zeros(0, np.uint64), np.zeros(1, np.int64))
+        count = np.diff(offs)
+        item = np.repeat(np.arange(len(items)), count)
+        left = np.repeat(offs[1:], count) - np.arange(len(bench_words))           # words from here to the end of the item
+        gram, prints = grams(bench_words, k), [np.zeros(0, np.uint64)]
+        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             if b - a >= span:
-                at = a + winnowed(gram[a:b - k + 1], span - k + 1)
-                prints.append(gram[at])
-                places.append(at)
-            elif b > a:
-                short.setdefault(b - a, []).append((int(grams(self.words[a:b], b - a)[0]), i))
-        fp, at = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((prints, np.uint64), (places, np.int64)))
-        order = np.argsort(fp, kind="stable")
-        self.prints, self.places = fp[order], at[order]
-        self.short = {}
-        for n, pairs in short.items():
-            pairs.sort()
-            self.short[n] = np.array([p for p, _ in pairs], np.uint64), np.array([i for _, i in pairs])
-
-    def find(self, h: np.ndarray, doc: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All occurrences of windows in the words ``h``: position, length, item.  ``ends[i]`` is the end of the text of word i."""
-        found = [(np.zeros(0, np.int64),) * 3]
-        n, k, span = len(h), self.k, self.span
-        if len(self.prints) and n >= span:
-            gram = grams(h, k)
-            at = winnowed(gram, span - k + 1)      # over text borders too: more fingerprints, never fewer in a text
-            lo = np.searchsorted(self.prints, gram[at], "left")
-            many = np.searchsorted(self.prints, gram[at], "right") - lo
-            at, lo, many = at[many > 0], lo[many > 0], many[many > 0]
-            p = np.repeat(at, many)
-            q = self.places[np.repeat(lo, many) + np.arange(len(p)) - np.repeat(np.cumsum(many) - many, many)]
-            item_lo, item_hi = self.offs[self.item[q]], self.offs[self.item[q] + 1]
-            for back in range(span - k + 1):       # the window may begin so many words before the fingerprint
-                s, t = p - back, q - back
-                ok = (t >= item_lo) & (t + span <= item_hi) & (s >= 0)
-                s, t = s[ok], t[ok]
-                ok = (s + span <= ends[s]) if len(s) else np.zeros(0, bool)
-                s, t = s[ok], t[ok]
-                for j in range(span):
-                    same = h[s + j] == self.words[t + j]
-                    s, t = s[same], t[same]
-                found.append((s, np.full(len(s), span), self.item[t]))
-        for length, (keys, items) in self.short.items():
-            if n < length:
+                part = gram[a:b - k + 1]
+                prints.append(part[winnowed(part, span - k + 1)])
+        self.prints = np.unique(np.concatenate(prints))
+        whole = np.flatnonzero(left >= span)
+        self.windows = [Windows(bench_words, whole, item[whole], span)]
+        for n in np.unique(count[(count > 0) & (count < span)]).tolist():
+            short = np.flatnonzero(count == n)
+            self.windows.append(Windows(bench_words, offs[short], short, n))
+
+    def find(self, h: np.ndarray, ends: np.ndarray) -> Iterator[tuple[Windows, np.ndarray, np.ndarray]]:
+        """Per length of windows: the places in the words ``h`` where one occurs, and its number.  ``ends[i]`` is the end of word i's text."""
+        for w in self.windows:
+            if not len(w.keys) or len(h) < w.length:
                 continue
-            g = grams(h, length)
-            s = np.flatnonzero(np.isin(g, keys))
-            s = s[s + length <= ends[s]]
-            lo = np.searchsorted(keys, g[s], "left")
-            many = np.searchsorted(keys, g[s], "right") - lo
-            s2 = np.repeat(s, many)
-            i = items[np.repeat(lo, many) + np.arange(len(s2)) - np.repeat(np.cumsum(many) - many, many)]
-            for j in range(length):
-                same = h[s2 + j] == self.words[self.offs[i] + j]
-                s2, i = s2[same], i[same]
-            found.append((s2, np.full(len(s2), length), i))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+            gram = grams(h, w.length)
+            if w.length < self.span:
+                at = np.flatnonzero(_among(gram, w.keys))
+            else:
+                parts = grams(h, self.k)
+                at = winnowed(parts, self.span - self.k + 1)     # over text borders too: more fingerprints, never fewer in a text
+                at = at[_among(parts[at], self.prints)]
+                at = np.unique(at[:, None] - np.arange(self.span - self.k + 1))    # a window may begin so many words before its fingerprint
+                at = at[(at >= 0) & (at < len(gram))]
+            yield w, *w.look_up(gram, h, at[at + w.length <= ends[at]])
 
 
 def hits(texts: list[bytes], bench: Benchmark) -> Iterator[tuple[int, np.ndarray, list[int]]]:
@@ -107,20 +120,24 @@ def hits(texts: list[bytes], bench: Benchmark) -> Iterator[tuple[int, np.ndarray
         h, offs = words(texts[lo:hi], ALNUM)
         count = np.diff(offs)
         doc = np.repeat(np.arange(hi - lo), count)
-        at, length, item = bench.find(h, doc, np.repeat(offs[1:], count))
-        owner = doc[at]
-        order = np.argsort(owner, kind="stable")
-        at, length, item, owner = at[order], length[order], item[order], owner[order]
-        border = np.searchsorted(owner, np.arange(hi - lo + 1))
+        change = np.zeros(len(h) + 1, np.int64)
+        found: dict[int, list[np.ndarray]] = {}
+        for w, at, number in bench.find(h, np.repeat(offs[1:], count)):
+            change[:-1] += np.bincount(at, minlength=len(h))
+            change += np.bincount(at + w.length, minlength=len(h) + 1)[:len(h) + 1] * -1
+            order = np.lexsort((number, doc[at]))
+            owner, number = doc[at][order], number[order]
+            new = np.ones(len(owner), bool)
+            new[1:] = (owner[1:] != owner[:-1]) | (number[1:] != number[:-1])
+            owner, number = owner[new], number[new]
+            begin = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for d in np.unique(owner).tolist():
+                n = number[begin[d]:begin[d + 1]]
+                found.setdefault(d, []).append(np.unique(w.items[_spread(w.first[n], w.many[n])]))
+        hit = np.cumsum(change[:-1]) > 0                          # windows end inside their text, so no sum crosses a border
         for d in range(hi - lo):
-            a, b = border[d], border[d + 1]
-            if a == b:
-                yield int(count[d]), np.zeros(0, np.int64), []
-                continue
-            change = np.zeros(int(count[d]) + 1, np.int64)
-            np.add.at(change, at[a:b] - offs[d], 1)
-            np.add.at(change, at[a:b] - offs[d] + length[a:b], -1)
-            yield int(count[d]), np.flatnonzero(np.cumsum(change[:-1])), np.unique(item[a:b]).tolist()
+            here = found.get(d)
+            yield int(count[d]), np.flatnonzero(hit[offs[d]:offs[d + 1]]), np.unique(np.concatenate(here)).tolist() if here else []
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, bytes]]]:
@@ -209,9 +226,16 @@ def _in_blocks(rows: DataFrame, ready: list, rest: Iterator, span: int, k: int)
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", span: int = 10, k: int = 5,
                     block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no word is hit: the filter form of ``contamination``, one pass per block of items."""
-    out = docs
-    for block in _blocks(benchmark, item_col, "text", block_words):
+    """The rows of ``docs``, all columns, in which no word is hit: the filter form of ``contamination``, one pass per block of items.
+
+    Passes are apart, with what the last one kept written between them, so a task holds one block at a time."""
+    out, written = docs, None
+    for i, block in enumerate(_blocks(benchmark, item_col, "text", block_words)):
+        if i:
+            kept = cut(out, "clean")
+            if written is not None:
+                discard(written)
+            out = written = kept
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, shared=shared):

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)   # a random value for each byte
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
+LONG = 64               # bytes; longer words are hashed one by one
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32                                                                     # A-Z only
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 # byte classes: a word is a longest run of bytes with True
 NOT_BLANK = np.ones(256, bool)
@@ -32,14 +31,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        up = np.full(n, _BASE, np.uint64)
-        down = np.full(n, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _hash_runs(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes ``buf[begin:end]``.
+
+    Eight bytes at a time are mixed into the state by a bijection, so runs of up to eight bytes and one length never clash and longer ones
+    only by chance, whatever they are made of; runs of more than LONG bytes take BLAKE2b."""
+    length = end - begin
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, np.dtype("<u8"), padded, strides=(1,))       # the eight bytes from each place on
+    out = mix(length.astype(np.uint64) * _STEP + _SEED)
+    at, done = np.flatnonzero(length <= LONG), 0
+    while len(at):
+        left = length[at] - done
+        part = eight[begin[at] + done] & (np.uint64(2**64 - 1) >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64))
+        out[at] = mix(out[at] * _STEP ^ part)
+        done += 8
+        at = at[left > 8]
+    raw = memoryview(buf)
+    for i in np.flatnonzero(length > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[begin[i]:end[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -62,10 +73,7 @@ def words(texts: list[bytes], kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     if inside[0]:
         flips = np.concatenate([[0], flips])
     begin, end = flips[0::2], flips[1::2]                       # the last byte is a blank, so every word ends
-    up, down = _power(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[:-1], out=sums[1:])
-    hashes = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    hashes = _hash_runs(buf, begin, end)
     lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     return hashes, np.searchsorted(begin, np.concatenate([[0], np.cumsum(lengths)]))
 
