@@ -105,7 +105,9 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             has = [[place[f] for f in fs if f in place] for fs in batch["has"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["junk"], batch["toxic"], pa.array(has, pa.list_(pa.int32()))], ["junk", "toxic", "has"])
-    data = rows.mapInArrow(pick, "junk INT, toxic INT, has ARRAY<INT>").orderBy("junk", "toxic", "has").toArrow()
+    data = rows.mapInArrow(pick, "junk INT, toxic INT, has ARRAY<INT>").toArrow()
+    keys = list(zip(*(data[c].to_pylist() for c in ("junk", "toxic", "has")), strict=True))
+    data = data.take(sorted(range(len(keys)), key=keys.__getitem__))      # sums of floats in one order; at most ``sample`` rows
     has = data["has"].combine_chunks()
     x = np.zeros((len(data), len(columns) + 1), np.uint8)
     x[:, 0] = 1
@@ -129,8 +131,8 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     """Adds ``host_rate, path_rate, posterior`` to rows ``doc_id, host, path, evidence`` (log-odds that the row is bad).
 
     Three levels: a global rate; host rates with a beta prior around it; path rates with a beta prior around their host's.  Strengths of
-    both priors come from the data.  A row's own evidence is taken out of its path before its odds are moved by the path's, so a site
-    with a single row says nothing about it.  Null hosts and paths are groups of their own."""
+    both priors come from the data.  A row's own evidence is taken out of its host and path before its odds are moved by theirs, so a
+    site with a single row says nothing about it; ``host_rate`` and ``path_rate`` are those rates, of the other rows.  Null hosts and paths are groups of their own."""
     rows = scored.withColumns({"host": F.coalesce(F.col("host").cast("string"), F.lit("")), "path": F.coalesce(F.col("path").cast("string"), F.lit("")),
                                "p": 1 / (1 + F.exp(-F.col("evidence")))})
     paths = rows.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
@@ -139,13 +141,14 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
     rate = F.lit((all_s + 0.5) / (all_n + 1))
     k = F.lit(hosts.agg(_strength(rate, "hn", "hs")).first()[0] or 1.0)
     hosts = hosts.withColumn("host_rate", (F.col("hs") + k * rate) / (F.col("hn") + k))
-    paths = spread_lookup(paths, hosts.select("host", "host_rate", "width"), ["host"], "width", F.col("path")).drop("width")
+    paths = spread_lookup(paths, hosts.select("host", "host_rate", "hn", "hs", "width"), ["host"], "width", F.col("path")).drop("width")
     k2 = F.lit(paths.agg(_strength(F.col("host_rate"), "n", "s")).first()[0] or 1.0)
     met = spread_lookup(rows, paths, ["host", "path"], "n", F.col("doc_id"))
-    others = (F.col("s") - F.col("p") + k2 * F.col("host_rate")) / (F.col("n") - 1 + k2)
+    host_others = (F.col("hs") - F.col("p") + k * rate) / (F.col("hn") - 1 + k)
+    others = (F.col("s") - F.col("p") + k2 * host_others) / (F.col("n") - 1 + k2)
     safe = F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6))
     moved = F.col("evidence") + _logit(safe) - _logit(rate)
-    return met.select("doc_id", "host", "path", "evidence", "host_rate", safe.alias("path_rate"), (1 / (1 + F.exp(-moved))).alias("posterior"))
+    return met.select("doc_id", "host", "path", "evidence", host_others.alias("host_rate"), safe.alias("path_rate"), (1 / (1 + F.exp(-moved))).alias("posterior"))
 
 
 def classify(docs: DataFrame, model: TextModel, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
