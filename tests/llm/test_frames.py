@@ -97,6 +97,7 @@ def test_near_copies(docs, nothing):
             least[find(i)] = min(least.get(find(i), d), d)
     want = Counter((d, len(sets[i]), None if d is None else least[find(i)]) for i, (d, _) in enumerate(rows))
     assert by_row(jaccard_join.near_copies(docs), "doc_id", "n_shingles", "component_id") == want
+    assert by_row(jaccard_join.near_copies(docs, digest_bits=3), "doc_id", "n_shingles", "component_id") == want      # most sets share a name
     assert jaccard_join.near_copies(nothing).count() == 0
 
 
@@ -209,12 +210,31 @@ def test_site_posteriors_shrink_sparse_sites(spark):
     rows = [(i, f"h{i % 4}", "p" if i % 8 < 4 else "q", (3.0 if r.random() < (0.7 if i % 4 == 0 else 0.1) else -3.0)) for i in range(400)] + [(1000, "lone", "p", 3.0), (1001, None, None, -3.0)]
     got = {x.doc_id: x for x in quality.site_posteriors(spark.createDataFrame(rows, "doc_id BIGINT, host STRING, path STRING, evidence DOUBLE")).collect()}
     assert len(got) == len(rows)
-    every = sum(1 / (1 + math.exp(-e)) for *_, e in rows)
-    rate = (every + 0.5) / (len(rows) + 1)
+    p = {i: 1 / (1 + math.exp(-e)) for i, *_, e in rows}
+    rate = (sum(p.values()) + 0.5) / (len(rows) + 1)
+
+    def groups(key):
+        out = {}
+        for row in rows:
+            out.setdefault(key(row), []).append(p[row[0]])
+        return out
+
+    def strength(members, mean):
+        n = sum(map(len, members.values()))
+        noise = sum(mean(g) * (1 - mean(g)) for g in members) / len(members)
+        spread = sum(len(m) * (sum(m) / len(m) - mean(g)) ** 2 for g, m in members.items()) / n - len(members) * noise / n
+        return min(max(noise / max(spread, 1e-9) - 1, 1), 1e6)
+    hosts, paths = groups(lambda x: x[1]), groups(lambda x: (x[1], x[2]))
+    k = strength(hosts, lambda g: rate)
+    k2 = strength(paths, lambda g: (sum(hosts[g[0]]) + k * rate) / (len(hosts[g[0]]) + k))
+    for i, h, path, e in rows:
+        host_rate = (sum(hosts[h]) - p[i] + k * rate) / (len(hosts[h]) - 1 + k)
+        path_rate = (sum(paths[h, path]) - p[i] + k2 * host_rate) / (len(paths[h, path]) - 1 + k2)
+        odds = e + math.log(path_rate / (1 - path_rate)) - math.log(rate / (1 - rate))
+        want = (host_rate, path_rate, 1 / (1 + math.exp(-odds)))
+        assert (got[i].host_rate, got[i].path_rate, got[i].posterior) == pytest.approx(want, rel=1e-9)
     assert got[0].host_rate > 2 * got[1].host_rate
-    assert abs(got[1000].path_rate - rate) < abs(got[0].path_rate - rate)
-    mine = [1 / (1 + math.exp(-e)) for _, h, *_, e in rows if h == "h1"]
-    assert min(rate, sum(mine) / len(mine)) <= got[1].host_rate <= max(rate, sum(mine) / len(mine))
+    assert got[1000].path_rate == pytest.approx(rate) and got[1000].posterior == pytest.approx(p[1000])       # the only row of its site
 
 
 def test_quality_keeps_clean_and_drops_bad(spark, nothing):

@@ -14,12 +14,21 @@ from tidewatch.llm.wordhash import mix, shingle_sets, slices
 SKETCH_BITS = 20        # n-gram frequencies are kept in 2^20 counters, 8 MB at any input size
 SKETCH_BLOCKS = 64
 PARTS = 64              # hash ranges of the suffix filter
+NONE = np.zeros(0, np.int64)
+
+
+def _full_name(node: np.ndarray, check: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    both = mix(mix(node.view(np.uint64)) + check.view(np.uint64)).view(np.int64)
+    return np.where(np.isin(node, shared), both, node)
 
 
 class Sets:
-    """Shingle sets of a slice of texts, one after the other, with sizes and two digests that do not depend on the order of a set."""
+    """Shingle sets of a slice of texts, one after the other, with sizes and two digests that do not depend on the order of a set.
+
+    ``node`` names a set.  Where ``shared`` says that sets of different ``check`` have one node, the check goes into it too, so names
+    are as good as 128 bits; ``bits`` of the first digest are used."""
 
-    def __init__(self, texts: list[bytes], words: int):
+    def __init__(self, texts: list[bytes], words: int, shared: np.ndarray = NONE, bits: int = 64):
         self.each = shingle_sets(texts, words)
         self.n = np.fromiter(map(len, self.each), np.int64, len(self.each))
         self.grams = np.concatenate(self.each) if self.each else np.zeros(0, np.uint64)
@@ -29,8 +38,9 @@ class Sets:
             starts = (np.cumsum(self.n) - self.n)[full]
             size = self.n[full].astype(np.uint64)
             self.mixed = mix(self.grams)
-            self.node[full] = mix(np.add.reduceat(self.mixed, starts) + size).view(np.int64)
+            self.node[full] = (mix(np.add.reduceat(self.mixed, starts) + size) >> np.uint64(64 - bits)).view(np.int64)
             self.check[full] = mix(np.bitwise_xor.reduceat(self.mixed * np.uint64(0xDA942042E4DD58B5), starts) ^ size).view(np.int64)
+            self.node[full] = _full_name(self.node[full], self.check[full], shared)
 
     def histograms(self) -> list[bytes]:
         """How many shingles of each set lie in each of PARTS hash ranges, as unsigned shorts."""
@@ -45,7 +55,7 @@ def _slot(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _describe(rows: DataFrame, words: int) -> DataFrame:
+def _describe(rows: DataFrame, words: int, bits: int) -> DataFrame:
     """One pass over all texts: a row per text (set size, digests, hash-range histogram), and the tasks' n-gram counters in blocks."""
     names = ["doc_id", "n", "node", "check", "hist", "block", "counts"]
 
@@ -54,7 +64,7 @@ def _describe(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             texts = bytes_of(batch["text"])
             for lo, hi in slices(texts):
-                s = Sets(texts[lo:hi], words)
+                s = Sets(texts[lo:hi], words, bits=bits)
                 counts += np.bincount(_slot(s.grams), minlength=1 << SKETCH_BITS).astype(np.uint32)
                 none, empty = pa.nulls(hi - lo), s.n == 0
                 yield pa.RecordBatch.from_arrays([batch["doc_id"][lo:hi].cast(pa.int64()), pa.array(s.n.astype(np.int32)), pa.array(s.node, mask=empty), pa.array(s.check, mask=empty),
@@ -84,7 +94,23 @@ def _frequencies(described: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
-def _prefixes(rows: DataFrame, freq, words: int, percent: int) -> DataFrame:
+def _sets(described: DataFrame) -> DataFrame:
+    """A row per set; ``clash`` where its name has different checks: of n sets, n^2 / 2^65 are to be expected."""
+    return cut(described.where(F.col("node").isNotNull() & F.col("doc_id").isNotNull()).groupBy("node")
+               .agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("doc_id").alias("doc_id"), (F.min("check") != F.max("check")).alias("clash")), "sets")
+
+
+def _renamed(described: DataFrame, shared: np.ndarray) -> DataFrame:
+    """``described`` with the check in the names that are shared."""
+    def scan(batches):
+        for batch in batches:
+            none = batch["node"].is_null().to_numpy(zero_copy_only=False)
+            name = _full_name(*(batch[c].fill_null(0).to_numpy() for c in ("node", "check")), shared)
+            yield batch.set_column(batch.schema.get_field_index("node"), "node", pa.array(name, mask=none))
+    return described.mapInArrow(scan, described.schema)
+
+
+def _prefixes(rows: DataFrame, freq, words: int, percent: int, names: tuple) -> DataFrame:
     """(gram, node, pos): the n-grams of each set's prefix, the rarest first.  A set met again in the same task is not repeated."""
     def scan(batches):
         seen: set[int] = set()
@@ -92,7 +118,7 @@ def _prefixes(rows: DataFrame, freq, words: int, percent: int) -> DataFrame:
         for batch in batches:
             texts = bytes_of(batch["text"])
             for lo, hi in slices(texts):
-                s = Sets(texts[lo:hi], words)
+                s = Sets(texts[lo:hi], words, *names)
                 often = table[_slot(s.grams)]
                 starts = np.cumsum(s.n) - s.n
                 keep = s.n - (percent * s.n + 99) // 100 + 1
@@ -112,13 +138,13 @@ def _prefixes(rows: DataFrame, freq, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(scan, "gram BIGINT, node BIGINT, pos INT")
 
 
-def _with_node(rows: DataFrame, words: int) -> DataFrame:
+def _with_node(rows: DataFrame, words: int, names: tuple) -> DataFrame:
     """(node, text) of texts fetched by id."""
     def scan(batches):
         for batch in batches:
             texts = bytes_of(batch["text"])
             for lo, hi in slices(texts):
-                yield pa.RecordBatch.from_arrays([pa.array(Sets(texts[lo:hi], words).node), batch["text"][lo:hi]], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(Sets(texts[lo:hi], words, *names).node), batch["text"][lo:hi]], ["node", "text"])
     return rows.select("text").mapInArrow(scan, "node BIGINT, text STRING")
 
 
@@ -169,7 +195,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(one("b"), "b").join(one("a"), "a").select("a", "b", "ta", "tb").mapInArrow(compare, "a BIGINT, b BIGINT")
 
 
-def _links(docs: DataFrame, described: DataFrame, words: int, percent: int) -> DataFrame:
+def _links(docs: DataFrame, described: DataFrame, sets: DataFrame, words: int, percent: int, names: tuple) -> DataFrame:
     """Enough verified links between sets (by node) that every component of the whole link relation is one of theirs.
 
     A pair needs no look once both of its sets are in one component.  So the sets of an n-gram are first held against one of them, in
@@ -177,16 +203,12 @@ def _links(docs: DataFrame, described: DataFrame, words: int, percent: int) -> D
     pairs across components are candidates, all of them.  A large group of near copies thus costs about one pair a member."""
     spark = docs.sparkSession
     freq = spark.sparkContext.broadcast(_frequencies(described))
-    sets = cut(described.where(F.col("node").isNotNull()).groupBy("node").agg(F.first("n").alias("n"), F.first("hist").alias("hist"), F.min("doc_id").alias("doc_id"),
-                                                                             (F.min("check") != F.max("check")).alias("clash")), "sets")
-    if not sets.where("clash").isEmpty():
-        raise ValueError("two different sets share a 64-bit digest; choose another multiplier")
-    prefix = _prefixes(docs, freq, words, percent)
+    prefix = _prefixes(docs, freq, words, percent, names)
     shared = cut(prefix.groupBy("gram").agg(F.count(F.lit(1)).alias("many"), F.min_by("node", "pos").alias("pivot"), F.min("pos").alias("at"))
                  .where(F.col("many") > 1).drop("many"), "shared")
     rows = cut(prefix.join(shared, "gram"), "prefixes")      # both sides are shuffled for the join, so Spark may divide a hot n-gram
     wanted = rows.select("node").distinct().join(sets.select("node", "doc_id"), "node").select("doc_id").distinct()
-    texts = cut(_with_node(docs.join(wanted, "doc_id"), words), "texts")
+    texts = cut(_with_node(docs.join(wanted, "doc_id"), words, names), "texts")
     release(spark)
 
     def verified(found):
@@ -211,17 +233,24 @@ def _links(docs: DataFrame, described: DataFrame, words: int, percent: int) -> D
     return out
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+                digest_bits: int = 64) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``, the least id that can be reached over links.
 
     Two texts link when 100 * shared >= ``percent`` * all of their distinct ``words``-word shingles (A-Z lower-cased, words between
     blanks).  A text of fewer words counts as one shingle; null, empty and blank texts have none and link with nothing.  Equal sets
     always link, so they are looked at once.  Rows repeated with one id keep their own sizes and link by their own texts; a row without
-    an id cannot be named, so it links with nothing and has a null component.  Further columns are ignored; an empty table gives no
+    an id cannot be named, so it links with nothing and has a null component.  Sets go by ``digest_bits`` of a digest; those that share it
+    with another set go by two digests together.  Further columns are ignored; an empty table gives no
     rows."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    described = cut(_describe(rows, words), "described")
-    root = _links(rows.where(F.col("doc_id").isNotNull()), described.where(F.col("doc_id").isNotNull() | F.col("block").isNotNull()), words, percent)
+    described = cut(_describe(rows, words, digest_bits), "described")
+    sets = _sets(described)
+    shared = np.array(sorted(r["node"] for r in sets.where("clash").select("node").collect()), np.int64)
+    if len(shared):
+        described = cut(_renamed(described, shared), "described")
+        sets = _sets(described)
+    root = _links(rows.where(F.col("doc_id").isNotNull()), described, sets, words, percent, (shared, digest_bits))
     plain = described.where(F.col("n").isNotNull()).withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
     least = plain.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = least.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
