@@ -149,6 +149,17 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) { x = "<
 <form><p>Leave your address here to get our weekly letter.</p></form><footer><p>&copy; 2020 Site, all rights reserved.</p></footer></body></html>"""
 
 
+def test_main_text_of_odd_markup():
+    prose = "A sentence of the article that is long enough to be kept as its text."
+    for mark in ('<p title="a>b>c>d>e>f>g>h>i>j">', "<p title='one > two'>", '<p title = "it\'s > that" data-x=a>', "<p title=it's>", '<p title="not closed>'):
+        assert main_text(f"<main>{mark}{prose}</p></main>") == prose, mark
+    assert main_text(f"<form><input name=q><main><p>{prose}</p></main><button>Send</button></form>") == prose
+    assert main_text(f"<div class=sidebar><article><p>{prose}</p></article></div><p>{prose}</p>") == prose
+    got = main_text(f"<body><p>{prose}</p><ul><li>first short item</li><li>one more item</li><li>the third item</li></ul><p>{prose}</p></body>")
+    assert got == "\n\n".join([prose, "first short item", "one more item", "the third item", prose])
+    assert main_text(f"<main><p>{prose} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></main>") == f"{prose} x=2 holds."
+
+
 def test_main_text():
     assert main_text(PAGE).split("\n\n") == ["A title", "First paragraph & more, with a link and some length to it.", "Second, bold broken.", "Café – end."]
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""

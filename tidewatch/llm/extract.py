@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 # Element names of the HTML standard by how they take part in the layout, and usual names of page parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe textarea xmp title noembed noframes svg math".split())
+RAW = frozenset("script style template noscript iframe textarea xmp title noembed noframes svg".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head
     header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul""".split())
 ENDS_SIBLING = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr", ("table",)), "td": ("td th", ("tr", "table")),
@@ -22,10 +22,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs
     footer cookie cookies consent notice alert newsletter subscribe subscription signup login share sharing social related recommended comment comments disqus reply
     replies widget popup modal toolbar pagination pager tags copyright legal disclaimer masthead""".split())
-PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption dd".split())
+PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption dd dt li".split())
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+TAG_REST = re.compile(r"""(?:[^>=]|=\s*+(?:"[^"]*"|'[^']*')?)*+>""")       # a sign > in a quoted value does not end the tag
 TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 
+FORM = 2                  # page part "form", set apart from the others
 SCALE = 100               # costs are rounded to hundredths, capacities are whole numbers
 NEAR = 8                  # steps up the tree by which the distance of two blocks is measured
 
@@ -49,10 +51,16 @@ def _attributes(tag: str) -> dict[str, str]:
 
 
 def _child(name: str, tag: str, parent: _Node) -> _Node:
-    """A new element: what page part it or an element around it is, and whether it lies in the article or in a link."""
+    """A new element: what page part it or an element around it is, and whether it lies in the article or in a link.
+
+    A form may be put around a whole page, so an article in it is none of its fields."""
     bad, good = parent.bad, parent.good
     if name in ("article", "main"):
         good = True
+        if bad == FORM:
+            bad = False
+    elif name == "form" and not bad:
+        bad = FORM
     elif name in PARTS or name == "header" and not good:
         bad = True
     if "=" in tag or "hidden" in tag:
@@ -64,6 +72,8 @@ def _child(name: str, tag: str, parent: _Node) -> _Node:
             bad = True
         if a.get("role") == "main" or a.get("itemprop") == "articleBody":
             good = True
+            if bad == FORM:
+                bad = False
     return _Node(name, parent, bad, good, parent.link or name == "a")
 
 
@@ -121,13 +131,9 @@ def blocks_of(page: str) -> list[Block]:
                 add("<")
                 pos = lt + 1
             continue
-        gt = page.find(">", m.end())
-        for _ in range(8):                      # a sign > inside quotes does not end the tag
-            tag = page[m.end():gt if gt >= 0 else end]
-            if gt < 0 or tag.count('"') % 2 == 0:
-                break
-            gt = page.find(">", gt + 1)
-        pos = gt + 1 if gt >= 0 else end
+        rest = TAG_REST.match(page, m.end())
+        tag = rest[0][:-1] if rest else page[m.end():]
+        pos = rest.end() if rest else end
         name = m[1].lower()
         if page[lt + 1] == "/":
             if name in BLOCK:
