@@ -12,9 +12,10 @@ def _with_min(edges: DataFrame) -> DataFrame:
     """Adds ``m``, the least neighbour of ``u``.
 
     The minimum of a node is repeated for two slices of its edges, so both sides of the join are shuffled for it and Spark may divide the
-    edges of a node of very high degree over several tasks.  The plan is the same at every size."""
+    edges of a node of very high degree over several tasks.  The plan is the same at every size: there are as many minima as nodes, and
+    the files of a round hold long, similar names in few bytes, so Spark would take them for small and send all of them to the driver."""
     m = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("_slice", F.explode(F.array(F.lit(0), F.lit(1))))
-    return edges.withColumn("_slice", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int")).join(m, ["u", "_slice"]).drop("_slice")
+    return edges.withColumn("_slice", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int")).join(m.hint("merge"), ["u", "_slice"]).drop("_slice")
 
 
 def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
