@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidewatch.operators.components import _with_min, connected_components
+from tidewatch.operators.ingest import to_processed
 from tidewatch.plans.catalog.base import query
 from tidewatch.session import checkpointed
 
@@ -27,3 +28,23 @@ def test_compressed_files_are_not_taken_for_small_tables(spark):
         return rows.join(rows.withColumnRenamed("node", "other"), "id")
     spark.conf.unset("spark.sql.sources.fileCompressionFactor")
     assert "BroadcastHashJoin" not in plan(joined(spark, ""))
+
+
+def _raw(spark):
+    return spark.createDataFrame([("web_a", 1, "page_view", "{}"), ("web_b", 2, "page_view", "{}"), ("web_c", 3, "page_view", "{}")],
+                                 "website_id STRING, event_id BIGINT, event_type STRING, attributes STRING").select(
+        "*", *[F.lit(None).cast("string").alias(c) for c in ("session_id", "user_id", "source_ip", "user_agent", "method", "endpoint")],
+        F.lit("sdk").alias("source"), F.lit(None).cast("int").alias("status_code"), F.current_timestamp().alias("timestamp"), F.lit('{"a":1}').alias("raw"))
+
+
+def test_stored_events_are_not_shuffled_by_tenant(spark):
+    sites = spark.createDataFrame([("web_a", True), ("web_b", False)], "website_id STRING, retain_raw_data BOOLEAN").repartition(3).groupBy("website_id").agg(
+        F.max("retain_raw_data").alias("retain_raw_data"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = to_processed(_raw(spark), sites)
+        assert "hashpartitioning(website_id" not in plan(out)
+        assert {r.event_id: r.raw_data for r in out.select("event_id", "raw_data").collect()} == {1: '{"a":1}', 2: None, 3: None}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
