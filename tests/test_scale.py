@@ -1,9 +1,12 @@
 """Plans that must not change with the size of the files: what goes through the driver, and which rows meet in one task."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators.components import _with_min, connected_components
 from tidewatch.operators.ingest import to_processed
+from tidewatch.operators.rules import touched_events
 from tidewatch.plans.catalog.base import query
 from tidewatch.session import checkpointed
 
@@ -48,3 +51,19 @@ def test_stored_events_are_not_shuffled_by_tenant(spark):
         assert {r.event_id: r.raw_data for r in out.select("event_id", "raw_data").collect()} == {1: '{"a":1}', 2: None, 3: None}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_events_without_a_key_do_not_meet_in_one_task(spark):
+    rows = [("w", 1, "1.1.1.1", None, 10), ("w", 2, "1.1.1.1", "s", 20), ("w", 3, None, None, 5), ("w", 4, "2.2.2.2", "", 30), ("w", 5, "", "s", 1), ("v", 6, "1.1.1.1", None, 20)]
+    store = spark.createDataFrame(rows, "website_id STRING, event_id INT, source_ip STRING, session_id STRING, ts_us BIGINT")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = touched_events(store.where("event_id = 2"), store, None)
+        assert sorted(r.event_id for r in out.collect()) == [1, 2, 5]
+        assert sorted(r.event_id for r in touched_events(store.where("event_id = 3"), store, 24).collect()) == [3]
+        text = plan(out)
+        keyed = re.findall(r"hashpartitioning\(([^)]*), \d+\), ENSURE", text)
+        assert keyed and any("_slice" in k for k in keyed)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -420,9 +420,9 @@ def touched_events(new_events: DataFrame, store: DataFrame, hours: float | None
     since = F.min("ts_us") - F.lit(int(hours * 3600 * MICROS)) if hours is not None else F.min(F.lit(-(2**62)))
     found = []
     for key in _who(new_events):
-        first = new_events.groupBy(F.col("website_id").alias("_w"), key.alias("_k")).agg(since.alias("_since")).where(F.col("_k").isNotNull())
-        own = (F.col("website_id") == F.col("_w")) & (key == F.col("_k")) & (F.col("ts_us") >= F.col("_since"))
-        found.append(store.join(first, own, "left_semi"))
+        first = new_events.groupBy("website_id", key.alias("_k")).agg(since.alias("_since")).where(F.col("_k").isNotNull())
+        rows = store.withColumn("_k", key).where(F.col("_k").isNotNull())           # or all rows without such a key would meet in one task
+        found.append(spread_join(rows, first, ["website_id", "_k"]).where(F.col("ts_us") >= F.col("_since")).select(*store.columns))
     # only what a batch touches is made distinct; columns that cannot be compared do not matter, an event is its tenant and id
     return reduce(DataFrame.unionByName, found).dropDuplicates(["website_id", "event_id"])
 

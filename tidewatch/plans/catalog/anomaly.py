@@ -108,12 +108,15 @@ def ingest_stream(spark, sf):
 
 @query
 def detect_stream(spark, sf):
-    """Six files of shuffled events, two a micro-batch: what is current after the last batch is what one run over all events finds."""
+    """Six lots of shuffled events, two a micro-batch: what is current after the last batch is what one run over all events finds.
+
+    A lot is one file up to 200,000 events and more files beyond, so no task reads or writes a fixed share of a table of any size."""
     from tidewatch.plans.catalog.rules import P as RP
     src, found, seen, ck = (scratch_path(spark, n) for n in ("detect-in", "detect-findings", "detect-analysed", "detect-state"))
     e = events(spark, sf)
-    e.repartition(6, F.xxhash64("event_id")).write.parquet(f"{src}/batch=0")
-    J.detect_stream(spark, src, e.schema, found, seen, ck, Detection(**{**RP.__dict__, "lookback_hours": None}), once=True, per_trigger=2).awaitTermination()
+    files = max(1, -(-e.count() // 1_200_000))
+    e.repartition(6 * files, F.xxhash64("event_id")).write.parquet(f"{src}/batch=0")
+    J.detect_stream(spark, src, e.schema, found, seen, ck, Detection(**{**RP.__dict__, "lookback_hours": None}), once=True, per_trigger=2 * files).awaitTermination()
     return J.current_findings(spark, found, seen).select("website_id", "rule_id", "subject", "event_id", "confidence")
 
 
