@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import masking as M
 from tidewatch.operators.components import _with_min, connected_components
 from tidewatch.operators.ingest import to_processed
 from tidewatch.operators.rules import touched_events
@@ -67,3 +68,17 @@ def test_events_without_a_key_do_not_meet_in_one_task(spark):
         assert keyed and any("_slice" in k for k in keyed)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_masks_look_only_at_texts_that_can_hold_a_secret(spark):
+    odd = ["eyJabcdef.abcdef12.abcdefgh x", "BEARER abcdefghijk", "bEaReR  abcdefgh12", "paſſword=hunter2", "toKen: abc", "api-Key : zz9", "a@b.co",
+           "4111 1111 1111 1111", "٤" * 13, "x1234567890123", "1234-5678-9012-3", "1" * 20, None, "", "plain text of no interest"]
+    d = spark.createDataFrame(list(enumerate(odd)), "id INT, t STRING")
+
+    def plain(c):
+        for pattern, by in (("(?U)" + M.JWT, M.REDACTED), ("(?U)" + M.BEARER, "Bearer " + M.REDACTED), ("(?U)" + M.KEY_VALUE, "$1=" + M.REDACTED), (M.EMAIL, "[EMAIL]"), ("(?U)" + M.CARD, "[NUMBER]")):
+            c = F.regexp_replace(c, pattern, by)
+        return c
+    rows = d.select("id", M.mask_text(F.col("t")).alias("a"), plain(F.col("t")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    assert "contains(" in plan(d.select(M.mask_text(F.col("t")).alias("a"))).lower()
