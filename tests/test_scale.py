@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidewatch.functions import masking as M
+from tidewatch.functions.metrics import safe_metrics
 from tidewatch.operators.components import _with_min, connected_components
 from tidewatch.operators.ingest import to_processed
 from tidewatch.operators.rules import touched_events
@@ -82,3 +83,12 @@ def test_masks_look_only_at_texts_that_can_hold_a_secret(spark):
     rows = d.select("id", M.mask_text(F.col("t")).alias("a"), plain(F.col("t")).alias("b")).collect()
     assert [r.a for r in rows] == [r.b for r in rows]
     assert "contains(" in plan(d.select(M.mask_text(F.col("t")).alias("a"))).lower()
+
+
+def test_metrics_are_made_safe_once(spark):
+    m = F.create_map(F.lit("a"), F.col("x"), F.lit("o"), F.to_json(F.struct("x", F.struct("x").alias("deep"))))
+    rows = spark.createDataFrame([("seen <b>",), ("10.0.0.1",), ("[1,2]",), ("1.23456",)], "x STRING")
+    out = rows.select(safe_metrics(m).alias("m"))
+    assert plan(out).count("from_json") == 1
+    assert [r.m for r in out.collect()] == [{"a": "seen b", "o": '{"x":"seen b"}'}, {}, {"a_count": "2", "o": '{"x_count":"2"}'},
+                                            {"a": "1.2346", "o": '{"x":"1.2346"}'}]

@@ -22,18 +22,24 @@ def safe_metrics(m: Column, n: int = 80, depth: int = 1) -> Column:
     Objects are reduced in the same way, ``depth`` levels deep, and stay as JSON objects of texts; empty and deeper ones are dropped."""
     kept = F.filter(F.map_entries(m), lambda e: ~F.lower(e["key"]).isin(*IDENTIFYING) & e["value"].isNotNull())
 
+    def worked_out(e):
+        """What an entry needs more than once: inside a function on arrays, Spark works an expression out wherever it is named."""
+        is_object = e["value"].startswith("{")
+        inner = safe_metrics(F.when(is_object, F.from_json(e["value"], "map<string,string>")), n, depth - 1) if depth else F.lit(None)
+        return F.struct(e["key"].alias("key"), e["value"].alias("value"), is_object.alias("is_object"), inner.alias("inner"),
+                        F.when(~is_object, safe_text(e["value"], n)).alias("text"))
+
     def entry(e):
-        is_list, is_object = e["value"].startswith("["), e["value"].startswith("{")
+        is_list, is_object = e["value"].startswith("["), e["is_object"]
         plain = e["value"].rlike(_NUMBER) | e["value"].isin("true", "false")
         number = F.when(e["value"].contains("."), F.round(e["value"].cast("double"), 4).cast("string")).otherwise(e["value"])
-        text = safe_text(e["value"], n)
+        text = e["text"]
         ok = (text != "") & ~text.contains(IP_PLACEHOLDER) & ~text.rlike(_QUAD)
         value = F.when(is_list, F.coalesce(F.json_array_length(e["value"]), F.lit(0)).cast("string")).when(plain, number)
         if depth:
-            inner = safe_metrics(F.from_json(e["value"], "map<string,string>"), n, depth - 1)
-            value = value.when(is_object & (F.size(inner) > 0), F.to_json(inner))
+            value = value.when(is_object & (F.size(e["inner"]) > 0), F.to_json(e["inner"]))
         value = value.when(ok & ~is_object, text)
         key = safe_text(e["key"], 40)
         return F.struct(F.when(is_list, F.concat(key, F.lit("_count"))).otherwise(key).alias("key"), value.alias("value"))
-    out = F.filter(F.transform(kept, entry), lambda e: e["value"].isNotNull() & (e["key"] != ""))
+    out = F.filter(F.transform(F.transform(kept, worked_out), entry), lambda e: e["value"].isNotNull() & (e["key"] != ""))
     return F.map_from_entries(out)

@@ -11,6 +11,7 @@ from tidewatch.functions import text as TX
 from tidewatch.functions.metrics import safe_metrics as metrics_map
 from tidewatch.operators import ingest as I
 from tidewatch.operators import sessions as S
+from tidewatch.operators.ordered import once
 from tidewatch.params import SENSITIVE_PATHS
 from tidewatch.plans.catalog.base import ORACLE_VIEWS, events, fx, joined, query, table
 from tidewatch.session import scratch_path
@@ -264,7 +265,8 @@ def safe_metrics(spark, sf):
                      F.lit("status"), F.col("status_code").cast("string"), F.lit("kinds"), F.to_json(F.array("event_type")),
                      F.lit("inner"), F.to_json(F.struct(F.col("event_id").alias("n"), "user_id", F.array(F.col("event_id").cast("string"), "event_type").alias("ids"), F.struct(F.lit(1).alias("deep")).alias("far"))),
                      F.lit("barred"), F.to_json(F.struct("user_id")))
-    m = metrics_map(m)
+    e = once(e.select("event_id", m.alias("given")), "made", metrics_map(F.col("given")))          # one map for all columns
+    m = F.col("made")
     return e.select("event_id", m["status"].alias("status"), m["kinds_count"].alias("kinds_count"), m["note"].alias("note"),
                     m["source_ip"].alias("source_ip"), m["inner"].alias("inner"), m["barred"].alias("barred"))
 
