@@ -9,6 +9,7 @@ from tidewatch.functions.metrics import safe_metrics
 from tidewatch.operators.components import _with_min, connected_components
 from tidewatch.operators.ingest import to_processed
 from tidewatch.operators.rules import touched_events
+from tidewatch.operators.sessions import session_counts
 from tidewatch.plans.catalog.base import query
 from tidewatch.session import checkpointed
 
@@ -92,3 +93,16 @@ def test_metrics_are_made_safe_once(spark):
     assert plan(out).count("from_json") == 1
     assert [r.m for r in out.collect()] == [{"a": "seen b", "o": '{"x":"seen b"}'}, {}, {"a_count": "2", "o": '{"x_count":"2"}'},
                                             {"a": "1.2346", "o": '{"x":"1.2346"}'}]
+
+
+def test_distinct_counts_do_not_repeat_whole_events(spark):
+    rows = [("w", "s", "1.1.1.1", "u1", "login_failure", "/a"), ("w", "s", "1.1.1.1", "u2", "page_view", "/a"), ("w", "s", "2.2.2.2", "", "page_view", "/b"),
+            ("w", "t", None, None, "page_view", ""), (None, "s", "1.1.1.1", "u1", "login_failure", None)]
+    e = spark.createDataFrame(rows, "website_id STRING, session_id STRING, source_ip STRING, user_id STRING, event_type STRING, path STRING").select(
+        "*", F.monotonically_increasing_id().alias("event_id"), F.lit(1).cast("bigint").alias("ts_us"), F.struct(
+            "path", (F.col("event_type") == "page_view").alias("is_request_event"), F.lit(0).alias("interaction_total"), F.lit(False).alias("is_sensitive_endpoint"),
+            F.lit(False).alias("is_error_status"), F.lit("browser").alias("ua_class"), F.lit(False).alias("webdriver")).alias("features"))
+    out = session_counts(e)
+    assert "Expand" not in plan(out)
+    names = ["source_ip_count", "user_count", "distinct_paths", "distinct_failed_users", "event_count"]
+    assert {(r.website_id, r.session_key): tuple(r[n] for n in names) for r in out.collect()} == {("w", "s"): (2, 2, 2, 1, 3), ("w", "t"): (0, 0, 0, 0, 1), (None, "s"): (1, 1, 0, 1, 1)}
