@@ -106,3 +106,20 @@ def test_distinct_counts_do_not_repeat_whole_events(spark):
     assert "Expand" not in plan(out)
     names = ["source_ip_count", "user_count", "distinct_paths", "distinct_failed_users", "event_count"]
     assert {(r.website_id, r.session_key): tuple(r[n] for n in names) for r in out.collect()} == {("w", "s"): (2, 2, 2, 1, 3), ("w", "t"): (0, 0, 0, 0, 1), (None, "s"): (1, 1, 0, 1, 1)}
+
+
+def test_a_round_of_components_plans_its_edges_once(spark, monkeypatch):
+    from tidewatch.operators import components
+    rounds, cut = [], components._cut
+    monkeypatch.setattr(components, "_cut", lambda df: rounds.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(i + 1, i) for i in range(6)], "u BIGINT, v BIGINT")
+    assert {tuple(r) for r in connected_components(edges, "u", "v").collect()} == {(i, 0) for i in range(7)}
+    assert len(rounds) > 1 and all(p.count("Relation") <= 4 and "Union" not in p for p in rounds[1:])    # rows and minima of two joins
+
+
+def test_findings_of_the_correlation_queries_are_read_not_worked_out_again(spark):
+    from tidewatch.plans.catalog import correlate
+    sf = "/root/testdata/sf0.001"
+    found, by_reference = correlate.findings(spark, sf), correlate.cited(spark, sf)
+    assert all("Window" not in plan(x) and "Join" not in plan(x) for x in (found, by_reference.members))
+    assert found.count() > 0

@@ -24,6 +24,12 @@ def _cut(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
     return out, (int(seen["n"] or 0), int(seen["h"] or 0))
 
 
+def _pairs(rows: DataFrame, *sides: tuple[str, str]) -> DataFrame:
+    """Every row as one (u, v) per side.  A union would hold the plan of ``rows`` once per side, and the driver would plan and keep a round
+    many times over."""
+    return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in sides])).alias("_p")).select("_p.u", "_p.v")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
@@ -32,12 +38,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     a, b = F.col(src), F.col(dst)
     e, mark = _cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = _with_min(both).withColumn("m", F.least("u", "m"))
+        near = _with_min(_pairs(e, ("u", "v"), ("v", "u"))).withColumn("m", F.least("u", "m"))
         large = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = _with_min(large)
-        small = (down.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        small = _pairs(_with_min(large), ("v", "m"), ("u", "m")).where(F.col("u") != F.col("v")).distinct()
         after, new = _cut(small)
         drop_checkpoint(e)
         e = after
