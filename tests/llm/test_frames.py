@@ -278,3 +278,53 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     # of texts equal but for blanks the longest stays, then the least id; here all are of one length
     assert set(out) == set(range(40))
     assert out[5].decoded_sha256 == hashlib.sha256(clean[5].encode()).hexdigest()
+
+
+def _exact_tree(train):
+    """Code length of a text by the weighted tree of whole contexts, node by node in dictionaries."""
+    nodes = [{} for _ in range(5)]
+
+    def steps(text):
+        for i, byte in enumerate(text + b"\xff"):
+            before = (b"\xff" * 4 + text)[i:i + 4][::-1]
+            for level in range(8):
+                yield before, (1 << level) | byte >> (8 - level), byte >> (7 - level) & 1
+    for text in train:
+        for before, node, bit in steps(text):
+            for d in range(5):
+                nodes[d].setdefault((before[:d], node), [0, 0])[bit] += 1
+    inner, weight = Counter(), [{} for _ in range(5)]
+    for d in range(4, -1, -1):
+        longer, inner = inner, Counter()
+        for (context, node), (a, b) in nodes[d].items():
+            kt = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+            both = kt if d == 4 else np.logaddexp(kt, longer[(context, node)]) - math.log(2)
+            weight[d][(context, node)] = (b + 0.5) / (a + b + 1), 1 if d == 4 else math.exp(kt - math.log(2) - both)
+            if d:
+                inner[(context[:-1], node)] += both
+
+    def bits(text):
+        total = 0
+        for before, node, bit in steps(text):
+            seen = [weight[d][(before[:d], node)] for d in range(4, -1, -1) if (before[:d], node) in weight[d]]
+            q = seen[0][0] if seen else 0.5
+            for p, own in seen[1:]:
+                q = own * p + (1 - own) * q
+            total -= math.log2(q if bit else 1 - q)
+        return total
+    return bits
+
+
+def test_scores_by_a_tree_whose_nodes_share_no_counter(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "KNOWN_GRAMS", 300)                # most contexts then take the way of the join
+    monkeypatch.setattr(ctw, "SLOT_BITS", (8, 16, 6, 6, 6))     # where nodes share counters by hash, very many meet in one
+    small = ctw._by_context
+    monkeypatch.setattr(ctw, "_by_context", lambda batches: small(batches, 50))
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i == 3 else " ".join(rng.choice(["tree", "trees", "three", "où", "été", "x1", "\t"], rng.integers(0, 30)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    bits = _exact_tree([(t or "").encode() for i, t in rows if i % 4])
+    got = {r.doc_id: r.score for r in ctw.scores(docs, F.col("doc_id") % 4 == 0).collect()}
+    assert len(got) == 40
+    for i, t in rows:
+        assert math.isclose(got[i], -bits((t or "").encode()) * math.log10(2), rel_tol=1e-9, abs_tol=1e-9)
