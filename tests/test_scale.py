@@ -123,3 +123,14 @@ def test_findings_of_the_correlation_queries_are_read_not_worked_out_again(spark
     found, by_reference = correlate.findings(spark, sf), correlate.cited(spark, sf)
     assert all("Window" not in plan(x) and "Join" not in plan(x) for x in (found, by_reference.members))
     assert found.count() > 0
+
+
+def test_timeline_works_nothing_out_twice(spark, monkeypatch):
+    from tidewatch.operators import timeline as T
+    from tidewatch.plans.catalog import timeline as catalog
+    sf = "/root/testdata/sf0.001"
+    events, found, incidents = catalog.incident_events(spark, sf), catalog.cited_findings(spark, sf), catalog.incidents(spark, sf)
+    whole = T.timeline(events, found, incidents, catalog.P)
+    text = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window") == 0 and whole.count() > incidents.count()      # entries were numbered once, when they were written
+    assert whole.where("evidence_type NOT IN ('system', 'ai_inference')").count() == T.timeline(events, found, None, catalog.P).count()
