@@ -33,3 +33,11 @@ def test_citations_meet_events_and_groups_in_one_join(spark):
     both = T.cited_in_incident(found, events).join(at, ["website_id", "event_id"])
     one = T.cited_in_incident(found, rows, "group_event")
     assert one.count() == both.count() > 0 and one.select(*both.columns).exceptAll(both).isEmpty()
+
+
+def test_edges_are_not_worked_out_again_to_be_numbered(spark):
+    from tidewatch.plans.catalog.base import fx
+    edges = T.graph_edges(catalog.incident_events(spark, SF), catalog.groups(spark, SF), catalog.rows(spark, SF), fx(spark, SF, "fx_links"), catalog.cited_findings(spark, SF))
+    assert plan(edges).count("Join ") == 1 and "Union" not in plan(edges)         # rows and the sizes of their buckets
+    numbers = edges.groupBy("website_id", "incident_id").agg(F.count("*").alias("n"), F.max("edge_no").alias("last"), F.count_distinct("edge_no").alias("d"))
+    assert numbers.where("n <> last OR n <> d").isEmpty() and edges.count() > 0
