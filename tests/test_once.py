@@ -41,3 +41,10 @@ def test_edges_are_not_worked_out_again_to_be_numbered(spark):
     assert plan(edges).count("Join ") == 1 and "Union" not in plan(edges)         # rows and the sizes of their buckets
     numbers = edges.groupBy("website_id", "incident_id").agg(F.count("*").alias("n"), F.max("edge_no").alias("last"), F.count_distinct("edge_no").alias("d"))
     assert numbers.where("n <> last OR n <> d").isEmpty() and edges.count() > 0
+
+
+def test_groups_are_not_worked_out_again_to_be_numbered(spark):
+    rows = catalog.rows(spark, SF)
+    table = T.group_table(rows)
+    assert plan(table).count("Aggregate") == 1                                    # sizes of buckets; the groups themselves are read
+    assert table.agg(F.sum("n")).first()[0] == rows.count() > 0
