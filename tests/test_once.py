@@ -48,3 +48,19 @@ def test_groups_are_not_worked_out_again_to_be_numbered(spark):
     table = T.group_table(rows)
     assert plan(table).count("Aggregate") == 1                                    # sizes of buckets; the groups themselves are read
     assert table.agg(F.sum("n")).first()[0] == rows.count() > 0
+
+
+def test_rules_are_worked_out_once_for_findings_and_citations(spark, monkeypatch):
+    from tidewatch.operators import rules as R
+    from tidewatch.plans.catalog import rules
+    from tidewatch.plans.catalog.base import _STORED
+    made, real = [], R.all_rules
+    monkeypatch.setattr(R, "all_rules", lambda *a: made.append(real(*a)) or made[-1])
+    for name in ("findings", "finding_links", "finding_members"):
+        monkeypatch.delitem(_STORED, (spark.sparkContext.applicationId, SF, name), raising=False)
+    monkeypatch.setattr(rules, "_DETECTED", {}, raising=False)
+    found, cited = rules.findings(spark, SF), rules.cited(spark, SF)
+    assert len(made) == 1
+    assert "Window" not in plan(made[0].hits) and "Window" not in plan(made[0].cites)
+    pairs = cited.pairs().groupBy("finding_id").agg(F.count("*").alias("n"))
+    assert found.join(pairs, "finding_id", "left").where("n IS NULL OR n <> cited_events").isEmpty() and found.count() > 0
