@@ -1,5 +1,7 @@
 """Steps with several readers are worked out once, and rows are shuffled once for them."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewatch.operators import timeline as T
@@ -64,3 +66,16 @@ def test_rules_are_worked_out_once_for_findings_and_citations(spark, monkeypatch
     assert "Window" not in plan(made[0].hits) and "Window" not in plan(made[0].cites)
     pairs = cited.pairs().groupBy("finding_id").agg(F.count("*").alias("n"))
     assert found.join(pairs, "finding_id", "left").where("n IS NULL OR n <> cited_events").isEmpty() and found.count() > 0
+
+
+def test_a_batch_is_validated_once_for_accepted_and_rejected_rows(spark, monkeypatch, tmp_path):
+    from tidewatch.streaming import jobs
+    seen, real = [], jobs._write_batch
+    monkeypatch.setattr(jobs, "_write_batch", lambda df, *a: seen.append(df._jdf.queryExecution().withCachedData().toString()) or real(df, *a))
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.json").write_text('{"events": [{"event_type": "page_view", "endpoint": "/a"}, {"event_type": "no_such"}, 7]}')
+    ev, bad, state = (str(tmp_path / n) for n in ("events", "rejects", "state"))
+    jobs.ingest_stream(spark, str(source), ev, bad, state, "w", once=True).awaitTermination()
+    assert (spark.read.parquet(ev).count(), spark.read.parquet(bad).count()) == (1, 2)
+    assert len(seen) == 2 and all(re.search(r"InMemoryRelation \[[^\]]*errors", x) for x in seen)
