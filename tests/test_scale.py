@@ -134,3 +134,21 @@ def test_timeline_works_nothing_out_twice(spark, monkeypatch):
     text = whole._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Window") == 0 and whole.count() > incidents.count()      # entries were numbered once, when they were written
     assert whole.where("evidence_type NOT IN ('system', 'ai_inference')").count() == T.timeline(events, found, None, catalog.P).count()
+
+
+def test_repeats_of_a_spread_join_count_in_its_size(spark):
+    """16 repeats of 1000 rows are over the threshold, 1000 rows are not: they must not be sent through the driver."""
+    from tidewatch.operators.ordered import spread_join
+    big = spark.range(5000).select((F.col("id") % 1200).alias("k"), F.col("id").alias("event_id"))
+    small = spark.range(1000).select(F.col("id").alias("k"), F.struct((F.col("id") * 2).alias("twice")).alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for threshold, sent in (("60000", False), ("10m", True)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            out = {how: spread_join(big, small, ["k"], how) for how in ("inner", "left", "left_semi")}
+            assert all(("BroadcastHashJoin" in plan(d)) == sent for d in out.values())
+            assert {(r.k, r.event_id, r.v.twice) for r in out["inner"].collect()} == {(i % 1200, i, i % 1200 * 2) for i in range(5000) if i % 1200 < 1000}
+            assert out["left"].where("v IS NULL").count() == sum(i % 1200 >= 1000 for i in range(5000))
+            assert out["left"].count() == 5000 and out["left_semi"].count() == out["inner"].count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
