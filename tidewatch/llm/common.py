@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import release as release
 from tidewatch.session import scratch_path
 
 HOT_KEYS = 1000        # at most so many keys are ever broadcast as hot
@@ -55,10 +53,3 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     """Values of a string or binary Arrow column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
-    for _ in range(2):          # the first lets go of plans, the second of what only they held
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)

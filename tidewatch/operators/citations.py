@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordered import spread_join
+from tidewatch.operators.ordered import SPLIT, spread_join
 from tidewatch.session import checkpointed
 
 GROUP = ["website_id", "group_id"]
@@ -35,20 +35,21 @@ class Citations:
         return Citations(checkpointed(self.links), checkpointed(self.members))
 
     def _members(self, groups: DataFrame, how: str = "inner") -> DataFrame:
-        return spread_join(self.members, groups, GROUP, how)
+        return spread_join(self.members, groups, GROUP, how, n=SPLIT)
 
     def events(self, findings: DataFrame | None = None) -> DataFrame:
         """Distinct (website_id, event_id) that any finding, or one of ``findings``, cites."""
         links = self.links if findings is None else self.links.join(findings.select("website_id", "finding_id"), ["website_id", "finding_id"], "left_semi")
         return self._members(links.select(*GROUP).distinct(), "left_semi").select("website_id", "event_id").distinct()
 
-    def tagged(self, tags: DataFrame) -> DataFrame:
+    def tagged(self, tags: DataFrame, distinct: bool = True) -> DataFrame:
         """Distinct (website_id, *further columns, event_id): events with the tags of the findings that cite them.
 
-        ``tags`` has website_id, finding_id and few distinct further values; they are made distinct by group before they meet its members."""
+        Callers that gather sets of tags can do without the rows being made distinct.  ``tags`` has website_id, finding_id and few distinct further values; they are made distinct by group before they meet its members."""
         more = [c for c in tags.columns if c not in ("website_id", "finding_id")]
         by_group = self.links.join(tags, ["website_id", "finding_id"]).select(*GROUP, *more).distinct()
-        return self._members(by_group).select("website_id", *more, "event_id").distinct()
+        rows = self._members(by_group).select("website_id", *more, "event_id")
+        return rows.distinct() if distinct else rows
 
     def pairs(self) -> DataFrame:
         """(website_id, finding_id, event_id) in full: as many rows as there are citations."""

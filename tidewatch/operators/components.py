@@ -30,14 +30,24 @@ def _pairs(rows: DataFrame, *sides: tuple[str, str]) -> DataFrame:
     return rows.select(F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in sides])).alias("_p")).select("_p.u", "_p.v")
 
 
+def _leaves(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) whose ``u`` has no other edge.  As v < u, the component of v is that of u, and its least node stays when u goes."""
+    one = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("v")).where("n = 1").select("u", "v")
+    return one.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node with an edge; the component is its least node.
 
-    Each round ends in a written table, and the table of the round before is deleted; only an edge count and a checksum come to the
-    driver.  Rounds go on until nothing changes."""
+    Nodes that hang on one smaller node take no part in the rounds, but get its component at the end.  Each round ends in a written
+    table, and the table of the round before is deleted; only an edge count and a checksum come to the driver.  Rounds go on until
+    nothing changes."""
     a, b = F.col(src), F.col(dst)
-    e, mark = _cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    while True:
+    whole, _ = _cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    leaves = checkpointed(_leaves(whole))
+    e, mark = _cut(whole.join(leaves.select("u"), "u", "left_anti"))
+    drop_checkpoint(whole)
+    while mark[0]:
         near = _with_min(_pairs(e, ("u", "v"), ("v", "u"))).withColumn("m", F.least("u", "m"))
         large = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _pairs(_with_min(large), ("v", "m"), ("u", "m")).where(F.col("u") != F.col("v")).distinct()
@@ -45,6 +55,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         drop_checkpoint(e)
         e = after
         if new == mark:
-            roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+            break
         mark = new
+    roots = e.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    inner = e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    hung = leaves.join(inner.withColumnRenamed("node", "v"), "v", "left").select(F.col("u").alias("node"), F.coalesce("component", "v").alias("component"))
+    alone = leaves.select(F.col("v").alias("node")).distinct().join(inner.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    return inner.unionByName(hung).unionByName(alone)

@@ -39,9 +39,11 @@ def detect(events: DataFrame, p: Detection = Detection(), model: Anomaly | None
 
 
 def correlate(events: DataFrame, findings: DataFrame, cited: Citations, p: Correlation = Correlation()) -> Correlated:
-    members = checkpointed(C.cluster_events(C.clusters(events, findings, cited, p), events))
+    seeds = checkpointed(C.seed_events(findings, events, cited))
+    groups = checkpointed(C.entity_groups(events, seeds))
+    members = checkpointed(C.cluster_events(C.clusters(events, findings, cited, p, seeds, groups), events))
     stages = checkpointed(C.detect_stages(members, findings, cited))
-    chain = C.chain_links(C.entity_groups(events, C.seed_events(findings, events, cited)), p)
+    chain = C.chain_links(groups, p)
     links = checkpointed(C.cluster_links(members, findings, chain, stages, p))
     return Correlated(members, stages, links, checkpointed(C.cluster_summary(members, findings, links, stages, p)))
 
