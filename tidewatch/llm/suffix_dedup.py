@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import bytes_of, cut, discard, release
-from tidewatch.llm.wordhash import mix, slices
+from tidewatch.llm.wordhash import _hash_runs, mix, slices
 
 LENGTH = 50
 # A perfect difference cover: of any two positions, one shift below PERIOD brings both onto COVER.  Fixed values.
@@ -21,6 +21,8 @@ LOT = 700_000                     # samples that a task gathers before it sends
 BLOCK_SAMPLES = 1_200_000           # samples, on average, that meet in one task
 BLOCK_NAMES = 700_000             # the same for named contexts and for contexts with their bytes
 BLOCK_CONTEXTS = 250_000
+BLOCK_BYTES = 300_000_000         # text, on average, whose pieces meet in one task
+REACH = 64                        # bytes on either side among which a border of pieces has the largest hash; a power of 2
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 
@@ -56,6 +58,19 @@ class Samples:
             self.rel = np.concatenate(places).astype(np.int64)
         self.core = _cores(self.buf, self.rel + self.begin[self.text])
 
+    def undecided(self, whole: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Which samples a string goes through that does not lie in one of its text's ranges ``whole`` (their begins and ends)."""
+        strings = np.maximum(self.size - LENGTH + 1, 0)
+        change = np.zeros(len(self.buf) + 1, np.int32)
+        for begin, (a, b) in zip(self.begin.tolist(), whole, strict=True):
+            long = b - a >= LENGTH
+            np.add.at(change, begin + a[long], 1)
+            np.add.at(change, begin + b[long] - LENGTH + 1, -1)
+        left = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) == 0)])
+        begin = self.begin[self.text]
+        low, high = np.maximum(self.rel - SIDE, 0), np.minimum(self.rel + 1, strings[self.text])
+        return left[begin + high] > left[begin + low]
+
     def contexts(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes on both sides of the chosen cores, zero where the text ends, and how many there are on the left and on the right."""
         padded = np.concatenate([np.zeros(SIDE, np.uint8), self.buf, np.zeros(LENGTH, np.uint8)])
@@ -77,8 +92,103 @@ def _borders(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, begin, end and name of every two neighbouring pieces of each text.
+
+    A piece ends where the hash of four bytes is the largest of those near, so what two texts have in common is cut alike in both."""
+    gap = bytes(REACH + 4)
+    buf = np.frombuffer(gap + b"".join(x for t in texts for x in (t, gap)), np.uint8)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    begin = len(gap) + np.cumsum(size + len(gap)) - size - len(gap)
+    h = np.ndarray(len(buf) - 3, np.dtype("<u4"), buf, strides=(1,)) * np.uint32(0x9E3779B1)
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    most, step = h, 1                                                # of the hashes from each place on
+    while step < REACH:
+        most = np.maximum(most[:-step], most[step:])
+        step *= 2
+    mid = np.arange(REACH, len(h) - REACH)
+    mid = mid[(h[REACH:-REACH] > most[:len(mid)]) & (h[REACH:-REACH] >= most[REACH + 1:REACH + 1 + len(mid)])]
+    text = np.searchsorted(begin, mid, side="right") - 1
+    ok = (text >= 0) & (mid > begin[text]) & (mid < begin[text] + size[text])
+    edge, text = np.concatenate([mid[ok], begin, begin + size]), np.concatenate([text[ok], np.arange(len(texts)), np.arange(len(texts))])
+    order = np.lexsort((edge, text))
+    edge, text = edge[order], text[order]
+    one = np.flatnonzero(text[1:] == text[:-1])
+    name, text, edge = _hash_runs(buf, edge[one], edge[one + 1]), text[one], np.stack([edge[one], edge[one + 1]])
+    pair = np.flatnonzero(text[1:] == text[:-1])
+    alone = np.flatnonzero(np.bincount(text, minlength=len(texts))[text] == 1)
+    who, start, end = (np.concatenate(x) for x in ((text[pair], text[alone]), (edge[0][pair], edge[0][alone]), (edge[1][pair + 1], edge[1][alone])))
+    return who, start - begin[who], end - begin[who], np.concatenate([mix(mix(name[pair] * _A) ^ name[pair + 1]), name[alone]])
+
+
+def _copied(rows: DataFrame, blocks: int) -> DataFrame:
+    """(doc_id, tag, at, value): begins and ends of the neighbouring pieces of a document that an earlier document has too.
+
+    A lot sends a name for its earliest document only and settles the others, so what many documents have does not meet in one task."""
+    names = ["block", "name", "done", "docs", "tags", "who", "at", "to"]
+
+    def send(batches):
+        parts, who, held = [], [], 0
+
+        def lot():
+            ids, tags = (np.concatenate(x) for x in zip(*who, strict=True))
+            row, at, to, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, order = ids[row], np.argsort(name)
+            first = _borders(name[order])
+            done = np.zeros(len(name), bool)
+            done[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+            block = np.where(done, (mix(name + row.astype(np.uint64)) % np.uint64(blocks)).astype(np.int32), _blocks_of(name, blocks))
+            order = np.argsort((block.astype(np.uint64) << np.uint64(33)) | (done.astype(np.uint64) << np.uint64(32)) | row.astype(np.uint64))
+            edge = _borders(block[order])
+            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+                o = order[a:b]
+                live = o[~done[o]]
+                *lists, place = _who(ids, tags, row[o])
+                yield pa.RecordBatch.from_arrays([pa.array(block[o[:1]]), pa.array([name[live].tobytes()], pa.binary()), pa.array([len(o) - len(live)], pa.int64()), *lists,
+                                                  *[pa.array([x], pa.binary()) for x in (place, at[o].astype("<i4").tobytes(), to[o].astype("<i4").tobytes())]], names)
+        for batch in batches:
+            texts, ids, tags = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False), batch["tag"].to_numpy(zero_copy_only=False)
+            for lo, hi in slices(texts):
+                text, *rest = _pieces(texts[lo:hi])
+                parts.append((text + sum(len(x[0]) for x in who), *rest))
+                who.append((ids[lo:hi], tags[lo:hi]))
+                held += len(text)
+                if held >= LOT // 3:
+                    yield from lot()
+                    parts, who, held = [], [], 0
+        if held:
+            yield from lot()
+
+    def meet(table: pa.Table) -> pa.Table:
+        live, out = [], []
+        for row in table.to_pylist():
+            mine = (*_of(row), np.frombuffer(row["to"], "<i4"))
+            n = len(mine[0]) - row["done"]
+            out.append([x[n:] for x in mine])
+            live.append((np.frombuffer(row["name"], "<u8"), *[x[:n] for x in mine]))
+        name, *mine = (np.concatenate(x) for x in zip(*live, strict=True))
+        if len(name):
+            order = np.argsort(name)
+            first = _borders(name[order])
+            doc = mine[0][order]
+            later = order[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(order))))]
+            out.append([x[later] for x in mine])
+        return _table(*[np.concatenate(x) for x in zip(*out, strict=True)])
+    return (rows.mapInArrow(send, "block INT, name BINARY, done BIGINT, docs ARRAY<BIGINT>, tags ARRAY<BIGINT>, who BINARY, at BINARY, to BINARY").groupBy("block")
+            .applyInArrow(meet, "doc_id BIGINT, tag BIGINT, at INT, value INT"))
+
+
+_NONE = np.zeros(0, np.int64)
+
+
+def _ints(column: pa.Array, i: int) -> np.ndarray:
+    """A row's list of numbers; null counts as empty."""
+    return column[i].values.to_numpy().astype(np.int64) if column[i].is_valid else _NONE
+
+
 def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
-    """(doc_id, key): the sampled cores of each document, as 32 bits of their hash, that another document has too.
+    """(doc_id, key): the sampled cores of each document, as 32 bits of their hash, that another document has too; samples whose strings
+    all lie in copied pieces are left out.
 
     A task sorts its samples and sends each core once for all of its own documents that have it; those are known to share it.  So at most
     one sample a lot comes together for a core, however many documents have it."""
@@ -113,9 +223,11 @@ def _shared_cores(rows: DataFrame, blocks: int) -> DataFrame:
             texts, ids = bytes_of(batch["text"]), batch["doc_id"].to_numpy(zero_copy_only=False)
             for lo, hi in slices(texts):
                 s = Samples(texts[lo:hi])
-                parts.append((s.core, ids[lo:hi], s.text))
+                here = [(_ints(batch["begins"], i), _ints(batch["ends"], i)) for i in range(lo, hi)]
+                keep = s.undecided(here) if any(len(a) for a, _ in here) else slice(None)
+                parts.append((s.core[keep], ids[lo:hi], s.text[keep]))
                 starts.append(starts[-1] + hi - lo)
-                size += len(s.core)
+                size += len(parts[-1][0])
                 if size >= LOT:
                     yield from lot()
                     parts, starts, size = [], [0], 0
@@ -320,9 +432,13 @@ def _starts(size: int, whole: np.ndarray, at: np.ndarray, mask: np.ndarray) -> n
     return np.unique(np.concatenate([some, every[(every >= 0) & (every + LENGTH <= size)]]))
 
 
-def _kept(text: bytes, starts: np.ndarray) -> tuple[bytes, int]:
-    """What is left when the strings of LENGTH from the starts on are gone, and the number of maximal gaps."""
+def _kept(text: bytes, starts: np.ndarray, begins: np.ndarray = _NONE, ends: np.ndarray = _NONE) -> tuple[bytes, int]:
+    """What is left when the strings of LENGTH from the starts on are gone, and all ranges of that length at least, and the number of
+    maximal gaps."""
     change = np.zeros(len(text) + 1, np.int32)
+    long = ends - begins >= LENGTH
+    np.add.at(change, begins[long], 1)
+    np.add.at(change, ends[long], -1)
     np.add.at(change, starts, 1)
     np.add.at(change, starts + LENGTH, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -338,38 +454,45 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with one id do not count as earlier than each other; further columns are ignored; an empty table gives no rows.
 
     Suffixes need only be told apart by their first 50 bytes, so the cover has a period of 31 rather than 3, one round of names is enough,
-    and 6 of 31 positions are sorted at all.  1. Cores of 20 bytes at cover positions are named and sorted; those that several documents
-    have remain.  2. All other strings of 50 are merged in by the cover position that any two equal ones have in common: samples with
-    equal cores are first named with all bytes around them, which settles them where a copy goes on on both sides; at the ends of copies
-    they are sorted by each string through them, and neighbours with equal names compared.  3. The bytes are cut."""
+    and 6 of 31 positions are sorted at all.  1. Texts are cut into pieces by their content; strings in two neighbouring pieces that an
+    earlier document has too are settled, which spares long copies the steps below: the earliest document with a string has its samples
+    still.  2. Cores of 20 bytes at cover positions are named and sorted; those that several documents have remain.  3. All other strings
+    of 50 are merged in by the cover position that any two equal ones have in common: samples with equal cores are first named with all
+    bytes around them, which settles them where a copy goes on on both sides; at the ends of copies they are sorted by each string through
+    them, and neighbours with equal names compared.  4. The bytes are cut."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
     able = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     n_bytes = able.agg(F.coalesce(F.sum(F.octet_length("text").cast("bigint")), F.lit(0))).first()[0]
     samples = n_bytes * len(COVER) // PERIOD
-    shared = _shared_cores(able.select("doc_id", "text"), max(1, -(-samples // BLOCK_SAMPLES)))
+    copied = _copied(able.select("doc_id", "tag", "text"), max(1, -(-n_bytes // BLOCK_BYTES)))
+    copied = cut(copied.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("begins"), F.collect_list("value").alias("ends")), "pieces")
+    release(spark)
+    shared = _shared_cores(able.join(copied, ["doc_id", "tag"], "left").select("doc_id", "text", "begins", "ends"), max(1, -(-samples // BLOCK_SAMPLES)))
     shared = cut(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "cores")
     release(spark)
     many = shared.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    same = cut(_same_contexts(able.join(shared, "doc_id").select("doc_id", "tag", "text", "keys"), max(1, -(-many // BLOCK_NAMES))), "contexts")
-    release(spark)
+    same = _same_contexts(able.join(shared, "doc_id").select("doc_id", "tag", "text", "keys"), max(1, -(-many // BLOCK_NAMES)))
     pick = lambda v: F.collect_list(F.when(F.col("value") == v, F.col("at")))
     found = cut(same.groupBy("doc_id", "tag").agg(pick(COVERED).alias("whole"), pick(OPEN).alias("open")), "samples")
+    discard(shared)
+    release(spark)
     unsure = found.where(F.size("open") > 0)
     many = unsure.agg(F.coalesce(F.sum(F.size("open")), F.lit(0))).first()[0]
     masks = cut(_same_strings(able.join(unsure.select("doc_id", "tag", "open"), ["doc_id", "tag"]), max(1, -(-many // BLOCK_CONTEXTS))), "strings")
     release(spark)
     masks = masks.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("mask"))
     found = found.select("doc_id", "tag", "whole").join(masks, ["doc_id", "tag"], "left").where((F.size("whole") > 0) | F.col("at").isNotNull())
+    found = found.join(copied, ["doc_id", "tag"], "full")
 
     def finish(batches):
-        none = np.zeros(0, np.int64)
         for batch in batches:
             out = []
-            for text, *lists in zip(bytes_of(batch["text"]), batch["whole"], batch["at"], batch["mask"], strict=True):
-                if any(x.is_valid and len(x.values) for x in lists):
-                    kept, spans = _kept(text, _starts(len(text), *[x.values.to_numpy().astype(np.int64) if x.is_valid else none for x in lists]))
+            for i, text in enumerate(bytes_of(batch["text"])):
+                whole, at, mask, begins, ends = (_ints(batch[c], i) for c in ("whole", "at", "mask", "begins", "ends"))
+                if len(whole) or len(at) or len(begins):
+                    kept, spans = _kept(text, _starts(len(text), whole, at, mask), begins, ends)
                 else:
                     kept, spans = text, 0
                 out.append((len(text), len(text) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))
@@ -381,7 +504,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 columns.append("kept")
             yield pa.RecordBatch.from_arrays(arrays, columns)
     schema = "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept_sha256 STRING" + (", kept BINARY" if keep_text else "")
-    out = rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "whole", "at", "mask").mapInArrow(finish, schema)
-    discard(shared)
-    discard(same)
-    return out
+    return rows.join(found, ["doc_id", "tag"], "left").select("doc_id", "text", "whole", "at", "mask", "begins", "ends").mapInArrow(finish, schema)
