@@ -73,3 +73,19 @@ def test_links_of_a_summary_are_not_made_distinct_again(spark):
     text = whole._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in text.splitlines() if "Aggregate [" in x and "related_event_id#" in x.split("],")[0]]
     assert correlate.links(spark, SF).count() == correlate.links(spark, SF).distinct().count()
+
+
+def test_groups_of_reports_are_joined_once_and_read_where_they_are_stored(spark, monkeypatch):
+    from tidewatch.operators import timeline as T
+    from tidewatch.plans.catalog import timeline as catalog
+    rows, groups, events, found = catalog.rows(spark, SF), catalog.groups(spark, SF), catalog.incident_events(spark, SF), catalog.cited_findings(spark, SF)
+    seen, real = [], T.spread_join
+    monkeypatch.setattr(T, "spread_join", lambda *a, **k: seen.append(k.get("n", 16)) or real(*a, **k))
+    best = T.best_relationship(groups, rows, base.fx(spark, SF, "fx_links"))
+    text = best._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == [2] and text.count("Join ") == 2 and best.count() > 0         # links with the ends of one group and the starts of the next
+    want = T.timeline(events, found, None, catalog.P)
+    monkeypatch.setattr(T, "grouped", None)
+    monkeypatch.setattr(T, "group_table", None)
+    got = T.timeline(events, found, None, catalog.P, rows, groups)
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()

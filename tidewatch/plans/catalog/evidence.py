@@ -31,7 +31,7 @@ def bundles(spark, sf):
 
 
 def timeline(spark, sf):
-    return stored(spark, sf, "timeline", lambda: TL.timeline(TC.incident_events(spark, sf), cited(spark, sf), None, TC.P))
+    return stored(spark, sf, "timeline", lambda: TL.timeline(TC.incident_events(spark, sf), cited(spark, sf), None, TC.P, TC.rows(spark, sf), TC.groups(spark, sf)))
 
 
 def refs(spark, sf):
